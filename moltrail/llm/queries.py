@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .mixing import OP7_SQL, op7_mix_sources
 from .tokens import op6_token_counts
 
 QUERIES = {
     "op6_token_counts": op6_token_counts,
+    "op7_mix_sources": op7_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix_sources": OP7_SQL,
+}
