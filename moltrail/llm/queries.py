@@ -5,14 +5,17 @@ from __future__ import annotations
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import OP4_SQL, op4_pii
 from .tokens import op6_token_counts
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op4_pii": op4_pii,
     "op6_token_counts": op6_token_counts,
     "op7_mix_sources": op7_mix_sources,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_pii": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
