@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import OP4_SQL, op4_pii
+from .quality import op2_quality
 from .simhash import op3_simhash
 from .tokens import op6_token_counts
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op6_token_counts": op6_token_counts,
