@@ -106,7 +106,7 @@ def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     sized = cut_lineage(sized_documents(docs))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, block)
     pieces, slots = packed_blocks(sized, targets), output_slots(targets, seed)
-    slots = slots.withColumnsRenamed({"sid": "slot_sid", "index": "slot_index"})
+    slots = slots.withColumnsRenamed({"sid": "slot_sid", "index": "slot_index"}).hint("merge")  # as many as blocks: never broadcast
     rows = pieces.join(slots, (pieces["sid"] == slots["slot_sid"]) & (pieces["index"] == slots["slot_index"]), "left")
     words = F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("take") - F.col("at"), F.col("n")))).cast("long")
     return rows.select("shard", "slot", "sid", "source", "source_size", "target", "index", "bucket", "seq", "doc_id", "size", "first", words.alias("words"))

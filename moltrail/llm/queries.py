@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import OP4_SQL, op4_pii
 from .quality import op2_quality
+from .rules import op9_rules
 from .simhash import op3_simhash
 from .tokens import op6_token_counts
 from .warc import OP10_SQL, op10_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_token_counts": op6_token_counts,
     "op7_mix_sources": op7_mix_sources,
+    "op9_rules": op9_rules,
     "op10_warc": op10_warc,
 }
 
