@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import OP4_SQL, op4_pii
 from .quality import op2_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_mix_sources": op7_mix_sources,
     "op9_rules": op9_rules,
