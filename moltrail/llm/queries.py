@@ -8,10 +8,12 @@ from .pii import OP4_SQL, op4_pii
 from .quality import op2_quality
 from .rules import op9_rules
 from .simhash import op3_simhash
+from .suffixes import op1_suffix_dedup
 from .tokens import op6_token_counts
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
