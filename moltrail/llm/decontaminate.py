@@ -219,41 +219,65 @@ def search(known: Index, data: np.ndarray, ends: np.ndarray) -> list[tuple[int,
     return out
 
 
+def blocks_of(benchmark: DataFrame) -> list[Index]:
+    """The benchmark's items as indexes of blocks of bounded size, each gathered by itself."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    part = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return [index([(r["item_id"], r["text"]) for r in part(b).orderBy("item_id", "text").collect()]) for b in range(n)]
+
+
+def search_batch(known: Index, column: pa.Array):
+    """For a column of texts, in chunks: row, item, matched, edits, start and end in bytes, and the text."""
+    data, ends = flat(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK, side="right")) - 1)
+        own = ends[first : last + 1] - ends[first]
+        part = data[ends[first] : ends[last]]
+        for d, i, matched, edits, lo, hi in search(known, part, own):
+            yield first + d, i, matched, edits, lo, hi, part[own[d] : own[d + 1]]
+        first = last
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_chars and matched_chars (normalised), edits (most in a window), start and end (code points
     of the document's text, from the first to the last matched window)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    out = None
-    for b in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        part = _search_block(docs, index([(r["item_id"], r["text"]) for r in rows.collect()]))
-        out = part if out is None else out.unionByName(part)
+    parts = [_search_block(docs, known) for known in blocks_of(benchmark)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
 def _search_block(docs: DataFrame, known: Index) -> DataFrame:
     names = ["doc_id", "item_id", "item_chars", "matched_chars", "edits", "start", "end"]
+    place = lambda text, n: len(text[:n].tobytes().decode("utf-8", "ignore"))
 
     def run(batches):
         for batch in batches:
-            data, ends = flat(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            rows = []
-            first = 0
-            while first < len(ids):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK, side="right")) - 1)
-                own = ends[first : last + 1] - ends[first]
-                part = data[ends[first] : ends[last]]
-                for d, i, matched, edits, lo, hi in search(known, part, own):
-                    text = part[own[d] : own[d + 1]].tobytes()
-                    rows.append((ids[first + d], known.ids[i], len(known.texts[i]), matched, edits, len(text[:lo].decode("utf-8", "ignore")), len(text[:hi].decode("utf-8", "ignore"))))
-                first = last
+            rows = [(ids[d], known.ids[i], len(known.texts[i]), matched, edits, place(text, lo), place(text, hi)) for d, i, matched, edits, lo, hi, text in search_batch(known, batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs into which no item of the benchmark leaks, as they are."""
+    for known in blocks_of(benchmark):
+
+        def run(batches, known=known):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for d, *_ in search_batch(known, batch.column("text")):
+                    clean[d] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

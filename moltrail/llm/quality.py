@@ -137,6 +137,18 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     return rows.withColumns({"held_out": fold(F.col("doc_id").cast("long")) == 0, "score": F.col("_score"), "predicted": (F.col("_score") >= accept).cast("int")}).drop("_score")
 
 
+def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
+    """The rows of docs whose score is at least `accept`, as they are."""
+
+    def run(batches):
+        for batch in batches:
+            data, ends = flat(batch.column("text"))
+            data = data.tobytes()
+            yield batch.filter(pa.array(model.scores([data[a:b] for a, b in zip(ends[:-1], ends[1:])]) >= accept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     rows = score(docs, train(docs, table(spark, sf_dir, "labels")))

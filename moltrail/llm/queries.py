@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op5_decontaminate
+from .lm import op8_lm
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import OP4_SQL, op4_pii
 from .quality import op2_quality
@@ -20,8 +23,10 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_mix_sources": op7_mix_sources,
+    "op8_lm": op8_lm,
     "op9_rules": op9_rules,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
