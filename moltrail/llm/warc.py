@@ -27,8 +27,7 @@ BREAKS = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|title|h
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: Pattern and replacement, in order; the same for Java's and RE2's engines.
 TEXT_RULES = (
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "") for tag in UNSEEN),
+    ("(?is)<!--.*?-->|" + "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in UNSEEN), ""),
     (r"[ \t\r\n\f]+", " "),
     (rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"),
     (r"<[/!?a-zA-Z][^>]*>", ""),
@@ -54,26 +53,29 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), _uuid(F.lit("response"), F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), header.alias("http_header"), payload.alias("payload"))
 
 
-def plain_text(html: Column) -> Column:
-    """A page's text: unseen elements dropped, a line per block element, entities decoded, white space tidied."""
+def with_text(rows: DataFrame, html: str = "payload", text: str = "text") -> DataFrame:
+    """rows and their pages' text: unseen elements dropped, a line per block element, entities decoded, white
+    space tidied. Each step that is used twice is a column of its own, so that it runs once."""
+    raw = F.col(html)
     for pattern, by in TEXT_RULES:
-        html = F.regexp_replace(html, pattern, by)
-    number = F.regexp_extract_all(html, F.lit(r"&#[0-9]{1,7};"), F.lit(0))
+        raw = F.regexp_replace(raw, pattern, by)
+    rows = rows.withColumn("_raw", raw)
+    number = F.regexp_extract_all("_raw", F.lit(r"&#[0-9]{1,7};"), F.lit(0))
     code = lambda e: F.regexp_replace(e, "[^0-9]", "").cast("int")
     char = lambda e: F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
-    html = F.when(F.contains(html, F.lit("&#")), F.aggregate(F.array_distinct(number), html, lambda t, e: F.when(code(e).between(1, 55295) | code(e).between(57344, 1114111), F.replace(t, e, char(e))).otherwise(t))).otherwise(html)
+    fill = lambda t, e: F.when(code(e).between(1, 55295) | code(e).between(57344, 1114111), F.replace(t, e, char(e))).otherwise(t)
+    done = F.when(F.contains("_raw", F.lit("&#")), F.aggregate(F.array_distinct(number), F.col("_raw"), fill)).otherwise(F.col("_raw"))
     for entity, by in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(by))
+        done = F.replace(done, F.lit(entity), F.lit(by))
     for pattern, by in TIDY_RULES:
-        html = F.regexp_replace(html, pattern, by)
-    return html
+        done = F.regexp_replace(done, pattern, by)
+    return rows.withColumn(text, done).drop("_raw")
 
 
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response: page_id, record_type, record_id, refers_to, related_to, target_uri, date,
     content_type, content_length (bytes), block_digest, source_payload_digest, block."""
-    rows = records.withColumns({
-        "text": plain_text(F.col("payload")),
+    rows = with_text(records).withColumns({
         "source_digest": _digest(F.col("payload")),
         "title": F.trim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " ")),
         "links": F.array_distinct(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))),
@@ -83,7 +85,7 @@ def derive(records: DataFrame) -> DataFrame:
     header = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.col("http_header"), r"\r\n", "\n")), r"\n+$", ""), r"\n", "\r\nhttp-header: ")
     links = F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")
     fields = F.concat(F.lit("title: "), F.col("title"), F.lit("\r\nhttp-header: "), header, F.lit("\r\nsource-payload-digest: "), F.col("source_digest"), F.lit("\r\ntext-digest: "), _digest(F.col("text")), F.lit("\r\n"), links)
-    rows = rows.withColumn("fields", fields)
+    rows = rows.withColumn("fields", fields).drop("payload")
 
     def record(kind: str, own: str, other: str, content_type: str, block: str) -> Column:
         return F.struct(F.lit(kind).alias("record_type"), F.col(own).alias("record_id"), F.col("record_id").alias("refers_to"), F.col(other).alias("related_to"), "target_uri", "date", F.lit(content_type).alias("content_type"), F.octet_length(block).cast("long").alias("content_length"), _digest(F.col(block)).alias("block_digest"), F.col("source_digest").alias("source_payload_digest"), F.col(block).alias("block"))
