@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,7 @@ EASY = rf"\t-\r -~{_LETTER}"
 EASY_PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"
 #: Pieces whose prefix counts a task keeps at most before it starts its table anew.
 TABLE_PIECES = 800_000
+LONG_PIECE = 255
 LIMIT = 1024
 _LATE = 1 << 60
 
@@ -55,7 +57,8 @@ class _Totals(dict):
 
     def __missing__(self, piece: str) -> int:
         n = 1 if piece in self.counter.special else self.counter.counts(piece)[-1]
-        self[piece] = n
+        if len(piece) <= LONG_PIECE:
+            self[piece] = n
         return n
 
 
@@ -132,11 +135,13 @@ class PrefixCounter:
             last.append(token)
             counts.append(counts[j] + 1)
             done += 1
+        if len(raw) > LONG_PIECE:  # not kept
+            return counts
         if len(self.prefixes) >= TABLE_PIECES:
             self.prefixes.clear()
             self.totals.clear()
             self.fits.clear()
-        self.prefixes[piece] = known = bytes(counts) if counts[-1] < 256 and len(raw) < 256 else tuple(counts)
+        self.prefixes[piece] = known = bytes(counts)
         return known
 
     def cut(self, text: str) -> list[str]:
@@ -169,8 +174,10 @@ class PrefixCounter:
             return whole
         back = max(0, k - 1)
         start, before = "".join(pieces[back:k]), int(running[back - 1]) if back else 0
+        base, counts = int(running[k - 1]) if k else 0, self.counts(pieces[k])
+        ends = [0, *accumulate(len(c.encode()) for c in pieces[k])]
         for n in range(len(pieces[k]) - 1, 0, -1):
-            if before + self.total(start + pieces[k][:n]) <= limit:
+            if base + counts[ends[n]] <= limit and before + self.total(start + pieces[k][:n]) <= limit:
                 return whole + pieces[k][:n]
         return whole
 
