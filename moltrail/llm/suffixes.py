@@ -29,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import mix, pack, table, unpack
-from .shards import NO_ID, as_table, opened, shard_count, sharded
+from .common import mix, pack, shuffle_partitions, table, unpack
+from .shards import NO_ID, as_table, opened, sharded
 
 LENGTH = 50
 ANCHOR = 24
 HOT = 1000
 BLOCK = 4 << 20
 CHUNK = 1 << 18
+SHARD_BYTES = 8 << 20
 _HASH_BITS = np.uint64(16)  # anchors are 48 bits
 
 
@@ -48,44 +50,62 @@ def words8(data: np.ndarray, n: int) -> np.ndarray:
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     w = words8(data, n + 16)
-    h = w[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (w[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F) + (w[16 : n + 16] ^ np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93))
-    return mix(h)
-
-
-def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same anchor: first and last window start, the anchor's place and hash, the document."""
+    h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= w[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h += w[16 : n + 16] * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h
+
+
+def leftmost_least(h: np.ndarray, span: int) -> np.ndarray:
+    """For each window of `span` values how far its leftmost least value is; windows twice as long each time."""
+    least, at, reach = h, np.zeros(len(h), np.uint8), 1
+    while reach < span:
+        step = min(reach, span - reach)
+        right = least[step:]
+        take = right < least[:-step]
+        far = at[step:] + np.uint8(step)
+        at = at[:-step].copy()
+        np.copyto(at, far, where=take)
+        least = np.minimum(least[:-step], right)
+        reach += step
+    return at
+
+
+def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with the same anchor: first and last window start, the anchor's hash, the document."""
+    total = max(0, len(data) - LENGTH + 1)
     padded = np.concatenate([data, np.zeros(64, np.uint8)])
-    parts = []
-    span = LENGTH - ANCHOR + 1
-    for lo in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
-        n = min(CHUNK, len(data) - LENGTH + 1 - lo)
-        least = gram_hashes(padded[lo : lo + n + LENGTH + 24], n + span)
-        own, at = least.copy(), np.zeros(len(least), np.uint8)
-        reach = 1
-        while reach < span:  # leftmost least of windows twice as long each time
-            step = min(reach, span - reach)
-            right, right_at = least[step:], at[step:] + np.uint8(step)
-            take = right < least[:-step]
-            at[:-step] = np.where(take, right_at, at[:-step])
-            least[:-step] = np.where(take, right, least[:-step])
-            least, at, reach = least[:-step], at[:-step], reach + step
-        parts.append((np.arange(lo, lo + n) + at[:n], own[at[:n].astype(np.int64) + np.arange(n)]))
-    if not parts:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    place, h = (np.concatenate(x) for x in zip(*parts))
-    valid = np.zeros(len(place) + 1, np.int64)
     size = np.diff(ends)
     long = size >= LENGTH
-    np.add.at(valid, ends[:-1][long], 1)
-    np.add.at(valid, np.minimum(ends[1:][long] - LENGTH + 1, len(place)), -1)
-    starts = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-    place, h = place[starts], h[starts]
-    doc = np.searchsorted(ends, starts, side="right") - 1
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return starts[first], starts[last], place[first], h[first] >> _HASH_BITS, doc[first]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[ends[:-1][long]] = 1
+    edge[ends[1:][long] - LENGTH + 1] = -1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)  # window starts
+    begins = edge[:-1] == 1
+    firsts, hashes = [], []
+    span, before = LENGTH - ANCHOR + 1, -1
+    for lo in range(0, total, CHUNK):
+        n = min(CHUNK, total - lo)
+        h = gram_hashes(padded[lo : lo + n + LENGTH + 24], n + span)
+        at = leftmost_least((h >> np.uint64(32)).astype(np.uint32), span)[:n]
+        place = at + np.arange(n, dtype=np.int32)
+        new = np.ones(n, bool)
+        new[1:] = place[1:] != place[:-1]
+        new[0] = place[0] + lo != before
+        before = int(place[-1]) + lo
+        new |= begins[lo : lo + n]
+        new &= inside[lo : lo + n]
+        own = np.flatnonzero(new)
+        firsts.append(own + lo)
+        hashes.append(h[place[own]] >> _HASH_BITS)
+    if not firsts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.concatenate(firsts)
+    doc = np.searchsorted(ends, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], total) - 1, ends[doc + 1] - LENGTH)
+    return first, last, np.concatenate(hashes), doc
 
 
 def distinct_anchors(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +123,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     keys = words8(padded, n).byteswap()
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     same = np.zeros(n + 1, bool)
     same[1:n] = keys[order][1:] == keys[order][:-1]
     rank = np.empty(n + 1, np.int64)
@@ -116,7 +136,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
             break
         place = order[open_]
         key = (rank[place].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(place + h, n)] + 1).astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         place, key = place[by], key[by]
         order[open_] = place
         equal = np.zeros(len(open_), bool)
@@ -128,30 +148,35 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH, lanes: int = 4096) -> np.ndarray:
     """For each slot of the suffix array the common prefix with the slot before, up to `most`, by Kasai's rule: going
     through the text, the prefix is at least the one before less one, as long as the two suffixes, each one shorter, stand
     in the same order (suffixes sorted to a depth only may not). Lanes of the text go side by side."""
     n = len(text)
-    slot = np.full(n + 2, n, np.int64)
-    slot[order] = np.arange(n)
-    before = np.empty(n, np.int64)
+    slot = np.full(n + 2, n, np.int32)
+    slot[order] = np.arange(n, dtype=np.int32)
+    before = np.empty(n, np.int32)
     before[order[1:]] = order[:-1]
     before[order[:1]] = n
-    out = np.zeros(n + 1, np.int64)
+    out = np.zeros(n + 1, np.uint8)
     length = -(-n // max(1, min(lanes, n // 64 + 1)))
     place = np.arange(0, n, length)
     stop = np.minimum(place + length, n)
-    padded = np.concatenate([text, np.zeros(most + 1, np.uint8)])
+    w = np.ndarray((n + most + 8,), np.dtype("<u8"), np.concatenate([text, np.zeros(most + 16, np.uint8)]), 0, (1,))
     h = np.zeros(len(place), np.int64)
-    while len(place):
+    while len(place):  # eight bytes at a time
         other = before[place]
-        far = (place + h < n) & (other + h < n) & (h < most)
-        go = far & (padded[place + h] == padded[np.minimum(other, n) + np.where(far, h, 0)])
-        done = ~go
-        out[place[done]] = h[done]
-        ordered = slot[np.minimum(other + 1, n)] < slot[place + 1]
-        h = np.where(go, h + 1, np.where(ordered, np.maximum(h - 1, 0), 0))
+        x = w[place + h] ^ w[other + h]
+        same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3
+        most_here = np.minimum(n - np.maximum(place, other), most)
+        grown = np.minimum(h + same, most_here)
+        done = (same < 8) | (grown >= most_here)
+        own = place[done]
+        out[own] = grown[done]
+        after = other[done] + 1
+        ordered = slot[np.minimum(after, n)] < slot[own + 1]
+        h = grown
+        h[done] = np.where(ordered, np.maximum(grown[done] - 1, 0), 0)
         place = place + done
         left = place < stop
         if not left.all():
@@ -209,7 +234,7 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
 def _entries(n_buckets: int):
     def run(key, rows):
         ids, data, ends = opened(rows)
-        _, _, _, h, doc = anchor_runs(data, ends)
+        _, _, h, doc = anchor_runs(data, ends)
         h, count = distinct_anchors(h, doc, ids)
         bucket = _buckets(h, n_buckets)
         order = np.argsort(bucket, kind="stable")
@@ -267,7 +292,7 @@ def _pieces(n_buckets: int):
     def run(key, rows, answers):
         shard, out = key[0].as_py(), []
         ids, data, ends = opened(rows)
-        first, last, _, h, doc = anchor_runs(data, ends)
+        first, last, h, doc = anchor_runs(data, ends)
         known, _ = distinct_anchors(h, doc, ids)
         bucket, many = _buckets(known, n_buckets), np.zeros(len(known), np.uint8)
         order = np.argsort(bucket, kind="stable")
@@ -281,32 +306,36 @@ def _pieces(n_buckets: int):
             return as_table(out, *_PIECES)
         starts = spread(first, last)
         run_of = np.repeat(np.arange(len(first)), last - first + 1)
-        text, at = shared_text(data, first, last)
-        place = np.searchsorted(at, starts)  # of each window start in the candidate text: its first byte there
-        sorted_, group = window_groups(text, place)
-        window = np.searchsorted(place, sorted_)
-        owner = ids[doc[run_of[window]]]
         gone = np.zeros(len(starts), bool)
-        gone[window[owner > least_of_groups(group, owner)]] = True
+        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        here = np.flatnonzero(times[which] > 1)  # only an anchor that is here twice can have equal windows here
+        if len(here):
+            inner = np.flatnonzero((times[which] > 1)[run_of])
+            text, at = shared_text(data, first[here], last[here])
+            place = np.searchsorted(at, starts[inner])  # of each window start in that text
+            sorted_, group = window_groups(text, place)
+            window = inner[np.searchsorted(place, sorted_)]
+            owner = ids[doc[run_of[window]]]
+            gone[window[owner > least_of_groups(group, owner)]] = True
         a, b = runs_of(starts[gone])
         if len(a):
             marked = starts[gone]
             out.append((shard % n_buckets, shard, 1, b"", pack(marked[a]), pack((marked[b] - marked[a]).astype(np.uint32)), b"", b""))
         left = np.flatnonzero(~gone)
         hot = many[run_of[left]] > 1
-        for own, single in ((left[~hot], False), (left[hot], True)):
-            a, b = (np.arange(len(own)),) * 2 if single else runs_of(starts[own], run_of[own])
-            if not len(a):
-                continue
-            f, l, r = starts[own[a]], starts[own[b]], run_of[own[a]]
-            if single:  # by the window itself
-                padded = np.concatenate([data, np.zeros(8, np.uint8)])
-                w = words8(padded, len(data))
-                name = np.zeros(len(f), np.uint64)
-                for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-                    name = mix(name * np.uint64(31) + w[f + k])
-            else:
-                name = h[r]
+        cool, single = left[~hot], left[hot]
+        a, b = runs_of(starts[cool], run_of[cool])
+        name = [h[run_of[cool[a]]]] if len(cool) else []
+        if len(single):  # by the window itself
+            f, w = starts[single], words8(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
+            own = np.zeros(len(f), np.uint64)
+            for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+                own = mix(own * np.uint64(31) + w[f + k])
+            name.append(own)
+        if name:
+            name = np.concatenate(name)
+            f, l = np.concatenate([starts[cool[a]], starts[single]]), np.concatenate([starts[cool[b]], starts[single]])
+            r = np.concatenate([run_of[cool[a]], run_of[single]])
             _send(out, _buckets(name, n_buckets), shard, name, f, l, doc[r], ids, data)
         return as_table(out, *_PIECES)
 
@@ -442,7 +471,8 @@ def _apply(key, rows, marks):
 
 def repeats_removed(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    n = shard_count(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     shards = sharded(docs, n)
     by_shard = lambda: shards.groupBy("shard")
     entries = by_shard().applyInArrow(_entries(n), "bucket int, shard int, anchors binary, counts binary")
