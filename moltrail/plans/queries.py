@@ -340,9 +340,9 @@ def matrix_window(spark, d):
     return M.in_range(M.window(matrices(spark, d)[0], (2, 9), (0, 7)), 25, 26)
 
 
-@query(f"WITH {MTX} SELECT row, col, round(avg(value), 6) + 0.0 AS value FROM (SELECT * FROM mtx UNION ALL SELECT * FROM mty) GROUP BY row, col")
+@query(f"WITH {MTX} SELECT row, col, round(avg(value), 7) + 0.0 AS value FROM (SELECT * FROM mtx UNION ALL SELECT * FROM mty) GROUP BY row, col")
 def matrix_average(spark, d):
-    return rounded(M.average(list(matrices(spark, d))), "value")
+    return rounded(M.average(list(matrices(spark, d))), "value", digits=7)
 
 
 @query(f"""WITH {MTX}, {DOMAIN}, p AS (SELECT a.name AS a, b.name AS b, avg(value) AS value FROM mtx JOIN res a ON a.residue = row JOIN res b ON b.residue = col GROUP BY 1, 2)
