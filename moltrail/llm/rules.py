@@ -32,6 +32,7 @@ GUARD_COMMON = 60
 FAR_CHARS = 0.3
 FAR_COMMON = 0.33
 KNOWN_LANGUAGES = 256
+CHUNK = 4 << 20
 SYMBOLS = b"#*$%&|<>"
 #: Common words of the languages in the table.
 COMMON = {
@@ -144,11 +145,22 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d / 2, 0, 1))
 
 
+def chunks(batches, most: int = CHUNK):
+    """Record batches cut so that each has about `most` bytes of text; a longer text is one by itself."""
+    for batch in batches:
+        _, ends = flat(batch.column("text"))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
     """For each of the commonest languages, and for all documents under None, the two histograms' shares."""
 
     def run(batches):
-        for batch in batches:
+        for batch in chunks(batches):
             data, ends = flat(batch.column("text"))
             got = measure(data, ends)
             every = np.concatenate([(1e6 * _shares(got["chars"])).astype(np.int64), (1e6 * _shares(got["common"])).astype(np.int64)], axis=1)
@@ -171,7 +183,7 @@ def apply_rules(docs: DataFrame, known: dict, far_chars: float = FAR_CHARS, far_
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        for batch in batches:
+        for batch in chunks(batches):
             data, ends = flat(batch.column("text"))
             got = measure(data, ends)
             n = got["n_words"]
