@@ -87,3 +87,8 @@ def complexes(receptor: DataFrame, poses: DataFrame) -> DataFrame:
     """For each ligand the receptor's rows, then the pose's. receptor is one structure, repeated for each ligand."""
     each = receptor.crossJoin(poses.select("ligand_id").distinct()).withColumn("part", F.lit(0))
     return each.unionByName(poses.withColumn("part", F.lit(1)), allowMissingColumns=True)
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of the first that the second lacks."""
+    return a.subtract(b)
