@@ -4,7 +4,7 @@ as few rows."""
 
 from __future__ import annotations
 
-import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; where it is unset (tests), a local one."""
+    """checkpoint() in the folder that spark.checkpoint.dir names; where it is unset, a local one in local mode only."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join("/tmp", "moltrail-checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/moltrail-checkpoints")
     return df.checkpoint()
 
 
@@ -84,7 +87,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block:
     out = np.empty(len(starts), np.uint64)
     if not len(starts):
         return out
-    longest = int((stops - starts).max())
     cut = np.searchsorted(starts, np.arange(0, int(starts[-1]) + 1, block))
     for a, b in zip(cut, [*cut[1:], len(starts)]):
         if a == b:
@@ -101,7 +103,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block:
         np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         s, e = starts[a:b] - lo, stops[a:b] - lo
         out[a:b] = (total[e] - total[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    del longest
     return mix(out)
 
 
