@@ -3,8 +3,11 @@ operators that need a shard's documents together move them once and work on flat
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,17 @@ def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
 
 
 def sharded(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (shard, ids, sizes, text): all documents of a batch in the shard of their doc_id."""
+    """Rows (shard, ids, sizes, text): a batch's documents by shard. The shard comes from id and text, so that rows of one
+    id spread; rows without an id, which may be many and alike, spread by partition and place too."""
 
     def run(batches):
+        task = TaskContext.get().partitionId()
         for batch in batches:
             data, ends = flat(batch.column("text"))
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            shard = (mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+            sums = np.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:])], np.uint64)
+            salt = np.where(ids == NO_ID, np.arange(len(ids)) + (task << 20), 0).astype(np.uint64)
+            shard = (mix(mix(ids.astype(np.uint64) ^ (sums << np.uint64(32))) + salt) % np.uint64(n)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             sizes = np.diff(ends)
             rows = []
