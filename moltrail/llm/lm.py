@@ -8,13 +8,14 @@ the training tokens; the word within its class has its share of the class's trai
 window until its end, so that the score is the log-probability of the complete text.
 
 1. Documents are dealt to shards. Each shard counts its training tokens and trains the network from
-   one common start by truncated backpropagation in numpy, over its own training documents.
+   one common start by truncated backpropagation in numpy, over all of its own training documents.
 2. Counts go to buckets by word, which return each word's count over all shards, and sums by class. The
    networks go there in slices, which return averaged, weighted by the tokens read.
 3. Each shard scores its documents.
 
-Counts cover all training documents; each shard trains for at most MOST_UPDATES windows of its
-documents. Rows: null text is empty and has its end only; each row gives a row; a null doc_id is
+Counts and training cover all training documents. For training these stand one after another, cut into
+equal stretches side by side, whatever the lengths of the texts; a stretch that starts inside a document
+starts from an empty state. Rows: null text is empty and has its end only; each row gives a row; a null doc_id is
 null in the result and trains; extra columns are ignored; an empty table gives no rows. A task holds
 a shard, about SHARD_BYTES of text and more only where a single text is longer.
 """
@@ -35,8 +36,9 @@ SHORT, LONG, ODD = 31, 32, b"#$%&*!|<>"
 CLASSES = 1 + SHORT + LONG + len(ODD)
 STATE = 16
 WINDOW = 32
-LEAST_UPDATES, MOST_UPDATES = 40, 150
-TRAIN_LANES = 64
+#: A shard of fewer windows than FULL is read twice or more often, until LEAST_UPDATES.
+LEAST_UPDATES, FULL = 40, 150
+LEAST_LANES, MOST_LANES = 16, 256
 RATE = 0.02
 END = np.uint64(0)
 SMOOTH = 0.1
@@ -154,9 +156,12 @@ def gradients(w: dict, prior: np.ndarray, h: np.ndarray, seen: np.ndarray, targe
     kept: list = []
     states = forward(w, h, seen, first, kept)
     flat, s = states.reshape(-1, STATE), STATE
-    d = np.exp(log_softmax(flat @ w["W"] + (w["b"] + prior)))
-    d[np.arange(len(d)), target.ravel()] -= 1
-    d *= (valid.ravel() / max(1, valid.sum()))[:, None].astype(np.float32)
+    share = (valid.ravel() / max(1, valid.sum())).astype(np.float32)
+    d = flat @ w["W"] + (w["b"] + prior)
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    d *= (share / d.sum(axis=1))[:, None]
+    d[np.arange(len(d)), target.ravel()] -= share
     out = {"W": flat.T @ d, "b": d.sum(axis=0), "U": np.zeros_like(w["U"]), "E": np.zeros_like(w["E"])}
     up = (d @ w["W"].T).reshape(states.shape)
     back = np.zeros_like(h)
@@ -187,38 +192,44 @@ def windows(text: Text, docs: np.ndarray, n: int):
         yield f, p >= 0, seen, text.kind[np.maximum(p, 0)], p
 
 
+def stretches(text: Text, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, valid, class before, class) by (step, lane) of all tokens of the training documents, these in a mixed order."""
+    docs = np.flatnonzero(~text.out)
+    docs = docs[np.argsort(mix(docs.astype(np.uint64)), kind="stable")]
+    cuts = [slice(text.bounds[k], text.bounds[k + 1]) for k in docs]
+    target = np.concatenate([text.kind[c] for c in cuts])
+    first = np.zeros(len(target), bool)
+    first[np.cumsum([0, *(c.stop - c.start for c in cuts[:-1])])] = True  # every document has a token
+    seen = np.where(first, 0, np.roll(target, 1)).astype(np.uint8)
+    pad = -len(target) % n
+    return tuple(np.pad(x, (0, pad)).reshape(n, -1).T for x in (first, np.ones(len(target), bool), seen, target))
+
+
 def train(text: Text) -> tuple[np.ndarray, int]:
-    """The weights after this shard's updates, and the number of tokens read."""
+    """The weights after this shard's updates, which read every training token, and the number of these."""
     w = start_weights()
-    docs = np.flatnonzero(~text.out)
-    tokens = int((text.bounds[docs + 1] - text.bounds[docs]).sum())
+    train = np.repeat(~text.out, np.diff(text.bounds))
+    tokens = int(train.sum())
     if not tokens:
         return flatten(w), 0
-    prior = class_prior(np.bincount(text.kind[np.repeat(~text.out, np.diff(text.bounds))], minlength=CLASSES))
-    n = min(TRAIN_LANES, len(docs))
-    docs = docs[np.argsort(mix(docs.astype(np.uint64)), kind="stable")]
-    wanted = int(np.clip(2 * tokens // (n * WINDOW), LEAST_UPDATES, MOST_UPDATES))
-    docs = docs[: max(n, int(np.searchsorted(np.cumsum(text.bounds[docs + 1] - text.bounds[docs]), wanted * n * WINDOW)) + 1)]
-    m, v, k, read = {x: 0 for x in w}, {x: 0 for x in w}, 0, 0
-    while k < wanted:
+    prior = class_prior(np.bincount(text.kind[train], minlength=CLASSES))
+    n = min(tokens, int(np.clip(2 * tokens // (FULL * WINDOW), LEAST_LANES, MOST_LANES)))
+    arrays = stretches(text, n)
+    each = -(-len(arrays[0]) // WINDOW)
+    passes = 1 if each >= FULL else max(2, -(-LEAST_UPDATES // each))
+    m, v, k = {x: 0 for x in w}, {x: 0 for x in w}, 0
+    for _ in range(passes):
         h = np.zeros((n, STATE), np.float32)
-        for first, valid, seen, target, _ in windows(text, docs, n):
-            if 8 * valid.sum() < valid.size:
-                continue  # the ends of a few long documents
+        for t in range(0, len(arrays[0]), WINDOW):
+            first, valid, seen, target = (x[t : t + WINDOW] for x in arrays)
             g, h = gradients(w, prior, h, seen, target, first, valid)
-            read += int(valid.sum())
             k += 1
-            rate = RATE * min(1.0, 2 * (1 - k / (wanted + 1)))
+            rate = RATE * min(1.0, 2 * (1 - k / (passes * each + 1)))
             for x in w:
                 m[x] = 0.9 * m[x] + 0.1 * g[x]
                 v[x] = 0.99 * v[x] + 0.01 * g[x] * g[x]
                 w[x] = (w[x] - rate * (m[x] / (1 - 0.9**k)) / (np.sqrt(v[x] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
-            if k == wanted:
-                break
-        else:
-            if not k:
-                break
-    return flatten(w), read
+    return flatten(w), tokens
 
 
 def class_scores(text: Text, w: dict, prior: np.ndarray) -> np.ndarray:
@@ -231,8 +242,10 @@ def class_scores(text: Text, w: dict, prior: np.ndarray) -> np.ndarray:
     for first, valid, seen, target, place in windows(text, docs, n):
         states = forward(w, h, seen, first)
         h = states[-1]
-        p = log_softmax(states[valid] @ w["W"] + (w["b"] + prior))
-        out[place[valid]] = p[np.arange(len(p)), target[valid]] / np.log(10)
+        p = states[valid] @ w["W"] + (w["b"] + prior)
+        p -= p.max(axis=1, keepdims=True)
+        own = p[np.arange(len(p)), target[valid]]
+        out[place[valid]] = (own - np.log(np.exp(p, out=p).sum(axis=1))) / np.log(10)
     return out
 
 

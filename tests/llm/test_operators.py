@@ -394,6 +394,41 @@ def test_lm_scores_whole_documents():
             assert abs(p[text.kind[k]] / np.log(10) - scores[k]) < 1e-4
 
 
+@pytest.mark.parametrize("sizes", [[700] * 700, [100_000], [40_000, *[3] * 200], [1]])
+def test_lm_trains_on_every_token(sizes, monkeypatch):
+    """Each pass reads all tokens of the training documents, be they many, or few and long, and no other."""
+    rng = np.random.default_rng(2)
+    text = object.__new__(lm.Text)
+    text.bounds = np.cumsum([0, *sizes, 500])
+    text.out = np.array([False] * len(sizes) + [True])
+    text.kind = rng.integers(1, lm.CLASSES, text.bounds[-1]).astype(np.uint8)
+    text.kind[text.bounds[1:] - 1] = 0
+    seen_kinds, starts = np.zeros(lm.CLASSES, np.int64), 0
+
+    def gradients(w, prior, h, seen, target, first, valid):
+        nonlocal seen_kinds, starts
+        seen_kinds = seen_kinds + np.bincount(target[valid], minlength=lm.CLASSES)
+        starts += int(first[valid].sum())
+        return {k: np.zeros_like(x) for k, x in w.items()}, h
+
+    monkeypatch.setattr(lm, "gradients", gradients)
+    _, read = lm.train(text)
+    want = np.bincount(text.kind[: -500], minlength=lm.CLASSES)
+    passes = seen_kinds.sum() // want.sum()
+    assert read == sum(sizes) and passes >= 1
+    assert (seen_kinds == passes * want).all() and starts == passes * len(sizes)
+
+
+def test_lm_stretches():
+    text = object.__new__(lm.Text)
+    text.bounds, text.out = np.array([0, 4, 6, 9]), np.array([False, True, False])
+    text.kind = np.array([5, 6, 7, 0, 1, 0, 8, 9, 0], np.uint8)
+    first, valid, seen, target = (x.T.ravel() for x in lm.stretches(text, 2))
+    pairs = list(zip(first[valid], seen[valid], target[valid]))
+    a, b = [(True, 0, 5), (False, 5, 6), (False, 6, 7), (False, 7, 0)], [(True, 0, 8), (False, 8, 9), (False, 9, 0)]
+    assert pairs in (a + b, b + a) and len(valid) == 8
+
+
 # --- 9
 
 
