@@ -6,8 +6,10 @@ with those of its language over the whole table, by the Jensen-Shannon distance
 fewer words than a guard aren't compared, as short histograms are far from any reference.
 
 References: each document of enough words adds its histogram in millionths, so that long documents
-weigh no more than others and sums don't depend on their order. The KNOWN_LANGUAGES commonest
-languages have a reference; others, and a null language, take that of all documents.
+weigh no more than others and sums don't depend on their order. Every language has a reference: those of
+the KNOWN_LANGUAGES commonest go to the tasks, those of others are joined by language. A null or empty
+language, and one without a document of enough words, takes that of all documents, whatever their language;
+where that is empty too, nothing is compared.
 
 Rows: null text is empty, has no words and fails the counting rules; every row, repeated or not, gives
 a row; a null doc_id stays null; extra columns are ignored; an empty table gives no rows. Work on a
@@ -16,12 +18,14 @@ text grows with its length only; a batch of texts is held at a time.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, is_space, lower_ascii, mix, span_hashes, table, words
+from .common import cut_lineage, flat, is_space, lower_ascii, mix, span_hashes, table, words
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -156,9 +160,20 @@ def chunks(batches, most: int = CHUNK):
             at = to
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """For each of the commonest languages, and for all documents under None, the two histograms' shares."""
+@dataclass
+class References:
+    """The two histograms' shares of common languages, and of all documents under None; the sums (lang, h) of other languages."""
+
+    common: dict[str | None, tuple[np.ndarray, np.ndarray]]
+    names: list[str]
+    rest: DataFrame | None
+
+
+def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _shares(h[:N_CLASSES]), _shares(h[N_CLASSES:])
 
+
+def references(docs: DataFrame) -> References:
     def run(batches):
         for batch in chunks(batches):
             data, ends = flat(batch.column("text"))
@@ -170,16 +185,21 @@ def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([int((langs == x).sum()) for x in names], pa.int64()), pa.array([every[langs == x].sum(axis=0) for x in names], pa.list_(pa.int64()))], ["lang", "n", "h"])
 
     parts = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, n long, h array<long>")
-    sums = parts.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.col("h")[k]).alias(f"h{k}") for k in range(N_CLASSES + N_COMMON)])
-    rows = sums.orderBy(F.desc("n"), "lang").limit(KNOWN_LANGUAGES).collect()
-    each = {r["lang"]: np.array([r[f"h{k}"] or 0 for k in range(N_CLASSES + N_COMMON)], float) for r in rows}
-    each = {k: v for k, v in each.items() if v.sum() and k}
-    each[None] = sum(each.values(), np.zeros(N_CLASSES + N_COMMON))
-    return {k: (_shares(v[:N_CLASSES]), _shares(v[N_CLASSES:])) for k, v in each.items()}
-
-
-def apply_rules(docs: DataFrame, known: dict, far_chars: float = FAR_CHARS, far_common: float = FAR_COMMON) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the distances far_chars and far_common (null below the guards)."""
+    width = range(N_CLASSES + N_COMMON)
+    each = cut_lineage(parts.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("h")[k]) for k in width]).alias("h")))
+    rows = each.orderBy(F.desc("n"), "lang").limit(KNOWN_LANGUAGES + 1).collect()
+    total = each.agg(*[F.coalesce(F.sum(F.col("h")[k]), F.lit(0)) for k in width]).first()
+    top = rows[:KNOWN_LANGUAGES]
+    common = {r["lang"]: _halves(np.array(r["h"], float)) for r in top if r["lang"] and any(r["h"])}
+    names = sorted({"", *(r["lang"] for r in top)})
+    rest = each.where(~F.col("lang").isin(names) & F.exists("h", lambda x: x > 0)).select("lang", "h") if len(rows) > KNOWN_LANGUAGES else None
+    return References({**common, None: _halves(np.array(total, float))}, names, rest)
+
+
+def apply_rules(docs: DataFrame, known: References, far_chars: float = FAR_CHARS, far_common: float = FAR_COMMON) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, and the distances far_chars and far_common (null below the guards, and where
+    there is no reference)."""
+    common = known.common
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
@@ -188,16 +208,24 @@ def apply_rules(docs: DataFrame, known: dict, far_chars: float = FAR_CHARS, far_
             got = measure(data, ends)
             n = got["n_words"]
             failed = (n < LEAST_WORDS) | (100 * got["n_repeat_words"] > MOST_REPEATED * n)
-            refs = [known.get(x, known[None]) for x in batch.column("lang").to_pylist()]
-            a = distance(_shares(got["chars"]), np.array([r[0] for r in refs]).reshape(-1, N_CLASSES))
-            b = distance(_shares(got["common"]), np.array([r[1] for r in refs]).reshape(-1, N_COMMON))
-            off = ((n >= GUARD_CHARS) & (a > far_chars)) | ((n >= GUARD_COMMON) & (b > far_common))
+            own = zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist())
+            refs = [common.get(x, common[None]) if h is None else _halves(np.array(h, float)) for x, h in own]
+            chars, said = np.array([r[0] for r in refs]).reshape(-1, N_CLASSES), np.array([r[1] for r in refs]).reshape(-1, N_COMMON)
+            a, b = distance(_shares(got["chars"]), chars), distance(_shares(got["common"]), said)
+            use_a, use_b = (n >= GUARD_CHARS) & chars.any(axis=1), (n >= GUARD_COMMON) & said.any(axis=1)
+            off = (use_a & (a > far_chars)) | (use_b & (b > far_common))
             arrays = [batch.column("doc_id"), *[pa.array(got[k].astype(np.int64)) for k in counts], pa.array(failed), pa.array(~failed & ~off)]
-            arrays += [pa.array(a, mask=n < GUARD_CHARS), pa.array(b, mask=n < GUARD_COMMON)]
+            arrays += [pa.array(a, mask=~use_a), pa.array(b, mask=~use_b)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *counts, "base_failed", "kept", "far_chars", "far_common"])
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in counts) + ", base_failed boolean, kept boolean, far_chars double, far_common double"
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+    none = F.lit(None).cast("array<bigint>").alias("h")
+    if known.rest is None:
+        return rows.select("*", none).mapInArrow(run, schema)
+    listed = F.coalesce(F.col("lang").isin(known.names), F.lit(True))  # common languages aren't shuffled by language
+    joined = rows.where(~listed).join(known.rest, "lang", "left").select(*rows.columns, "h")
+    return rows.where(listed).select("*", none).unionByName(joined).mapInArrow(run, schema)
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

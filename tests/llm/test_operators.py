@@ -460,6 +460,29 @@ def test_rules(spark, edge, edge_rows, empty):
     assert rules.apply_rules(empty, rules.references(empty)).count() == 0
 
 
+def test_references_of_all_documents_and_languages(spark, monkeypatch):
+    """The common reference sums every row, and each language has its own, be it joined or not."""
+    rng = random.Random(6)
+    text = lambda s, n=80: " ".join("".join(rng.choice(s) for _ in range(4)) for _ in range(n))
+    rows = [(k, text(s), lang) for k, (lang, s) in enumerate(4 * [("aa", "abcd"), ("bb", "efgh"), ("cc", "ijkl"), ("", "mnop"), (None, "qrst")] + [("aa", "abcd")])]
+    df = spark.createDataFrame([*rows, (99, text("uvwx", 40), "dd")], "doc_id long, text string, lang string")
+    whole = rules.apply_rules(df, rules.references(df)).collect()
+    monkeypatch.setattr(rules, "KNOWN_LANGUAGES", 1)
+    known = rules.references(df)
+    assert sorted(r["lang"] for r in known.rest.collect()) == ["aa", "bb", "cc"] and known.names == [""]
+    chars = sum(rules.measure(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))["chars"][0] / len(t) for _, t, _ in rows)
+    assert np.abs(known.common[None][0] - chars / chars.sum()).max() < 1e-5
+    assert Counter(got(rules.apply_rules(df, known))) == Counter(map(tuple, whole))
+    assert all(r["kept"] and r["far_chars"] < 0.2 for r in whole if r["doc_id"] < 99 and rows[r["doc_id"]][2])
+
+
+def test_references_may_be_missing(spark):
+    prose = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    for lang, t in ((None, prose), ("", prose), ("en", " ".join(prose.split()[:45]))):
+        df = spark.createDataFrame([(k, t, lang) for k in range(3)], "doc_id long, text string, lang string")
+        assert all(r["kept"] for r in rules.apply_rules(df, rules.references(df)).collect())
+
+
 def test_distance():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.0, 0.5, 0.5]])
     assert rules.distance(p, p)[0] == 0 and abs(rules.distance(p, q)[0] - math.sqrt(0.5)) < 1e-12
