@@ -10,9 +10,9 @@ Each byte goes that lies in a 50-byte string which also starts in a document of
    Larsson-Sadakane refinement, common prefixes of neighbours by Kasai's rule; windows whose group has
    a smaller document in the shard are marked. The others go on, as pieces of the windows of an
    anchor, to the anchor's bucket.
-3. A bucket merges the shards' pieces by binary search in its sorted pieces; pieces with the same
-   anchor that differ are compared by suffix array in blocks, blocks merged by binary search in
-   their sorted windows. Windows of an anchor that more than HOT documents hold are dealt by the
+3. A bucket sorts the shards' pieces by anchor and hash, and neighbours of equal bytes are one piece; pieces
+   with the same anchor that differ are compared by a new suffix array in blocks, blocks merged by binary
+   search in their sorted windows. The shards' suffix arrays aren't merged with each other. Windows of an anchor that more than HOT documents hold are dealt by the
    window's own hash instead, so that no bucket gathers them.
 4. Each shard applies its marks.
 
