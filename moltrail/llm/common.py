@@ -44,6 +44,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (ends - ends[0] if len(ends) else np.zeros(1, np.int64))
 
 
+def chunks(batches, most: int = 4 << 20):
+    """Record batches cut so that each has about `most` bytes of text; a longer text is one by itself."""
+    for batch in batches:
+        _, ends = flat(batch.column("text"))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, other bytes as they are."""
     return data + (((data >= 65) & (data <= 90)).view(np.uint8) << 5)

@@ -3,17 +3,19 @@
 Texts are normalised: lower case, each run of other ASCII characters than letters and digits one space.
 A window of W characters that occurs in a document with at most e edits shares W - q + 1 - q * e of its
 q-grams with it, all on diagonals that lie within e of each other. So the shared q-grams are counted,
-first for each item over stretches of the document, then in overlapping diagonal bands; windows that
-meet the bound are verified by a banded alignment with the document there. An item leaks into a
-document when a window of WINDOW characters of it (all of it, if shorter) does; windows start every
-STEP characters, and one ends with the item.
-
-The benchmark goes to the tasks in blocks of at most about BLOCK_ITEMS items and BLOCK_BYTES bytes; each
-block is compared with all documents. Documents aren't shuffled. A chunk of documents is held at a time.
-
-Rows: null and empty texts have no matches; items of under LEAST normalised characters, and null items,
-aren't searched; repeated rows, on either side, give repeated pairs; a null id stays null; extra columns
-are ignored; empty tables give no rows. A match is one row for each document and item.
+first for each item over stretches of the document, then in overlapping diagonal bands; the places in an
+item where WINDOW characters meet the bound are verified by a banded alignment with the document there.
+An item leaks into a document when any WINDOW characters of it (all of it, if shorter) do, wherever they
+start. Items of under SHORT characters are searched without edits, as whole words.
+
+The benchmark's items go to the tasks PASS_BYTES of text at a time, nearly always all at once; a task
+indexes them in blocks of at most BLOCK_ITEMS items and about BLOCK_BYTES bytes, and compares each chunk of
+documents with each block. Documents are read once a pass and aren't shuffled. A chunk of about CHUNK bytes
+of documents is held at a time, and counts of PIECE places.
+
+Rows: null and empty texts have no matches; null items and those without a letter or digit aren't searched;
+repeated rows, on either side, give repeated pairs; a null id stays null; extra columns are ignored; empty
+tables give no rows. A match is one row for each document and item.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, table
+from .common import chunks, flat, table
 
 Q = 8
 WINDOW = 80
-STEP = 40
 EDITS = 0.0625
-LEAST = 32
+SHORT = 32
 BLOCK_ITEMS = 1000
 BLOCK_BYTES = 1 << 20
+PASS_BYTES = 32 << 20
+#: Indexes that a task keeps; more blocks than these are indexed again for each chunk of documents.
+KEPT_BLOCKS = 4
 STRETCH = 9  # bits: q-grams are first counted over two stretches of 512 characters
+PIECE = 1 << 18
 CHUNK = 1 << 21
 
 
@@ -74,16 +79,26 @@ def grams(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of the benchmark: its items' normalised texts and where each q-gram stands in them."""
+    """A block of the benchmark: where each q-gram stands in its items' normalised texts."""
 
     ids: list
-    texts: list[bytes]
     keys: np.ndarray
     first: np.ndarray  # of each key's places, and their end
     item: np.ndarray
     place: np.ndarray
+    size: np.ndarray  # of each item's windows
     bound: np.ndarray
     seen: np.ndarray  # by the key's hash
+    joined: np.ndarray  # the texts, one after another, and where each begins
+    begin: np.ndarray
+    words: list  # id and text of items of under Q characters
+
+    def named(self, i: int) -> tuple[int, int]:
+        """id and length of an item."""
+        if i < len(self.ids):
+            return self.ids[i], int(self.begin[i + 1] - self.begin[i])
+        item, text = self.words[i - len(self.ids)]
+        return item, len(text) - 2
 
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in g and in the postings that have the same q-gram."""
@@ -100,165 +115,227 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
 
-def budget(n: int, share: float = EDITS) -> int:
-    return int(share * n)
+def budget(n: int) -> int:
+    """Edits allowed in a window of n characters."""
+    return int(EDITS * n) if n >= SHORT else 0
 
 
 def shared_bound(n: int) -> int:
     return max(1, n - Q + 1 - Q * budget(n))
 
 
+def _clean(texts: list[bytes]) -> list[bytes]:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    text, _, at = normalise(data, np.cumsum([0, *map(len, texts)]))
+    return [text[a:b].tobytes().strip() for a, b in zip(at[:-1], at[1:])]
+
+
 def index(rows: list[tuple[int, str]]) -> Index:
-    raw = [(i, (t or "").encode()) for i, t in rows]
-    data = np.frombuffer(b"".join(t for _, t in raw), np.uint8)
-    ends = np.cumsum([0, *(len(t) for _, t in raw)])
-    text, _, at = normalise(data, ends)
-    ids, texts = [], []
-    for (i, _), a, b in zip(raw, at[:-1], at[1:]):
-        t = text[a:b].tobytes().strip()
-        if len(t) >= LEAST:
+    ids, texts, words = [], [], []
+    for (i, _), t in zip(rows, _clean([(t or "").encode() for _, t in rows])):
+        if len(t) >= Q:
             ids.append(i)
             texts.append(t)
+        elif t:
+            words.append((i, b" " + t + b" "))
     g = [grams(np.frombuffer(t, np.uint8)) for t in texts]
     every = np.concatenate(g) if g else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int64)
-    place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
+    item = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int32)
+    place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in g]) if g else np.zeros(0, np.int32)
     order = np.argsort(every, kind="stable")
     keys, first = np.unique(every[order], return_index=True)
     seen = np.zeros(1 << 22, bool)
     seen[_slot(keys)] = True
-    bound = np.array([shared_bound(min(WINDOW, len(t))) for t in texts], np.int64)
-    return Index(ids, texts, keys, np.append(first, len(every)), item[order], place[order], bound, seen)
-
-
-def edits_within(pattern: bytes, text: bytes) -> tuple[int, int, int]:
-    """Least edits of pattern against any part of text, and that part's start and end. The text is a band
-    around the pattern's diagonal, so that the whole table is a band."""
-    at = text.find(pattern)
-    if at >= 0:
-        return 0, at, at + len(pattern)
-    t, steps = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
-    cost, start = np.zeros(len(text) + 1, np.int64), steps.copy()
-    for k, c in enumerate(pattern):
-        across = cost[:-1] + (t != c)
-        down = cost[1:] + 1
-        new, new_start = np.empty_like(cost), np.empty_like(start)
-        new[0], new_start[0] = k + 1, 0
-        new[1:] = np.minimum(across, down)
-        new_start[1:] = np.where(across <= down, start[:-1], start[1:])
-        best = np.minimum.accumulate((new - steps) * (len(text) + 1) + steps)  # a gap in the pattern: from the left
-        source = best % (len(text) + 1)
-        cost, start = new[source] + steps - source, new_start[source]
-    end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
-
-
-def windows(n: int) -> list[int]:
-    return sorted({*range(0, max(1, n - WINDOW + 1), STEP), max(0, n - WINDOW)})
-
-
-def verify(item: bytes, place: np.ndarray, doc: bytes, at: np.ndarray) -> tuple[int, int, int, int] | None:
-    """matched characters of the item, most edits in a window, start and end in the document; None if no window
-    is close enough. place and at: where the shared q-grams stand in the item and in the document."""
-    size = min(WINDOW, len(item))
-    most, need = budget(size), shared_bound(size)
-    width = 2 * most + 1
-    covered, edits, lo, hi = np.zeros(len(item), bool), 0, len(doc), 0
-    for a in windows(len(item)):
-        own = (place >= a) & (place <= a + size - Q)
-        if len(np.unique(place[own])) < need:  # each of the window's own q-grams counts once
-            continue
-        diagonal = np.sort(at[own] - place[own])
-        starts = np.unique(np.concatenate([diagonal // width, diagonal // width - 1])) * width  # bands overlap by half
-        found = None
-        for b in starts:
-            k, n = np.searchsorted(diagonal, [b, b + 2 * width])
-            if n - k >= need:
-                left, right = max(0, a + int(diagonal[k]) - most), a + int(diagonal[n - 1]) + size + most
-                e, s, t = edits_within(item[a : a + size], doc[left:right])
-                if e <= most and (found is None or e < found[0]):
-                    found = (e, left + s, left + t)
-                    if not e:
-                        break
-        if found:
-            covered[a : a + size] = True
-            edits, lo, hi = max(edits, found[0]), min(lo, found[1]) if lo < len(doc) else found[1], max(hi, found[2])
-    return (int(covered.sum()), edits, lo, hi) if covered.any() else None
+    size = np.array([min(WINDOW, len(t)) for t in texts], np.int64)
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum([0, *map(len, texts)])
+    return Index(ids, keys, np.append(first, len(every)), item[order], place[order], size, np.array([shared_bound(n) for n in size], np.int64), seen, joined, begin, words)
+
+
+def banded(pattern: np.ndarray, windows: np.ndarray, size: int, text: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window (a place in pattern, `size` long) the least edits against a part of text[lo:hi] whose alignment
+    stays on `width` diagonals, where the window's start meets text from `start` on; and that part's start and end."""
+    out = [np.zeros((3, 0), np.int64)]
+    columns = np.arange(width, dtype=np.int32)
+    for k in range(0, len(windows), block):
+        p, s, least, most = (x[k : k + block] for x in (windows, start, lo, hi))
+        cost = np.broadcast_to(columns, (len(p), width)).copy()  # edits * 64 + the column it starts in
+        for t in range(size):
+            at = (s + t)[:, None] + columns
+            same = (text[np.clip(at, 0, len(text) - 1)] == pattern[p + t][:, None]) & (at >= least[:, None]) & (at < most[:, None])
+            new = cost + (64 - (same.astype(np.int32) << 6))
+            np.minimum(new[:, :-1], cost[:, 1:] + 64, out=new[:, :-1])
+            cost = np.minimum.accumulate(new - 64 * columns, axis=1) + 64 * columns  # characters of the text alone
+        end = cost.argmin(axis=1)
+        best = cost[np.arange(len(p)), end]
+        out.append(np.stack([best >> 6, np.clip(s + (best & 63), least, most), np.clip(s + size + end, least, most)]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _hits(known: Index, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shared q-grams where an item has enough of them within two stretches: document, item, places in the text and in the item."""
+    g, n, out = grams(text), len(known.ids), []
+    for lo in range(0, len(g), PIECE):
+        left = max(0, lo - (1 << STRETCH))
+        where, posting = known.hits(g[left : lo + PIECE + (1 << STRETCH)])
+        where = where + left
+        doc = np.searchsorted(at, where, side="right") - 1
+        whole = where + Q <= at[doc + 1]
+        where, posting, doc = where[whole], posting[whole], doc[whole]
+        item = known.item[posting]
+        cell = ((where >> STRETCH) - (left >> STRETCH)) * n + item
+        counts = np.bincount(cell, minlength=((PIECE >> STRETCH) + 3) * n).reshape(-1, n)
+        enough = counts[:-1] + counts[1:] >= known.bound  # this stretch and the next
+        enough = np.concatenate([enough[:1], enough[1:] | enough[:-1], enough[-1:]])
+        kept = enough.ravel()[cell] & (where >= lo) & (where < lo + PIECE)
+        out.append((doc[kept], item[kept].astype(np.int64), where[kept], known.place[posting[kept]].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys, the first most important, and the number of the group of all keys but the last; equal rows once."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in keys[:-1]:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    own = new.copy()
+    own[1:] |= keys[-1][order][1:] != keys[-1][order][:-1]
+    return order[own], (np.cumsum(new) - 1)[own]
+
+
+def _dense(known: Index, item: np.ndarray, place: np.ndarray, group: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of q-grams in order of group and place: windows that hold `need` of a group, as a q-gram of the group and the window's place."""
+    to = np.arange(len(item)) + need - 1
+    k = np.flatnonzero(to < len(item))
+    k = k[(group[to[k]] == group[k]) & (place[to[k]] - place[k] <= known.size[item[k]] - Q)]
+    size = known.size[item[k]]
+    first = np.maximum(0, place[to[k]] + Q - size)
+    n = np.maximum(0, np.minimum(place[k], np.diff(known.begin)[item[k]] - size) - first + 1)
+    which = np.repeat(k, n)
+    window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    _, once = np.unique(group[which] << 32 | window, return_index=True)
+    return which[once], window[once]
 
 
 def search(known: Index, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """For a chunk of documents: document, item, matched, edits, and start and end as bytes of the document."""
     text, back, at = normalise(data, ends)
-    g = grams(text)
-    if not len(g) or not known.ids:
-        return []
-    where, posting = known.hits(g)
-    doc = np.searchsorted(at, where, side="right") - 1
-    whole = where + Q <= at[doc + 1]
-    where, posting, doc = where[whole], posting[whole], doc[whole]
-    item, n = known.item[posting], len(known.ids)
-    cell = (where >> STRETCH) * n + item
-    counts = np.bincount(cell, minlength=((len(text) >> STRETCH) + 2) * n).reshape(-1, n)
-    pair = counts.copy()
-    pair[:-1] += counts[1:]  # this stretch and the next
-    enough = pair >= known.bound
-    enough[1:] |= enough[:-1]
-    kept = enough.ravel()[cell]
-    where, posting, doc, item = where[kept], posting[kept], doc[kept], item[kept]
-    key = doc * n + item
-    order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    out = _whole_words(known, text, back, at, ends)
+    if not known.ids:
+        return out
+    doc, item, where, place = _hits(known, text, at)
+    diagonal = where - place
+    # windows that stand in the document as they are: all their q-grams on one diagonal
+    order, group = _grouped(doc, item, diagonal, place)
+    d, i, p, q = (x[order] for x in (doc, item, diagonal, place))
+    k, window = _dense(known, i, q, group, known.size[i] - Q + 1)
+    found = [(d[k], i[k], window, np.zeros(len(k), np.int64), window + p[k], window + p[k] + known.size[i[k]])]
+    # others: enough q-grams in a band of diagonals, then an alignment
+    most = np.array([budget(n) for n in known.size.tolist()], np.int64)
+    width = 2 * most[item] + 1
+    band = np.concatenate([diagonal // width, diagonal // width - 1])  # bands overlap by half
+    doc, item, place, width = (np.tile(x, 2) for x in (doc, item, place, width))
+    order, group = _grouped(doc, item, band, place)
+    d, i, p, q = (x[order] for x in (doc, item, band * width, place))
+    k, window = _dense(known, i, q, group, known.bound[i])
+    pair = lambda d, i, w: (d * len(known.ids) + i) << 32 | w
+    left = ~np.isin(pair(d[k], i[k], window), pair(*found[0][:3]))
+    k, window = k[left], window[left]
+    for size in np.unique(known.size[i[k]]).tolist():  # short items have shorter windows
+        own = np.flatnonzero(known.size[i[k]] == size)
+        j, w, e = k[own], window[own], budget(size)
+        edits, lo, hi = banded(known.joined, known.begin[i[j]] + w, size, text, w + p[j] - e, at[d[j]], at[d[j] + 1], 6 * e + 2)
+        good = edits <= e
+        found.append(tuple(x[good] for x in (d[j], i[j], w, edits, lo, hi)))
+    doc, item, window, edits, lo, hi = (np.concatenate(x) for x in zip(*found))
+    short = known.size[item] < SHORT  # whole words
+    edge = lambda x, end: (x == at[doc + 1] if end else x == at[doc]) | (text[np.clip(x if end else x - 1, 0, len(text) - 1)] == 32)
+    keep = ~short | edge(lo, False) & edge(hi, True)
+    doc, item, window, edits, lo, hi = (x[keep] for x in (doc, item, window, edits, lo, hi))
+    order = np.lexsort((lo, edits, window, item, doc))
+    doc, item, window, edits, lo, hi = (x[order] for x in (doc, item, window, edits, lo, hi))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    best = new.copy()
+    best[1:] |= window[1:] != window[:-1]
+    new, doc, item, window, edits, lo, hi = (x[best] for x in (new, doc, item, window, edits, lo, hi))
+    cuts = np.flatnonzero(new)
+    for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+        d, i = int(doc[a]), int(item[a])
+        covered = np.minimum(np.diff(window[a:b], append=window[b - 1] + known.size[i]), known.size[i])
+        start, stop = int(lo[a:b].min()), int(hi[a:b].max())
+        out.append((d, i, int(covered.sum()), int(edits[a:b].max()), int(back[start] - ends[d]), int(back[stop - 1] + 1 - ends[d])))
+    return out
+
+
+def _whole_words(known: Index, text: np.ndarray, back: np.ndarray, at: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches of items of under Q characters, which follow the others in number."""
     out = []
-    for a, b in zip(cuts, [*cuts[1:], len(order)]):
-        own = order[a:b]
-        d, i = int(doc[own[0]]), int(item[own[0]])
-        got = verify(known.texts[i], known.place[posting[own]], text[at[d] : at[d + 1]].tobytes(), where[own] - at[d])
-        if got:
-            matched, edits, lo, hi = got
-            out.append((d, i, matched, edits, int(back[at[d] + lo] - ends[d]), int(back[at[d] + hi - 1] + 1 - ends[d])))
+    if known.words:
+        for d, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            here = b" " + text[a:b].tobytes() + b" "
+            for k, (_, word) in enumerate(known.words):
+                p = here.find(word)
+                if p >= 0:
+                    n = len(word) - 2
+                    out.append((d, len(known.ids) + k, n, 0, int(back[a + p] - ends[d]), int(back[a + p + n - 1] + 1 - ends[d])))
     return out
 
 
-def blocks_of(benchmark: DataFrame) -> list[Index]:
-    """The benchmark's items as indexes of blocks of bounded size, each gathered by itself."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    part = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-    return [index([(r["item_id"], r["text"]) for r in part(b).orderBy("item_id", "text").collect()]) for b in range(n)]
+class Items:
+    """Some of the benchmark's rows (id, text), indexed by the tasks in blocks."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.rows, self.cuts, self.kept = rows, [0], {}
+        size = 0
+        for k, (_, t) in enumerate(rows):
+            size += len(t)
+            if k - self.cuts[-1] >= BLOCK_ITEMS or size > BLOCK_BYTES and k > self.cuts[-1]:
+                self.cuts.append(k)
+                size = len(t)
+        self.cuts.append(len(rows))
 
+    def blocks(self):
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            known = self.kept.get(a) or index(self.rows[a:b])
+            if len(self.kept) < KEPT_BLOCKS:
+                self.kept[a] = known
+            yield known
 
-def search_batch(known: Index, column: pa.Array):
-    """For a column of texts, in chunks: row, item, matched, edits, start and end in bytes, and the text."""
-    data, ends = flat(column)
-    first = 0
-    while first < len(column):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK, side="right")) - 1)
-        own = ends[first : last + 1] - ends[first]
-        part = data[ends[first] : ends[last]]
-        for d, i, matched, edits, lo, hi in search(known, part, own):
-            yield first + d, i, matched, edits, lo, hi, part[own[d] : own[d + 1]]
-        first = last
+
+def passes(benchmark: DataFrame) -> list[Items]:
+    """The benchmark in parts of about PASS_BYTES, each gathered by itself."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // PASS_BYTES))
+    part = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return [Items([(r["item_id"], r["text"]) for r in part(b).orderBy("item_id", "text").collect()]) for b in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_chars and matched_chars (normalised), edits (most in a window), start and end (code points
     of the document's text, from the first to the last matched window)."""
-    parts = [_search_block(docs, known) for known in blocks_of(benchmark)]
+    parts = [_matches(docs, items) for items in passes(benchmark)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _search_block(docs: DataFrame, known: Index) -> DataFrame:
+def _matches(docs: DataFrame, items: Items) -> DataFrame:
     names = ["doc_id", "item_id", "item_chars", "matched_chars", "edits", "start", "end"]
     place = lambda text, n: len(text[:n].tobytes().decode("utf-8", "ignore"))
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[d], known.ids[i], len(known.texts[i]), matched, edits, place(text, lo), place(text, hi)) for d, i, matched, edits, lo, hi, text in search_batch(known, batch.column("text"))]
+        for batch in chunks(batches, CHUNK):
+            data, ends = flat(batch.column("text"))
+            ids, rows = batch.column("doc_id").to_pylist(), []
+            for known in items.blocks():
+                for d, i, matched, edits, lo, hi in search(known, data, ends):
+                    item, n = known.named(i)
+                    text = data[ends[d] : ends[d + 1]]
+                    rows.append((ids[d], item, n, matched, edits, place(text, lo), place(text, hi)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
@@ -266,13 +343,14 @@ def _search_block(docs: DataFrame, known: Index) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item of the benchmark leaks, as they are."""
-    for known in blocks_of(benchmark):
+    for items in passes(benchmark):
 
-        def run(batches, known=known):
-            for batch in batches:
+        def run(batches, items=items):
+            for batch in chunks(batches, CHUNK):
+                data, ends = flat(batch.column("text"))
                 clean = np.ones(batch.num_rows, bool)
-                for d, *_ in search_batch(known, batch.column("text")):
-                    clean[d] = False
+                for known in items.blocks():
+                    clean[[d for d, *_ in search(known, data, ends)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

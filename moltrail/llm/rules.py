@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, flat, is_space, lower_ascii, mix, span_hashes, table, words
+from .common import chunks, cut_lineage, flat, is_space, lower_ascii, mix, span_hashes, table, words
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -149,17 +149,6 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d / 2, 0, 1))
 
 
-def chunks(batches, most: int = CHUNK):
-    """Record batches cut so that each has about `most` bytes of text; a longer text is one by itself."""
-    for batch in batches:
-        _, ends = flat(batch.column("text"))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
-
-
 @dataclass
 class References:
     """The two histograms' shares of common languages, and of all documents under None; the sums (lang, h) of other languages."""
@@ -175,7 +164,7 @@ def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def references(docs: DataFrame) -> References:
     def run(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             data, ends = flat(batch.column("text"))
             got = measure(data, ends)
             every = np.concatenate([(1e6 * _shares(got["chars"])).astype(np.int64), (1e6 * _shares(got["common"])).astype(np.int64)], axis=1)
@@ -203,7 +192,7 @@ def apply_rules(docs: DataFrame, known: References, far_chars: float = FAR_CHARS
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             data, ends = flat(batch.column("text"))
             got = measure(data, ends)
             n = got["n_words"]
