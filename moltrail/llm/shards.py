@@ -11,16 +11,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, pack, shuffle_partitions, unpack
+from .common import chunks, flat, mix, pack, unpack
 
-#: Bytes of text of a shard at most, about.
-SHARD_BYTES = 16 << 20
+#: Bytes of text that are dealt at a time.
+DEALT_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
-def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+def shard_count(docs: DataFrame, shard_bytes: int, least: int) -> int:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-size // shard_bytes))
+    return max(least, -(-size // shard_bytes))
 
 
 def sharded(docs: DataFrame, n: int) -> DataFrame:
@@ -28,12 +28,13 @@ def sharded(docs: DataFrame, n: int) -> DataFrame:
     id spread; rows without an id, which may be many and alike, spread by partition and place too."""
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        for batch in batches:
+        task, seen = TaskContext.get().partitionId(), 0
+        for batch in chunks(batches, DEALT_BYTES):
             data, ends = flat(batch.column("text"))
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
             sums = np.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:])], np.uint64)
-            salt = np.where(ids == NO_ID, np.arange(len(ids)) + (task << 20), 0).astype(np.uint64)
+            salt = np.where(ids == NO_ID, np.arange(seen, seen + len(ids)) + (task << 32), 0).astype(np.uint64)
+            seen += len(ids)
             shard = (mix(mix(ids.astype(np.uint64) ^ (sums << np.uint64(32))) + salt) % np.uint64(n)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             sizes = np.diff(ends)
@@ -65,3 +66,10 @@ def opened(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def as_table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def rows_of(batches):
+    """The rows of batches as dicts, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, flat, lower_ascii, table
+from .common import chunks, cut_lineage, flat, lower_ascii, table
 from .graph import components
 
 SHINGLE = 4
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in chunks(batches):
             data, ends = flat(batch.column("text"))
             data = lower_ascii(data).tobytes()
             values = [fingerprint(data[a:b], shingle) for a, b in zip(ends[:-1], ends[1:])]

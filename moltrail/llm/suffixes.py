@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import mix, pack, shuffle_partitions, table, unpack
-from .shards import NO_ID, as_table, opened, sharded
+from .shards import NO_ID, as_table, opened, shard_count, sharded
 
 LENGTH = 50
 ANCHOR = 24
@@ -471,8 +470,7 @@ def _apply(key, rows, marks):
 
 def repeats_removed(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    n = shard_count(docs, SHARD_BYTES, shuffle_partitions(docs.sparkSession))
     shards = sharded(docs, n)
     by_shard = lambda: shards.groupBy("shard")
     entries = by_shard().applyInArrow(_entries(n), "bucket int, shard int, anchors binary, counts binary")

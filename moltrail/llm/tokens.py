@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import chunks, table
 
 #: The cutting rule of this family of vocabularies.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,7 +198,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, prefixes:
 
     def run(batches):
         known = counter(vocabulary)
-        for batch in batches:
+        for batch in chunks(batches):
             rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "budget_bytes", "prefix_bytes", "prefix_tokens")}
             for text in batch.column("text"):
                 text = text.as_py() or ""

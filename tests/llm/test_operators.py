@@ -207,19 +207,82 @@ def edit_distance_in(pattern, text):
     return min(cost)
 
 
-def test_edits_within():
+def brute_leaks(docs, items):
+    """document, item, matched characters, most edits: every window of every item by the whole alignment table."""
+    out = []
+    clean = lambda t: decontaminate._clean([t.encode()])[0]
+    for d, text in docs:
+        for i, item in items:
+            text_, item_ = clean("x" + text + "x")[1:-1], clean(item)  # blanks at a document's ends stay
+            n = min(decontaminate.WINDOW, len(item_))
+            if not n:
+                continue
+            covered, most = [False] * len(item_), None
+            for a in range(len(item_) - n + 1):
+                w = item_[a : a + n]
+                if n < decontaminate.SHORT:
+                    e = 0 if b" " + w + b" " in b" " + text_ + b" " else None
+                else:
+                    e = edit_distance_in(w, text_)
+                    e = e if e <= int(decontaminate.EDITS * n) else None
+                if e is not None:
+                    most = max(most or 0, e)
+                    covered[a : a + n] = [True] * n
+            if most is not None:
+                out.append((d, i, sum(covered), most))
+    return sorted(out)
+
+
+def test_banded():
     rng = random.Random(8)
     for _ in range(60):
         p = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 20)))
-        t = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30)))
-        e, a, b = decontaminate.edits_within(p, t)
-        assert e == edit_distance_in(p, t) and edit_distance_in(p, t[a:b]) == e
+        t = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30)))
+        one = lambda x: np.array([x])
+        e, a, b = decontaminate.banded(np.frombuffer(p, np.uint8), one(0), len(p), np.frombuffer(t, np.uint8), one(-len(p)), one(0), one(len(t)), 62)
+        assert e[0] == edit_distance_in(p, t) and edit_distance_in(p, t[a[0] : b[0]]) == e[0]
+
+
+def test_decontaminate_against_brute_force(spark, monkeypatch):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, prose(rng.choice([3, 7, 10, 14, 18, 24]))) for k in range(12)] + [(20, "a b"), (21, "Éc ô"), (22, "..."), (23, "")]
+    docs = []
+    for k in range(60):
+        x = list(rng.choice(items[:12])[1])
+        x = x[rng.randint(0, 25) :][: rng.randint(70, 140)]
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + 1] = rng.choice([[], ["q"], x[at : at + 1] + ["q"]])
+        docs.append((k, prose(rng.randint(0, 6)) + rng.choice([" ", ", ", ""]) + "".join(x).title() + rng.choice([" ", "-"]) + prose(rng.randint(0, 6)) + rng.choice(["", " a  b", " ÉC Ô."])))
+    want = brute_leaks(docs, items)
+    assert len(want) > 40 and any(0 < w[3] for w in want)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for kept, size in ((4, 1000), (1, 3)):
+        monkeypatch.setattr(decontaminate, "KEPT_BLOCKS", kept)
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        rows = decontaminate.matches(*frames).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["matched_chars"], r["edits"]) for r in rows) == want
+    texts = dict(docs)
+    assert all(edit_distance_in(decontaminate._clean([texts[r["doc_id"]][r["start"] : r["end"]].encode()])[0], decontaminate._clean([texts[r["doc_id"]].encode()])[0]) == 0 for r in rows)
+    assert {r["doc_id"] for r in decontaminate.without_leaks(*frames).collect()} == set(texts) - {w[0] for w in want}
+
+
+def test_whole_copies_are_found_wherever_they_start(monkeypatch):
+    rng = random.Random(2)
+    item = "".join(rng.choice("etaoin shr") for _ in range(400))
+    known = decontaminate.index([(1, item)])
+    monkeypatch.setattr(decontaminate, "PIECE", 1 << 10)  # counts in pieces of the text
+    for a in range(0, 300, 7):
+        doc = ("x" * rng.randint(0, 3000) + " " + item[a : a + 90] + " " + "y" * 500).encode()
+        assert [i for _, i, *_ in decontaminate.search(known, np.frombuffer(doc, np.uint8), np.array([0, len(doc)]))] == [0]
 
 
 def test_decontaminate(spark, edge, edge_rows, empty, monkeypatch):
     passage = next(t for i, t, *_ in edge_rows if i == 9)
     far = "quite different words that occur nowhere else in the table and go on for a while longer than needed"
-    items = spark.createDataFrame([(1, passage), (2, far), (3, None), (4, "short"), (5, passage.upper() + "!")], "item_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, far), (3, None), (4, "shortest"), (5, passage.upper() + "!")], "item_id long, text string")
     want = {(8, 1), (9, 1), (8, 5), (9, 5)}
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(edge, items).collect()} == want
     whole = [r for r in decontaminate.matches(edge, items).collect() if (r["doc_id"], r["item_id"]) == (9, 1)][0]
@@ -351,84 +414,140 @@ def test_lm(edge, edge_rows, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
-def test_lm_gradients():
+@pytest.fixture()
+def small_model():
+    """Weights away from the start and a vocabulary of 60 frequent words with rarer ones beside them."""
     rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in lm.start_weights().items()}
-    seen, target = rng.integers(0, lm.CLASSES, (5, 3)), rng.integers(0, lm.CLASSES, (5, 3))
-    first, valid = rng.random((5, 3)) < 0.3, rng.random((5, 3)) < 0.8
-    h = rng.standard_normal((3, lm.STATE))
-    prior = lm.class_prior(rng.integers(0, 50, lm.CLASSES))
-
-    def loss():
-        p = lm.log_softmax(lm.forward(w, h, seen, first).astype(np.float64) @ w["W"] + w["b"] + prior)
-        return -(np.take_along_axis(p, target[..., None], -1)[..., 0] * valid).sum() / valid.sum()
-
-    g, _ = lm.gradients(w, prior, h, seen, target, first, valid)
-    for k in "EUWb":
-        at = tuple(rng.integers(0, n) for n in w[k].shape) if k != "E" else (int(seen[1, 1]), 5)
-        keep, step = w[k][at], 1e-3
+    counts = np.sort(rng.integers(1, 400, 60))[::-1]
+    top = [(int(n), int(c), int(f)) for n, c, f in zip([0, *rng.integers(1, 1 << 60, 59)], counts, [0, *rng.integers(1, lm.FORMS, 59)])]
+    tokens, distinct = rng.integers(0, 50, lm.FORMS), rng.integers(1, 9, lm.FORMS)
+    for _, c, f in top:
+        tokens[f] += c
+        distinct[f] += 1
+    known = lm.Vocabulary.build(top, tokens, distinct)
+    return {k: rng.standard_normal(v.shape) * 0.3 for k, v in lm.start_weights().items()}, known
+
+
+def tokens_of(rng, known, shape):
+    """Random tokens: input, class, place among the frequent words."""
+    place = np.where(rng.random(shape) < 0.6, rng.integers(0, 60, shape), -1)
+    form = rng.integers(1, lm.FORMS, shape)
+    return np.where(place >= 0, place, lm.TOP + form), np.where(place >= 0, np.searchsorted(known.cuts, place, side="right") - 1, lm.TOP_CLASSES + form), place
+
+
+def test_lm_probabilities(small_model):
+    """All words of the vocabulary and all forms together have probability 1 in any state; the untrained network gives the counts'."""
+    w, known = small_model
+    state = np.random.default_rng(3).standard_normal((1, lm.STATE))
+    place = np.arange(60)
+    frequent = lm.log_probabilities(w, known, state.repeat(60, 0), np.searchsorted(known.cuts, place, side="right") - 1, place)
+    rare = lm.log_probabilities(w, known, state.repeat(lm.FORMS, 0), lm.TOP_CLASSES + np.arange(lm.FORMS), np.full(lm.FORMS, -1))
+    assert math.isclose(np.exp(frequent).sum() + np.exp(rare).sum(), 1, rel_tol=1e-5)
+    start = lm.log_probabilities(lm.start_weights(), known, state.repeat(60, 0), np.searchsorted(known.cuts, place, side="right") - 1, place)
+    total = known.total + 0.1 * (known.words + lm.FORMS)
+    assert np.allclose(np.exp(start), (known.counts + 0.1) / total, rtol=1e-4)
+
+
+def test_lm_gradients(small_model):
+    w, known = small_model
+    rng = np.random.default_rng(1)
+    seen, kind, place = tokens_of(rng, known, (5, 30))
+    first, valid = rng.random((5, 30)) < 0.3, rng.random((5, 30)) < 0.8
+    h = rng.standard_normal((30, lm.STATE))
+    arrays = (h, seen, kind, place, first, valid)
+    g, _, loss = lm.gradients(w, known, *arrays)
+    states = lm.forward(w, h, seen, first).astype(float).reshape(-1, lm.STATE)
+    assert math.isclose(loss, -(lm.log_probabilities(w, known, states, kind.ravel(), place.ravel()) * valid.ravel()).sum() / valid.sum(), rel_tol=1e-3)
+    some = int(place[place >= 0][0])
+    for k, at in (("E", (int(seen[1, 1]), 5)), ("U", (3, 7)), ("W", (2, int(kind[0, 0]))), ("b", (int(kind[0, 0]),)), ("V", (some, 4)), ("c", (some,))):
+        keep, step = w[k][at], 1e-2
         w[k][at] = keep + step
-        up = loss()
+        up = lm.gradients(w, known, *arrays)[2]
         w[k][at] = keep - step
-        down = loss()
+        down = lm.gradients(w, known, *arrays)[2]
         w[k][at] = keep
-        assert abs((up - down) / (2 * step) - g[k][at]) < 1e-3
+        assert abs((up - down) / (2 * step) - g[k][at]) < 1e-3, k
+
 
+def text_of(rng, bounds, out):
+    n = int(bounds[-1])
+    names = np.sort(rng.integers(1, 1 << 60, 200)).astype(np.uint64)
+    names[0] = 0
+    word = rng.integers(1, 200, n).astype(np.uint32)
+    word[np.asarray(bounds[1:]) - 1] = 0
+    text = lm.Text(np.arange(len(bounds) - 1), np.asarray(bounds), names, np.where(np.arange(200) == 0, 0, rng.integers(1, lm.FORMS, 200)).astype(np.uint8), word)
+    text.out = np.asarray(out)
+    counts = text.counts()
+    rows = sorted(zip(counts.tolist(), names.astype(np.int64).tolist(), text.forms.tolist()), key=lambda r: (-r[0], r[1]))
+    sums = [np.bincount(text.forms, x, lm.FORMS).astype(np.int64) for x in (counts, counts > 0)]
+    return text, lm.Vocabulary.build([(i, c, f) for c, i, f in rows[:60] if c], *sums)
 
-def test_lm_scores_whole_documents():
+
+def test_lm_scores_whole_documents(small_model):
     """Lanes and windows don't change a document's score: one lane, step by step, gives the same."""
-    rng = np.random.default_rng(1)
-    text = object.__new__(lm.Text)
-    text.bounds = np.array([0, 40, 41, 141, 150])
-    text.ids = np.arange(4)
-    text.kind = rng.integers(1, lm.CLASSES, 150).astype(np.uint8)
-    text.word = np.zeros(150, np.int64)
-    w, prior = lm.start_weights(), lm.class_prior(np.arange(lm.CLASSES))
-    scores = lm.class_scores(text, w, prior)
+    text, known = text_of(np.random.default_rng(1), [0, 40, 41, 141, 150], [False] * 4)
+    w = {k: v.astype(np.float32) for k, v in small_model[0].items()}
+    inputs, kinds, places = known.inputs(text)
+    scores = lm.network_scores(text, known, w)
     for a, b in zip(text.bounds[:-1], text.bounds[1:]):
-        h, before = np.zeros((1, lm.STATE), np.float32), 0
+        h, before = np.zeros((1, lm.STATE), np.float32), inputs[0]
         for k in range(a, b):
             s = lm.forward(w, h, np.array([[before]]), np.array([[k == a]]))
-            h, before = s[-1], text.kind[k]
-            p = lm.log_softmax(s[0] @ w["W"] + w["b"] + prior)[0]
-            assert abs(p[text.kind[k]] / np.log(10) - scores[k]) < 1e-4
+            h, x = s[-1], text.word[k]
+            before = inputs[x]
+            p = lm.log_probabilities(w, known, s[0], kinds[x : x + 1], places[x : x + 1])[0]
+            assert abs(p / np.log(10) - scores[k]) < 1e-4
 
 
-@pytest.mark.parametrize("sizes", [[700] * 700, [100_000], [40_000, *[3] * 200], [1]])
+@pytest.mark.parametrize("sizes", [[700] * 900, [100_000], [40_000, *[3] * 200], [1], [700_000]])
 def test_lm_trains_on_every_token(sizes, monkeypatch):
-    """Each pass reads all tokens of the training documents, be they many, or few and long, and no other."""
-    rng = np.random.default_rng(2)
-    text = object.__new__(lm.Text)
-    text.bounds = np.cumsum([0, *sizes, 500])
-    text.out = np.array([False] * len(sizes) + [True])
-    text.kind = rng.integers(1, lm.CLASSES, text.bounds[-1]).astype(np.uint8)
-    text.kind[text.bounds[1:] - 1] = 0
-    seen_kinds, starts = np.zeros(lm.CLASSES, np.int64), 0
-
-    def gradients(w, prior, h, seen, target, first, valid):
-        nonlocal seen_kinds, starts
-        seen_kinds = seen_kinds + np.bincount(target[valid], minlength=lm.CLASSES)
+    """All rounds together read all tokens of the training documents, be they many, or few and long, and no other."""
+    text, known = text_of(np.random.default_rng(2), np.cumsum([0, *sizes, 500]), [False] * len(sizes) + [True])
+    inputs, _, places = known.inputs(text)
+    seen_places, starts = np.zeros(61, np.int64), 0
+
+    def gradients(w, known, h, seen, kind, place, first, valid):
+        nonlocal seen_places, starts
+        seen_places = seen_places + np.bincount(place[valid] + 1, minlength=61)
         starts += int(first[valid].sum())
-        return {k: np.zeros_like(x) for k, x in w.items()}, h
+        return {k: np.zeros_like(x) for k, x in w.items()}, h, 0.0
 
     monkeypatch.setattr(lm, "gradients", gradients)
-    _, read = lm.train(text)
-    want = np.bincount(text.kind[: -500], minlength=lm.CLASSES)
-    passes = seen_kinds.sum() // want.sum()
-    assert read == sum(sizes) and passes >= 1
-    assert (seen_kinds == passes * want).all() and starts == passes * len(sizes)
+    read = [lm.train(text, known, lm.flatten(lm.start_weights()), turn)[1] for turn in range(lm.ROUNDS)]
+    want = np.bincount(places[text.word[:-500]] + 1, minlength=61)
+    passes = seen_places.sum() // want.sum()
+    assert passes >= 1 and sum(read) in (sum(sizes), lm.ROUNDS * sum(sizes))
+    assert (seen_places == passes * want).all() and starts == passes * len(sizes)
 
 
 def test_lm_stretches():
     text = object.__new__(lm.Text)
     text.bounds, text.out = np.array([0, 4, 6, 9]), np.array([False, True, False])
-    text.kind = np.array([5, 6, 7, 0, 1, 0, 8, 9, 0], np.uint8)
-    first, valid, seen, target = (x.T.ravel() for x in lm.stretches(text, 2))
+    text.word = np.array([5, 6, 7, 0, 1, 0, 8, 9, 0])
+    first, valid, seen, target = (x.T.ravel() for x in lm.stretches(text, 2, np.arange(10), np.arange(10)))
     pairs = list(zip(first[valid], seen[valid], target[valid]))
     a, b = [(True, 0, 5), (False, 5, 6), (False, 6, 7), (False, 7, 0)], [(True, 0, 8), (False, 8, 9), (False, 9, 0)]
     assert pairs in (a + b, b + a) and len(valid) == 8
 
 
+def test_lm_does_not_depend_on_partitions(spark):
+    """Whatever the number of partitions; and what documents say of each other is learnt: held-out ones score over the base."""
+    rng = random.Random(11)
+    said = [[f"{p}{k}" for k in range(40)] for p in "abc"]
+    rows = [(k, " ".join(rng.choice(said[k % 3]) for _ in range(rng.randint(20, 60)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, lm.lm_scores(df.repartition(n), shard_bytes=20_000).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    held = [r for r in found[0] if r[1]]
+    assert len(held) > 20 and all(r[6] > r[5] + 0.2 * r[2] for r in held)
+
+
 # --- 9
 
 
