@@ -50,6 +50,12 @@ def soft_pairs(a: DataFrame, b: DataFrame, d0: float, least: float, on: list[str
     return rows.withColumn("w", G.switch(F.col("d"), d0)).where(F.col("w") >= least)
 
 
+def all_soft_pairs(a: DataFrame, b: DataFrame, d0: float, on: list[str], keep: list[str]) -> DataFrame:
+    """All pairs with their switched weight w, whose length is twice d0, however far they are: the true product of
+    groups that are chosen small."""
+    return all_pairs(a, b, on, keep).withColumn("w", G.switch(F.col("d"), 2 * d0))
+
+
 def coordination_number(pairs: DataFrame, frames: DataFrame, on: list[str], weight: Column | None = None) -> DataFrame:
     """Contacts of each frame, zero where it has none. Pairs are summed before they meet the frame list."""
     sums = pairs.groupBy(*on).agg((F.sum(weight) if weight is not None else F.count("*")).alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranges import dense_index
+
 
 def last_wins(scores: DataFrame, key: list[str], line: str) -> DataFrame:
     """Of rows with equal keys the one of the last line. Partial maxima are kept before the shuffle."""
@@ -13,10 +15,16 @@ def last_wins(scores: DataFrame, key: list[str], line: str) -> DataFrame:
     return scores.groupBy(*key).agg(F.max_by(F.struct(*rest), line).alias("r")).select(*key, "r.*")
 
 
-def ranked(scores: DataFrame, by: str, tie: str, on: list[str] = (), descending: bool = True) -> DataFrame:
-    """Rank within each list. Without lists this orders one partition: use top() for a few."""
+def ranked(scores: DataFrame, by: str, tie: str, on: list[str], descending: bool = True) -> DataFrame:
+    """Rank within each list; of one list placed() gives the places."""
     order = [F.desc(by) if descending else F.asc(by), F.asc(tie)]
-    return scores.withColumn("rank", F.row_number().over(W.partitionBy(*(on or [F.lit(0)])).orderBy(*order)))
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy(*on).orderBy(*order)))
+
+
+def placed(scores: DataFrame, by: str, tie: str, descending: bool = True) -> DataFrame:
+    """The place (0, 1, ...) of each row in the order of one list, however long."""
+    rows = dense_index(scores.withColumn("_t", F.col(tie)), F.desc(by) if descending else F.asc(by), F.asc("_t"))
+    return rows.withColumnRenamed("_i", "place").drop("_t")
 
 
 def top(scores: DataFrame, n: int, by: str, tie: str, descending: bool = True) -> DataFrame:
@@ -76,10 +84,10 @@ def select_molecule(molecules: DataFrame, ids: DataFrame, name: str) -> DataFram
     return molecules.join(ids.select(name).distinct(), name, "left_semi")
 
 
-def replace_field(lines: DataFrame, section: str, line_no: int, field: int, value: str) -> DataFrame:
+def replace_field(lines: DataFrame, section: str, line_no: int, field: int, value: str | Column) -> DataFrame:
     """The n-th blank-separated field of a line of a section."""
     parts = F.split("text", r"\s+")
-    changed = F.array_join(F.transform(parts, lambda x, i: F.when(i == field, value).otherwise(x)), " ")
+    changed = F.array_join(F.transform(parts, lambda x, i: F.when(i == field, value if isinstance(value, Column) else F.lit(value)).otherwise(x)), " ")
     return lines.withColumn("text", F.when((F.col("section") == section) & (F.col("line_no") == line_no), changed).otherwise(F.col("text")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.parameters import TYPE_ALIAS
 from .contacts import near_pairs
 
 BACKBONE = ("C", "N", "O", "CA")
@@ -20,11 +21,11 @@ def split_roles(atoms: DataFrame, ligand: str) -> DataFrame:
     return atoms.withColumn("role", F.when(F.col("res_name") == ligand, "L").otherwise("R"))
 
 
-def with_parameters(atoms: DataFrame, parameters: DataFrame, alias: dict[str, str] | None = None, default: str = "DU") -> DataFrame:
+def with_parameters(atoms: DataFrame, parameters: DataFrame, alias: dict[str, str] = TYPE_ALIAS, default: str = "DU") -> DataFrame:
     """sigma_nm and eps by atom type, types renamed by alias, unknown ones take the default's. The parameters
     are a small table that Spark may broadcast by its size."""
     kind = F.col("atom_type")
-    for old, new in (alias or {}).items():
+    for old, new in alias.items():
         kind = F.when(F.col("atom_type") == old, new).otherwise(kind)
     p = parameters.select(F.col("atom_type").alias("p_type"), "sigma_nm", "eps")
     d = parameters.where(F.col("atom_type") == default).select(F.col("sigma_nm").alias("d_sigma"), F.col("eps").alias("d_eps"), F.lit(1).alias("one"))

@@ -9,8 +9,8 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from .ranges import dense_index, running_sums
 from .series import scaled
 
 
@@ -44,10 +44,9 @@ def metrics(c: DataFrame) -> DataFrame:
 
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """For each distinct score, from the highest, positives and negatives at it (pos, neg) and up to it (tp, fp).
-    Ties are merged before the window, which orders distinct scores only."""
+    Ties are merged first; distinct scores stand in ranged partitions."""
     g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    return running_sums(g, [F.desc(score)], {"tp": "pos", "fp": "neg"})
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -57,14 +56,13 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def enrichment(df: DataFrame, score: str, label: str, tie: str, share: float) -> DataFrame:
     """The first floor(N * share) by score; their share of hits over N / (N * share). The cut is the score of
-    the last row taken, found by a count for each distinct score, so that rows aren't ordered in one task."""
+    the last row taken, found by a count for each distinct score; rows tied at the cut are numbered by `tie`."""
     n = df.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("hits"))
     counts = df.groupBy(score).agg(F.count("*").alias("c"), F.count_if(F.col(label) == 1).alias("h"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    cum = counts.withColumns({"upto": F.sum("c").over(w)}).crossJoin(F.broadcast(n)).withColumn("take", F.floor(F.col("n") * share))
+    cum = running_sums(counts, [F.desc(score)], {"upto": "c"}).crossJoin(F.broadcast(n)).withColumn("take", F.floor(F.col("n") * share))
     whole = cum.agg(F.sum(F.when(F.col("upto") <= F.col("take"), F.col("h"))).alias("whole"), F.min(F.when(F.col("upto") > F.col("take"), F.struct(F.col("upto"), F.col(score).alias("s"), (F.col("take") - F.col("upto") + F.col("c")).alias("more")))).alias("cut"), F.first("n").alias("n"), F.first("hits").alias("hits"))
     edge = df.join(F.broadcast(whole), df[score] == F.col("cut.s"))  # rows tied at the cut
-    edge = edge.withColumn("r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(tie))).where(F.col("r") <= F.col("cut.more")).agg(F.count_if(F.col(label) == 1).alias("tied"))
+    edge = dense_index(edge.select(F.col(tie).alias("t"), F.col(label).alias("l"), F.col("cut.more").alias("more")), "t").where("_i < more").agg(F.count_if(F.col("l") == 1).alias("tied"))
     rows = whole.crossJoin(edge)
     return rows.select((F.try_divide(F.coalesce("whole", F.lit(0)) + F.col("tied"), F.col("hits")) * (F.col("n") / (F.col("n") * share))).alias("enrichment"))
 
@@ -80,18 +78,9 @@ def k_fold(df: DataFrame, order: str, k: int = 5) -> DataFrame:
     return rows.withColumn("fold", fold.cast("int")).drop("_i", "_n")
 
 
-def dense_index(df: DataFrame, *order: str) -> DataFrame:
-    """A column _i: 0, 1, ... in the order of unique keys. Rows are ranged into partitions; each partition's count
-    gives the next one its start, so that no task holds all rows."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumns({"_p": F.shiftright("_m", 33), "_k": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    starts = parts.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(starts.drop("_c")), "_p").withColumn("_i", F.col("_s") + F.col("_k")).drop("_p", "_m", "_k", "_s")
-
-
 def random_groups(df: DataFrame, order: str, n: int, seed: int = 0) -> DataFrame:
     """N equal groups in a random order that the key decides; the last takes the remainder."""
-    rows = dense_index(df.withColumn("_r", F.xxhash64(F.lit(seed), F.col(order))), "_r", order)
+    rows = dense_index(df.withColumn("_r", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(order).cast("string")).cast("binary"))), "_r", order)
     rows = rows.crossJoin(F.broadcast(df.agg(F.greatest(F.floor(F.count("*") / n), F.lit(1)).alias("_c"))))
     return rows.withColumn("part", F.least(F.floor(F.col("_i") / F.col("_c")), F.lit(n - 1)).cast("int")).drop("_r", "_i", "_c")
 
@@ -105,7 +94,7 @@ def bootstrap(df: DataFrame, order: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows drawn with replacement; draws are hashes of the draw's number."""
     rows = dense_index(df, order)
     size = df.agg(F.count("*").alias("_n"))
-    draws = df.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.col("id").alias("draw"), F.expr(f"pmod(xxhash64({seed}, id), _n)").alias("_i"))
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.col("id").alias("draw"), F.expr(f"cast(conv(substring(md5(concat('{seed}/', id)), 1, 15), 16, 10) as bigint) % _n").alias("_i"))
     return draws.join(rows, "_i").drop("_i")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
 from ..functions.parameters import RESIDUES
+from .ranges import dense_index
 
 MAINCHAIN = ("N", "CA", "C", "O")
 WATER = ("HOH", "WAT", "SOL", "TIP3")
@@ -43,6 +44,13 @@ def by_serials(atoms: DataFrame, serials: DataFrame) -> DataFrame:
     return atoms.join(serials.select("serial").distinct(), "serial", "left_semi")
 
 
+def positions(atoms: DataFrame, on: list[str]) -> DataFrame:
+    """pos, the 0-based place of each atom in its structure, beside the serial of the file."""
+    if on:
+        return atoms.withColumn("pos", F.row_number().over(W.partitionBy(*on).orderBy("atom_idx")).cast("long") - 1)
+    return dense_index(atoms, "atom_idx").withColumnRenamed("_i", "pos")
+
+
 def keep_chains_and_ligand(atoms: DataFrame, chains: list[str], ligand: str, ligand_chain: str) -> DataFrame:
     """F7."""
     own = F.col("chain").isin(*chains) & (F.col("record") == "ATOM")
@@ -139,10 +147,14 @@ def ensemble_factors(spark, delta: float, n: int) -> DataFrame:
 
 
 def residue_numbers(atoms: DataFrame, on: list[str]) -> DataFrame:
-    """res_idx, 0-based, residues by their first atom. Residues are numbered, not atoms."""
+    """res_idx, 0-based, residues by their first atom. Residues are numbered, not atoms; a single structure's, which
+    may be large, in ranged partitions."""
     res = atoms.groupBy(*on, "chain", "res_seq").agg(F.min("atom_idx").alias("first"))
-    res = res.withColumn("res_idx", F.row_number().over(W.partitionBy(*(on or [F.lit(0)])).orderBy("first")) - 1).drop("first")
-    return atoms.join(res, [*on, "chain", "res_seq"])
+    if on:
+        res = res.withColumn("res_idx", F.row_number().over(W.partitionBy(*on).orderBy("first")).cast("long") - 1)
+    else:
+        res = dense_index(res, "first").withColumnRenamed("_i", "res_idx")
+    return atoms.join(res.drop("first"), [*on, "chain", "res_seq"])
 
 
 def residue_list(atoms: DataFrame, on: list[str]) -> DataFrame:

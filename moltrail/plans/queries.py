@@ -475,9 +475,9 @@ def enrichment(spark, d):
     return rounded(L.enrichment(labelled(spark, d), "score", "label", "doc_id", 0.1), "enrichment")
 
 
-@query("SELECT o_orderkey, (ntile(5) OVER (ORDER BY o_orderkey) - 1)::INT AS fold FROM orders")
+@query("SELECT *, (ntile(5) OVER (ORDER BY o_orderkey) - 1)::INT AS fold FROM orders")
 def kfold(spark, d):
-    return L.k_fold(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5)
+    return L.k_fold(table(spark, d, "orders"), "o_orderkey", 5)
 
 
 # --- structures

@@ -130,11 +130,12 @@ def first_cell(spark, d):
     return C.first_cell(cells, p, 0.08, ["frame"], "id")
 
 
-@query(f"""WITH {COMPLEX}, s AS (SELECT complex_id, res, sum(CASE WHEN bb THEN w END) AS a, sum(CASE WHEN NOT bb THEN w END) AS b FROM en GROUP BY 1, 2), r AS (SELECT DISTINCT complex_id, res FROM ap WHERE NOT lig)
- SELECT r.complex_id, 'countback_' || r.res AS feature, round(coalesce(a, 0), 6) + 0.0 AS value FROM r LEFT JOIN s USING (complex_id, res) UNION ALL SELECT r.complex_id, 'countside_' || r.res, round(coalesce(b, 0), 6) + 0.0 FROM r LEFT JOIN s USING (complex_id, res)""")
+PARTS = [("count", "w", "coalesce({}, 0)"), ("vdw", "v", "least(coalesce({}, 0), 10)"), ("columb", "c", "coalesce({}, 0)")]
+
+
+@query(f"WITH {COMPLEX}, s AS (SELECT complex_id, res, " + ", ".join(f"sum({v}) FILTER ({'' if side == 'back' else 'NOT '}bb) AS {n}{side}" for n, v, _ in PARTS for side in ("back", "side")) + " FROM en GROUP BY 1, 2), r AS (SELECT DISTINCT complex_id, res FROM ap WHERE NOT lig) " + " UNION ALL ".join(f"SELECT r.complex_id, '{n}{side}_' || r.res AS feature, round({how.format(n + side)}, 6) + 0.0 AS value FROM r LEFT JOIN s USING (complex_id, res)" for n, _, how in PARTS for side in ("back", "side")))
 def feature_table(spark, d):
-    rows = B.feature_table(B.residue_features(complexes(spark, d), ["res"]), ["res"])
-    return rounded(rows.where("feature LIKE 'count%'"), "value")
+    return rounded(B.feature_table(B.residue_features(complexes(spark, d), ["res"]), ["res"]), "value")
 
 
 @query(f"WITH {COMPLEX} SELECT complex_id, count(*) FILTER (t = 'C') AS \"C\", count(*) FILTER (t = 'N') AS \"N\", count(*) FILTER (t = 'O') AS \"O\", count(*) FILTER (t NOT IN ('C', 'N', 'O')) AS \"DU\" FROM atm WHERE lig GROUP BY 1")
@@ -185,11 +186,11 @@ def unscored_ligands(spark, d):
     return D.difference(table(spark, d, "customer").select(F.col("c_custkey").alias("ligand_id")), table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("ligand_id")))
 
 
-@query("SELECT label AS \"group\", line, string_agg(lpad(atom_no::VARCHAR, 6, ' '), ' ' ORDER BY pos) AS text FROM (SELECT label, vec_id AS atom_no, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 15 + 1) AS line FROM embeddings) GROUP BY 1, 2")
+@query("SELECT label AS \"group\", line, string_agg(lpad(atom_no::VARCHAR, 6, ' '), ' ' ORDER BY pos) AS text FROM (SELECT label, vec_id AS atom_no, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 15 + 1) AS line FROM embeddings) GROUP BY 1, 2 UNION ALL SELECT DISTINCT label, 0, '[ ' || label || ' ]' FROM embeddings")
 def index_lines(spark, d):
     w = W.partitionBy("label").orderBy("vec_id")
     groups = table(spark, d, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("atom_no"), (F.row_number().over(w) - 1).alias("pos"))
-    return K.index_lines(groups.withColumn("group", F.col("group").cast("string"))).where("line > 0").withColumn("group", F.col("group").cast("int"))
+    return K.index_lines(groups.withColumn("group", F.col("group").cast("string"))).withColumn("group", F.col("group").cast("int"))
 
 
 @query(f"WITH {POINTS}, {PAIRS} SELECT f.frame, " + ", ".join(f"coalesce(sum(CASE WHEN (id_a + id_b) % 4 = {k} THEN 1.0::DOUBLE END), 0.0) AS p{k}" for k in range(4)) + f" FROM (SELECT DISTINCT frame FROM pts) f LEFT JOIN (SELECT * FROM prs WHERE d <= {CUTOFF}) p USING (frame) GROUP BY f.frame")

@@ -1,7 +1,9 @@
 """Readers of the text formats of simulation and docking, many files to one table.
 
-A file, or a record of it, is one value of Spark's text source, so that lines keep their order; fields
-are cut by column functions. Lines are numbered from 1 within their file, or record."""
+Every reader takes a path, or a table of lines (file, line_no, text) from elsewhere. Formats whose lines mean
+something by themselves are read line by line, whatever the size of the file; line_no only orders them then.
+Where a line's meaning hangs on those before it, a file, or a record of it, is one value of Spark's text
+source, and lines are numbered from 1 in it. Fields are cut by column functions."""
 
 from __future__ import annotations
 
@@ -12,14 +14,35 @@ from pyspark.sql.window import Window as W
 FILE = "_metadata.file_path"
 
 
-def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """file, part (place of the record in the file, if separated), line_no, text; carriage returns go."""
-    if separator is None:
-        rows = spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), F.lit(0).alias("part"), "value")
+def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+
+
+def lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """file, line_no, text of whole files; carriage returns go."""
+    if isinstance(path, DataFrame):
+        return path
+    return _split(spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), "value"), ["file"])
+
+
+def loose_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """file, line_no, text line by line; line_no grows along a file: the MB where the split starts, then the row."""
+    if isinstance(path, DataFrame):
+        return path
+    place = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return spark.read.text(path).select(F.col(FILE).alias("file"), place.alias("line_no"), F.regexp_replace("value", "\r", "").alias("text"))
+
+
+def records(spark: SparkSession, path: str | DataFrame, separator: str, wanted: Column) -> DataFrame:
+    """file, rec_no (0, 1, ... in the file), value of a file's wanted records; a table has file, place and value. Places
+    alone are numbered, so that no task holds a file's texts."""
+    if isinstance(path, DataFrame):
+        rows = path.where(wanted)
     else:
-        rows = spark.read.text(path, lineSep=separator).select(F.col(FILE).alias("file"), F.monotonically_increasing_id().alias("part"), "value")
-    rows = rows.select("file", "part", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "text"))
-    return rows.withColumn("line_no", F.col("line_no") + 1)
+        place = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        rows = spark.read.text(path, lineSep=separator).select(F.col(FILE).alias("file"), place.alias("place"), "value").where(wanted)
+    numbers = rows.select("file", "place").withColumn("rec_no", F.row_number().over(W.partitionBy("file").orderBy("place")) - 1)
+    return rows.join(numbers, ["file", "place"]).select("file", "rec_no", "value")
 
 
 def fields(text: Column | str) -> Column:
@@ -53,35 +76,32 @@ def _atoms(rows: DataFrame, keys: list[str], charges: bool) -> DataFrame:
     return rows.withColumn("atom_idx", F.row_number().over(W.partitionBy(*keys).orderBy("line_no")) - 1)
 
 
-def read_pdb(spark: SparkSession, path: str, charges: bool = False) -> DataFrame:
+def read_pdb(spark: SparkSession, path: str | DataFrame, charges: bool = False) -> DataFrame:
     """Atoms of PDB or PDBQT files; struct_id is the file."""
     rows = lines(spark, path).withColumnRenamed("file", "struct_id")
     return _atoms(rows, ["struct_id"], charges)
 
 
-def read_models(spark: SparkSession, path: str) -> DataFrame:
+def read_models(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Frames of multi-model PDB files: the number on the MODEL line, else the model's place."""
-    rows = spark.read.text(path, lineSep="ENDMDL").select(F.col(FILE).alias("struct_id"), "value").where(F.col("value").rlike("(?m)^(ATOM|HETATM)"))
+    rows = records(spark, path, "ENDMDL", F.col("value").rlike("(?m)^(ATOM|HETATM)"))
     model = F.regexp_extract("value", r"MODEL\s+(\d+)", 1).try_cast("int")
-    rows = rows.withColumn("frame", F.coalesce(model, F.row_number().over(W.partitionBy("struct_id").orderBy(F.monotonically_increasing_id()))))
-    rows = rows.select("struct_id", "frame", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "text"))
-    return _atoms(rows, ["struct_id", "frame"], False)
+    rows = rows.withColumnRenamed("file", "struct_id").withColumn("frame", F.coalesce(model, F.col("rec_no") + 1))
+    return _atoms(_split(rows, ["struct_id", "frame"]), ["struct_id", "frame"], False)
 
 
-def read_trajectory(spark: SparkSession, path: str, step: int = 1, begin: int | None = None, end: int | None = None) -> DataFrame:
+def read_trajectory(spark: SparkSession, path: str, step: int = 1, begin: int | None = None, end: int | None = None, frame: str = "frame") -> DataFrame:
     """S3: the coords table, strided; frame bounds reach the scan."""
     rows = spark.read.parquet(path)
-    rows = rows.where(F.col("frame") >= begin) if begin is not None else rows
-    rows = rows.where(F.col("frame") <= end) if end is not None else rows
-    return rows.where(F.col("frame") % step == 0) if step > 1 else rows
+    rows = rows.where(F.col(frame) >= begin) if begin is not None else rows
+    rows = rows.where(F.col(frame) <= end) if end is not None else rows
+    return rows.where(F.col(frame) % step == 0) if step > 1 else rows
 
 
-def read_mol2(spark: SparkSession, path: str) -> DataFrame:
+def read_mol2(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, mol_no, name, section, line_no (within the section), text of multi-molecule files."""
-    rows = spark.read.text(path, lineSep="@<TRIPOS>MOLECULE").select(F.col(FILE).alias("file"), "value").where(F.col("value").rlike(r"\S") & F.col("value").contains("@<TRIPOS>"))
-    rows = rows.withColumn("mol_no", F.row_number().over(W.partitionBy("file").orderBy(F.monotonically_increasing_id())) - 1)
-    text = F.concat(F.lit("@<TRIPOS>MOLECULE"), F.regexp_replace("value", "\r", ""))
-    rows = rows.select("file", "mol_no", F.posexplode(F.split(text, "\n")).alias("at", "text"))
+    rows = records(spark, path, "@<TRIPOS>MOLECULE", F.col("value").rlike(r"\S") & F.col("value").contains("@<TRIPOS>")).withColumnRenamed("rec_no", "mol_no")
+    rows = _split(rows.withColumn("value", F.concat(F.lit("@<TRIPOS>MOLECULE"), "value")), ["file", "mol_no"]).withColumnRenamed("line_no", "at")
     w = W.partitionBy("file", "mol_no").orderBy("at")
     head = F.when(F.col("text").startswith("@<TRIPOS>"), F.col("at"))
     rows = rows.withColumns({"section": F.last(F.when(head.isNotNull(), F.substring_index("text", ">", -1)), True).over(w), "line_no": F.col("at") - F.last(head, True).over(w)})
@@ -102,7 +122,7 @@ def mol2_atoms(mol2: DataFrame) -> DataFrame:
     return rows.withColumn("element", F.substring_index("atom_type", ".", 1))
 
 
-def read_sections(spark: SparkSession, path: str) -> DataFrame:
+def read_sections(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, section, line_no, text of files with [ section ] headers; comments and empty lines go."""
     rows = lines(spark, path)
     w = W.partitionBy("file").orderBy("line_no")
@@ -111,22 +131,22 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("text").rlike(r"^\s*[^\s;]")).select("file", "section", "line_no", F.trim(F.substring_index("text", ";", 1)).alias("text"))
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
+def read_groups(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, group, pos, atom_no of index files."""
     rows = read_sections(spark, path).select("file", F.col("section").alias("group"), "line_no", F.posexplode(fields("text")).alias("k", "v"))
     return rows.select("file", "group", (F.row_number().over(W.partitionBy("file", "group").orderBy("line_no", "k")) - 1).alias("pos"), F.col("v").try_cast("int").alias("atom_no"))
 
 
-def read_charges(spark: SparkSession, path: str) -> DataFrame:
+def read_charges(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """res_name, atom_name, charge of [ atoms ]; the first of equal keys counts."""
     f = fields("text")
     rows = read_sections(spark, path).where("section = 'atoms'").select("file", "line_no", F.get(f, F.lit(3)).alias("res_name"), F.get(f, F.lit(4)).alias("atom_name"), F.get(f, F.lit(6)).try_cast("double").alias("charge"))
     return rows.groupBy("file", "res_name", "atom_name").agg(F.min_by("charge", "line_no").alias("charge"))
 
 
-def read_series(spark: SparkSession, path: str, columns: list[int], names: list[str]) -> DataFrame:
+def read_series(spark: SparkSession, path: str | DataFrame, columns: list[int], names: list[str]) -> DataFrame:
     """Chosen columns (from 0) of blank- or comma-separated files, without # and @ lines; line_no orders the rows."""
-    rows = lines(spark, path).where(F.col("text").rlike(r"^\s*[^#@\s]"))
+    rows = loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[^#@\s]"))
     f = F.filter(F.split(F.trim("text"), r"[\s,]+"), lambda x: x != "")
     return rows.select("file", "line_no", *[F.get(f, F.lit(k)).try_cast("double").alias(n) for k, n in zip(columns, names)]).where(F.col(names[0]).isNotNull())
 
@@ -136,24 +156,24 @@ def read_table(spark: SparkSession, path: str, separator: str = ",") -> DataFram
     return spark.read.csv(path, header=True, sep=separator, inferSchema=True)
 
 
-def read_xyz_matrix(spark: SparkSession, path: str, shift: tuple[float, float] = (0, 0)) -> DataFrame:
+def read_xyz_matrix(spark: SparkSession, path: str | DataFrame, shift: tuple[float, float] = (0, 0)) -> DataFrame:
     """Row, col, value; labels are cut at an underscore and shifted once."""
     f = fields("text")
-    rows = lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).select(*[F.get(f, F.lit(k)).alias(n) for k, n in enumerate(("row", "col", "value"))])
+    rows = loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).select(*[F.get(f, F.lit(k)).alias(n) for k, n in enumerate(("row", "col", "value"))])
     label = lambda c, s: F.split_part(F.col(c), F.lit("_"), F.lit(1)).try_cast("double") + s
     return rows.select(label("row", shift[0]).alias("row"), label("col", shift[1]).alias("col"), number(F.col("value")).alias("value"))
 
 
-def read_domains(spark: SparkSession, path: str) -> DataFrame:
+def read_domains(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Name, part, lo, hi; lines have a name and pairs of numbers."""
     f = fields("text")
-    rows = lines(spark, path).where(~F.col("text").startswith("#")).withColumn("f", f).where(F.size("f") >= 3)
+    rows = loose_lines(spark, path).where(~F.col("text").startswith("#")).withColumn("f", f).where(F.size("f") >= 3)
     rows = rows.select(F.col("f")[0].alias("name"), "f", F.explode(F.expr("sequence(0, (size(f) - 1) div 2 - 1)")).alias("part"))
     at = lambda k: F.get("f", F.col("part") * 2 + k).try_cast("int")
     return rows.select("name", "part", at(1).alias("lo"), at(2).alias("hi"))
 
 
-def read_communities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_communities(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (file, comm_id, residue) and files (file, communities, modularity)."""
     rows = lines(spark, path)
     said = rows.where(F.col("text").rlike("residues in community"))
@@ -162,14 +182,14 @@ def read_communities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return members, best.select("file", F.regexp_extract("text", r"communities is\s+(\d+)", 1).cast("int").alias("communities"), F.regexp_extract("text", r"modularity value is\s+([-\d.]+)", 1).cast("double").alias("modularity"))
 
 
-def read_rankings(spark: SparkSession, path: str) -> DataFrame:
+def read_rankings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """list_id (file), line_no, ligand_id (the last field), score (the first), pose_path (the one before the last)."""
     f = fields("text")
-    rows = lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).withColumn("fields", f)
+    rows = loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).withColumn("fields", f)
     return rows.select(F.col("file").alias("list_id"), "line_no", F.element_at("fields", -1).alias("ligand_id"), F.col("fields")[0].try_cast("double").alias("score"), F.try_element_at("fields", F.lit(-2)).alias("pose_path"), "fields")
 
 
-def read_docking_logs(spark: SparkSession, path: str, modes: int = 3) -> DataFrame:
+def read_docking_logs(spark: SparkSession, path: str | DataFrame, modes: int = 3) -> DataFrame:
     """File and the scores of its first modes, in order; only rows after the affinity header count."""
     rows = lines(spark, path)
     w = W.partitionBy("file").orderBy("line_no")
@@ -183,16 +203,16 @@ def read_docking_logs(spark: SparkSession, path: str, modes: int = 3) -> DataFra
 SUMMARY_TERMS = {"vdw": "van der Waa", "ele": "Electrostat", "polar": "Polar solvation", "sasa": "SASA", "total": "Binding"}
 
 
-def read_energy_summary(spark: SparkSession, path: str) -> DataFrame:
+def read_energy_summary(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File and, for each term, its value and deviation from lines "<term> energy = value +/- deviation"."""
-    rows = lines(spark, path).where(F.col("text").contains("+/-"))
+    rows = loose_lines(spark, path).where(F.col("text").contains("+/-"))
     term = F.coalesce(*[F.when(F.trim("text").startswith(t), F.lit(k)) for k, t in SUMMARY_TERMS.items()])
     value = lambda k: F.regexp_extract("text", r"=\s*([-+\d.eE]+)\s*\+/-\s*([-+\d.eE]+)", k).try_cast("double")
     rows = rows.select("file", term.alias("term"), value(1).alias("value"), value(2).alias("std")).where("term IS NOT NULL")
     return rows.groupBy("file").pivot("term", list(SUMMARY_TERMS)).agg(F.first("value").alias("value"), F.first("std").alias("std"))
 
 
-def read_secondary_structure(spark: SparkSession, path: str) -> DataFrame:
+def read_secondary_structure(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, res_idx, frame, code of .xpm grids: quoted lines of at most two fields without comments."""
     rows = lines(spark, path).where(~F.col("text").contains("/*") & F.col("text").startswith('"') & (F.size(fields("text")) <= 2))
     rows = rows.withColumn("res_idx", F.row_number().over(W.partitionBy("file").orderBy("line_no")) - 1)
@@ -206,15 +226,15 @@ def secondary_structure_part(grid: DataFrame, residues: tuple[int, int], begin:
     return rows.where(F.col("frame") <= end) if end >= 0 else rows
 
 
-def read_structure_list(spark: SparkSession, path: str) -> DataFrame:
+def read_structure_list(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Code, resolution, ligand, k_type (two characters), k_value."""
     f = fields("text")
-    rows = lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).withColumn("f", f).where(F.size("f") >= 4)
+    rows = loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).withColumn("f", f).where(F.size("f") >= 4)
     k = F.element_at("f", 4)
     return rows.select(F.col("f")[0].alias("code"), F.col("f")[1].try_cast("double").alias("resolution"), F.col("f")[2].alias("ligand"), F.substring(k, 1, 2).alias("k_type"), F.regexp_replace(k, "^..[=<>~]*", "").alias("k_value"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, record, name, sequence."""
     rows = lines(spark, path)
     w = W.partitionBy("file").orderBy("line_no")
@@ -225,39 +245,39 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "record").agg(name.alias("name"), F.array_join(F.transform(F.array_sort(parts), lambda p: p["s"]), "").alias("sequence"))
 
 
-def read_atom_types(spark: SparkSession, path: str) -> DataFrame:
+def read_atom_types(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """atom_type, z_number, mass, charge, sigma_nm, eps."""
     f = fields("text")
     names = {"atom_type": (0, "string"), "z_number": (1, "int"), "mass": (2, "double"), "charge": (3, "double"), "sigma_nm": (5, "double"), "eps": (6, "double")}
-    return lines(spark, path).where(F.col("text").rlike(r"^\s*[^;\s]")).select(*[F.get(f, F.lit(k)).try_cast(t).alias(n) for n, (k, t) in names.items()])
+    return loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[^;\s]")).select(*[F.get(f, F.lit(k)).try_cast(t).alias(n) for n, (k, t) in names.items()])
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
+def read_elements(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """z_number, element, name, electronegativity."""
     f = fields("text")
     names = {"z_number": (0, "int"), "element": (1, "string"), "name": (2, "string"), "electronegativity": (3, "double")}
-    return lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).select(*[F.get(f, F.lit(k)).try_cast(t).alias(n) for n, (k, t) in names.items()])
+    return loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]")).select(*[F.get(f, F.lit(k)).try_cast(t).alias(n) for n, (k, t) in names.items()])
 
 
-def read_residue_codes(spark: SparkSession, path: str) -> DataFrame:
+def read_residue_codes(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """code3, code1."""
     f = fields("text")
-    return lines(spark, path).where(F.col("text").startswith("RES")).select(F.get(f, F.lit(2)).alias("code3"), F.get(f, F.lit(3)).alias("code1"))
+    return loose_lines(spark, path).where(F.col("text").startswith("RES")).select(F.get(f, F.lit(2)).alias("code3"), F.get(f, F.lit(3)).alias("code1"))
 
 
-def read_atom_parts(spark: SparkSession, path: str) -> DataFrame:
+def read_atom_parts(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """atom_name, subgroup of nucleic acids."""
     f = fields("text")
-    return lines(spark, path).where(F.col("text").startswith("ATOM")).select(F.get(f, F.lit(2)).alias("atom_name"), F.get(f, F.lit(1)).alias("subgroup"))
+    return loose_lines(spark, path).where(F.col("text").startswith("ATOM")).select(F.get(f, F.lit(2)).alias("atom_name"), F.get(f, F.lit(1)).alias("subgroup"))
 
 
-def read_box(spark: SparkSession, path: str) -> DataFrame:
+def read_box(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File and the box's edges."""
     f = fields("text")
-    return lines(spark, path).where(F.col("text").startswith("CRYST1")).select("file", *[F.get(f, F.lit(k)).try_cast("double").alias(n) for k, n in ((1, "lx"), (2, "ly"), (3, "lz"))])
+    return loose_lines(spark, path).where(F.col("text").startswith("CRYST1")).select("file", *[F.get(f, F.lit(k)).try_cast("double").alias(n) for k, n in ((1, "lx"), (2, "ly"), (3, "lz"))])
 
 
-def read_frame_matrices(spark: SparkSession, path: str) -> DataFrame:
+def read_frame_matrices(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Frame (the last number of the file's name), row, col, value of dense matrix files, in long form."""
     rows = lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]"))
     frame = F.regexp_extract(F.substring_index("file", "/", -1), r"(\d+)(?!.*\d)", 1).try_cast("int")
@@ -265,11 +285,11 @@ def read_frame_matrices(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(frame.alias("frame"), "row", F.posexplode(fields("text")).alias("col", "v")).select("frame", "row", "col", F.col("v").try_cast("double").alias("value"))
 
 
-def read_properties(spark: SparkSession, path: str, ids: DataFrame, key: str, column: str | int) -> DataFrame:
+def read_properties(spark: SparkSession, path: str | DataFrame, ids: DataFrame, key: str, column: str | int) -> DataFrame:
     """A column of a CSV, by name or place, for each id; the last match counts."""
     rows = lines(spark, path)
     head = F.split(F.first("text").over(W.partitionBy("file").orderBy("line_no")), ",")
     cells = F.split("text", ",")
-    at = F.lit(column) if isinstance(column, int) else F.array_position(F.transform("head", F.trim), column).cast("int") - 1
+    at = F.lit(column) if isinstance(column, int) else F.array_position(F.transform("head", lambda x: F.trim(x)), column).cast("int") - 1
     rows = rows.withColumn("head", head).where("line_no > 1 AND text <> ''").select("line_no", F.trim(cells[0]).alias(key), F.trim(F.get(cells, at)).alias("value"))
     return ids.select(key).join(rows.groupBy(key).agg(F.max_by("value", "line_no").alias("value")), key)
