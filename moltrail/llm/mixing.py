@@ -1,21 +1,24 @@
 """Operator 7, mixing sources to target weights.
 
 Each source's documents, in a pseudorandom order, form one stream of words, which is packed into
-blocks of a fixed length. Each source gets as many slots as its target holds blocks; every slot
-draws its output shard uniformly, so that the sources' counts in a shard are a multinomial draw
-given the totals. The k-th slot of a source holds the block that the source's k-th permuted index
-names (an affine permutation for each pass over the stream), and slots are joined with blocks by
-index. All random numbers are digests of keys, so reruns agree.
+blocks of a fixed length. Each source gets as many slots as its target holds blocks, in passes over its
+stream. The number of slots that a source has in each output shard is a multinomial draw, one for each
+pass; a shard's slots are those that follow the slots of the shards before it. The k-th slot of a pass holds
+the block that the pass's permutation gives for k (ROUNDS rounds of swap-or-not with keyed numbers, a
+permutation of any number of blocks), and slots are joined with blocks by index. All random numbers are
+digests of keys, so reruns agree.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating; they share the sum of all
 sizes by weight, at most `most` times the source's own size, and what exceeds it is shared again.
 Water filling gives that in one step: with sources by cap / weight, the level is
 (total - caps before) / (weights left) at the first source that lies above it.
 
-Skew: a source's stream is cut into (source, bucket) groups by the document's digest; running sums
-within a group and over the groups' sums take the place of a window over a whole source.
+Skew: a source's stream is cut into (source, bucket) groups by a digest of doc_id and text; running sums
+within a group and over the groups' sums take the place of a window over a whole source. Draws are made
+for CHUNK slots at a time, slots for each draw; both are dealt over all tasks. Windows over sources, and
+over the shards of a source, hold a row for each.
 
-Rows: null text has size 0; a null source is a source; a null doc_id hashes as an empty text; each
+Rows: null text has size 0; a null source is a source; a null doc_id hashes as an empty text, with its text; each
 repeated row is a row of its own; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -25,14 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut_lineage, table
+from .common import WORD, cut_lineage, shuffle_partitions, table
 
 BLOCK = 64
 BUCKETS = 4096
-#: Slots of one chunk: a source's slots are first listed as chunks, then within them.
+#: Slots of one chunk: a pass's slots are first listed as chunks, then within them.
 CHUNK = 65536
-#: Primes: multipliers of the affine permutations; one that doesn't divide the number of blocks is taken.
-PRIMES = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
+SHARD_SLOTS = 16384
+ROUNDS = 12
 
 
 def digest(*parts: Column) -> Column:
@@ -41,9 +44,14 @@ def digest(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def row_digest(doc: Column, text: Column) -> Column:
+    return digest(F.coalesce(doc.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), F.col("source").cast("string"), size.alias("size"), row_digest(doc, F.col("text")).alias("h"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK) -> DataFrame:
@@ -66,25 +74,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return rows.select("source", "sid", "source_size", "target", "block", "n_blocks", "n_words", F.ceil(F.col("n_words") / F.col("block")).cast("long").alias("n_slots"))
 
 
-def output_slots(targets: DataFrame, seed: int = 7, shard_slots: int = 1024) -> DataFrame:
+def _swap(key: str) -> str:
+    """A round of swap-or-not, in any dialect of SQL: x and its partner change places if a keyed bit of the greater says so."""
+    partner = f"(({key} % n_blocks + n_blocks - x) % n_blocks)"
+    bit = f"((greatest(x, {partner}) % 1000003) * ({key} % 999999999989 + 1) + {key} % 1000033) % 998244353 % 2"
+    return f"CASE WHEN {bit} = 1 THEN {partner} ELSE x END"
+
+
+def output_slots(targets: DataFrame, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """shard, slot (k of the source), sid, index (of the block), take (words, less only in a source's last slot)."""
+    tasks = shuffle_partitions(targets.sparkSession)
     rows = targets.where("n_slots > 0").withColumn("n_shards", F.ceil(F.sum("n_slots").over(W.partitionBy(F.lit(0))) / shard_slots).cast("long"))
-    rows = rows.withColumn("chunk", F.explode(F.expr(f"sequence(0, (n_slots - 1) div {CHUNK})")))
-    rows = rows.repartition("sid", "chunk")
-    rows = rows.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, n_slots) - 1)")))
-    epoch, j, n = F.expr("slot div n_blocks"), F.expr("slot % n_blocks"), F.col("n_blocks")
-    prime = F.coalesce(*[F.when(n % p != 0, F.lit(p)) for p in PRIMES]).cast("long")
-    shift = digest(F.lit(seed), F.col("sid"), epoch) % n
-    shard = digest(F.lit(seed), F.lit("shard"), F.col("sid"), F.col("slot")) % F.col("n_shards")
-    take = F.least(F.col("block"), F.col("n_words") - F.col("slot") * F.col("block"))
-    return rows.select(shard.alias("shard"), "slot", "sid", ((j * prime + shift) % n).alias("index"), take.alias("take"))
+    passes = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, (n_slots - 1) div n_blocks)")))
+    passes = passes.withColumn("own", F.least(F.col("n_blocks"), F.col("n_slots") - F.col("epoch") * F.col("n_blocks")))
+    # how many of a pass's slots each shard has
+    drawn = passes.select("sid", "epoch", "own", "n_shards", F.explode(F.expr(f"sequence(0L, (own - 1) div {CHUNK})")).alias("chunk")).repartition(tasks, "sid", "epoch", "chunk")
+    drawn = drawn.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, own) - 1)")))
+    shard = digest(F.lit(seed), F.lit("shard"), F.col("sid"), F.col("epoch"), F.col("j")) % F.col("n_shards")
+    counts = drawn.groupBy("sid", "epoch", shard.alias("shard")).agg(F.count("*").alias("n"))
+    before = W.partitionBy("sid", "epoch").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # the slots themselves
+    keys = F.array(*[digest(F.lit(seed), F.col("sid"), F.col("epoch"), F.lit(r)) for r in range(ROUNDS)])
+    passes = passes.select(F.col("sid").alias("sid2"), F.col("epoch").alias("epoch2"), "block", "n_blocks", "n_words", keys.alias("keys"))
+    rows = counts.repartition(tasks, "sid", "epoch", "shard").join(passes, (F.col("sid") == F.col("sid2")) & (F.col("epoch") == F.col("epoch2")))
+    rows = rows.withColumn("j", F.explode(F.expr("sequence(`from`, `from` + n - 1)"))).withColumn("x", F.expr(f"aggregate(keys, j, (x, key) -> {_swap('key')})"))
+    slot = F.col("epoch") * F.col("n_blocks") + F.col("j")
+    return rows.select("shard", slot.alias("slot"), "sid", F.col("x").alias("index"), F.least(F.col("block"), F.col("n_words") - slot * F.col("block")).alias("take"))
 
 
 def packed_blocks(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """The documents' pieces of blocks: seq and bucket name the row within its source; index the block,
     at the piece's first word in it, n its words and first the first word's place in the document.
     A document without words has one piece of no block."""
-    rows = sized.withColumn("h", digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.col("h") % BUCKETS)
+    rows = sized.withColumn("bucket", F.col("h") % BUCKETS)
     order = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     groups = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -92,7 +115,7 @@ def packed_blocks(sized: DataFrame, targets: DataFrame) -> DataFrame:
     groups = groups.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     groups = groups.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     groups = groups.join(targets, groups["s"].eqNullSafe(targets["source"])).drop("source")
-    rows = rows.join(groups, rows["source"].eqNullSafe(groups["s"]) & (rows["bucket"] == groups["b"])).drop("s", "b", "h")
+    rows = rows.join(groups, rows["source"].eqNullSafe(groups["s"]) & (rows["bucket"] == groups["b"])).drop("s", "b")
     rows = rows.withColumn("start", F.expr("offset + upto - size"))
     rows = rows.withColumn("index", F.expr("explode_outer(if(size > 0, sequence(start div block, (start + size - 1) div block), null))"))
     rows = rows.withColumn("at", F.expr("greatest(start, index * block) - index * block"))
@@ -102,30 +125,32 @@ def packed_blocks(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """The mix: pieces of documents in slots of output shards. Pieces that no slot takes stay, with a null
-    slot and words 0. Columns: shard, slot, sid, source, source_size, target, index, bucket, seq, doc_id, size, first, words."""
+    slot and words 0. Columns: shard, slot, sid, source, source_size, target, index, bucket, seq, h, doc_id, size, first, words."""
     sized = cut_lineage(sized_documents(docs))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, block)
     pieces, slots = packed_blocks(sized, targets), output_slots(targets, seed)
     slots = slots.withColumnsRenamed({"sid": "slot_sid", "index": "slot_index"}).hint("merge")  # as many as blocks: never broadcast
     rows = pieces.join(slots, (pieces["sid"] == slots["slot_sid"]) & (pieces["index"] == slots["slot_index"]), "left")
     words = F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("take") - F.col("at"), F.col("n")))).cast("long")
-    return rows.select("shard", "slot", "sid", "source", "source_size", "target", "index", "bucket", "seq", "doc_id", "size", "first", words.alias("words"))
+    return rows.select("shard", "slot", "sid", "source", "source_size", "target", "index", "bucket", "seq", "h", "doc_id", "size", "first", words.alias("words"))
 
 
 def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """shard, slot, source, text: the words of each slot, for documents whose doc_id is not repeated."""
-    split = docs.select(F.col("doc_id").alias("id"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all"))
-    pieces = mixed.where("words > 0").join(split, mixed["doc_id"] == split["id"])
+    """shard, slot, source, text: the words of each slot. Pieces find their text by the digest of id and text, so that null
+    and repeated ids are no different from others."""
+    split = docs.select(row_digest(F.col("doc_id").cast("long"), F.col("text")).alias("id"), "text").dropDuplicates(["id"])
+    split = split.select("id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all"))
+    pieces = mixed.where("words > 0").join(split, mixed["h"] == split["id"])
     pieces = pieces.withColumn("part", F.expr("array_join(slice(all, cast(first + 1 as int), cast(words as int)), ' ')"))
     parts = pieces.groupBy("shard", "sid", "source", "slot").agg(F.array_sort(F.collect_list(F.struct("bucket", "seq", "part"))).alias("parts"))
     return parts.select("shard", "slot", "source", F.array_join(F.col("parts.part"), " ").alias("text"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, size, source_size, target, taken, for each row of docs."""
+    """doc_id, size, source_size, target, taken, n_shards (output shards that hold words of it), for each row of docs."""
     rows = mixed_blocks(docs, **parameters)
-    taken = rows.groupBy("sid", "bucket", "seq", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    taken = rows.groupBy("sid", "bucket", "seq", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.countDistinct(F.when(F.col("words") > 0, F.col("shard"))).alias("n_shards"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +158,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _D = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+_X = "ranged"
+for _r in range(ROUNDS):
+    _X = f"(SELECT * REPLACE ({_swap(f'key{_r}')} AS x) FROM {_X})"
 OP7_SQL = f"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, {_D.format("coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))")} AS h FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sizes),
 weighted AS (SELECT *, CAST((sid - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM named),
@@ -145,16 +173,18 @@ chosen AS (SELECT coalesce((SELECT level FROM levels WHERE level <= ratio ORDER
 targets AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS n_words, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks FROM
   (SELECT l.source, l.sid, l.source_size, least(l.weight * c.level, l.cap) AS target, greatest(1, least({BLOCK}, l.source_size // 16)) AS block FROM levels l, chosen c)),
 counted AS (SELECT *, CAST(ceil(n_words / block) AS BIGINT) AS n_slots FROM targets),
-slots AS (SELECT *, slot // n_blocks AS epoch, slot % n_blocks AS j, least(block, n_words - slot * block) AS take,
-  CASE WHEN n_blocks % {PRIMES[0]} <> 0 THEN {PRIMES[0]} WHEN n_blocks % {PRIMES[1]} <> 0 THEN {PRIMES[1]} WHEN n_blocks % {PRIMES[2]} <> 0 THEN {PRIMES[2]} ELSE {PRIMES[3]} END AS prime
-  FROM (SELECT *, unnest(range(n_slots)) AS slot FROM counted WHERE n_slots > 0)),
-placed AS (SELECT sid, take, (j * prime + {_D.format("'7/' || sid || '/' || epoch")} % n_blocks) % n_blocks AS index FROM slots),
-hashed AS (SELECT *, {_D.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h FROM sized),
+passes AS (SELECT *, least(n_blocks, n_slots - epoch * n_blocks) AS own, (SELECT CAST(ceil(sum(n_slots) / {SHARD_SLOTS}) AS BIGINT) FROM counted) AS n_shards,
+  {", ".join(_D.format(f"'7/' || sid || '/' || epoch || '/{r}'") + f" AS key{r}" for r in range(ROUNDS))}
+  FROM (SELECT *, unnest(range((n_slots - 1) // n_blocks + 1)) AS epoch FROM counted WHERE n_slots > 0)),
+drawn AS (SELECT sid, epoch, {_D.format("'7/shard/' || sid || '/' || epoch || '/' || j")} % n_shards AS shard FROM (SELECT sid, epoch, n_shards, unnest(range(own)) AS j FROM passes)),
+shards AS (SELECT sid, epoch, shard, n, coalesce(sum(n) OVER (PARTITION BY sid, epoch ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT sid, epoch, shard, count(*) AS n FROM drawn GROUP BY ALL)),
+ranged AS (SELECT p.*, s.shard, j, j AS x FROM (SELECT sid, epoch, shard, unnest(range(CAST(start AS BIGINT), CAST(start + n AS BIGINT))) AS j FROM shards) s JOIN passes p ON p.sid = s.sid AND p.epoch = s.epoch),
+placed AS (SELECT sid, shard, least(block, n_words - (epoch * n_blocks + j) * block) AS take, x AS index FROM {_X}),
 ordered AS (SELECT *, row_number() OVER w AS seq, CAST(sum(size) OVER (PARTITION BY source ORDER BY h % {BUCKETS}, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-  FROM hashed WINDOW w AS (PARTITION BY source ORDER BY h % {BUCKETS}, h, doc_id, size)),
+  FROM sized WINDOW w AS (PARTITION BY source ORDER BY h % {BUCKETS}, h, doc_id, size)),
 pieces AS (SELECT *, greatest(start, index * block) - index * block AS at, least(start + size, (index + 1) * block) - greatest(start, index * block) AS n FROM
   (SELECT o.*, t.sid, t.block, unnest(range(start // block, (start + size - 1) // block + 1)) AS index FROM ordered o JOIN targets t ON o.source IS NOT DISTINCT FROM t.source WHERE size > 0)),
-taken AS (SELECT p.sid, p.seq, sum(greatest(0, least(s.take - p.at, p.n))) AS taken FROM pieces p JOIN placed s ON p.sid = s.sid AND p.index = s.index GROUP BY p.sid, p.seq)
-SELECT o.doc_id, o.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+taken AS (SELECT p.sid, p.seq, sum(greatest(0, least(s.take - p.at, p.n))) AS taken, count(DISTINCT CASE WHEN s.take > p.at THEN s.shard END) AS n_shards FROM pieces p JOIN placed s ON p.sid = s.sid AND p.index = s.index GROUP BY p.sid, p.seq)
+SELECT o.doc_id, o.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, coalesce(k.n_shards, 0) AS n_shards
 FROM ordered o JOIN targets t ON o.source IS NOT DISTINCT FROM t.source LEFT JOIN taken k ON k.sid = t.sid AND k.seq = o.seq
 """

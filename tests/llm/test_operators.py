@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from moltrail.llm import decontaminate, lm, mixing, pii, quality, rules, simhash, suffixes, tokens, warc
 
@@ -361,6 +362,7 @@ def test_prefix_counts(spark, vocabulary):
 def test_mixing(edge, edge_rows, empty):
     rows = mixing.mix(edge).collect()
     again = mixing.mix(edge.repartition(7)).collect()
+    assert all((r["n_shards"] > 0) == (r["taken"] > 0) for r in rows)
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
     size = lambda t: len(WORD.findall(t or ""))
     total = defaultdict(int)
@@ -388,11 +390,40 @@ def test_mixing(edge, edge_rows, empty):
 
 
 def test_mixed_texts(spark):
-    df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(100)), "ab"[k % 2]) for k in range(20)], "doc_id long, text string, source string")
+    """Every slot's words are those of its documents, also where ids are null or repeated."""
+    rows = [(None if k % 5 == 0 else k // 2, " ".join(f"w{k}x{j}" for j in range(100)), "ab"[k % 2]) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     blocks = mixing.mixed_blocks(df)
     texts = mixing.mixed_texts(df, blocks).collect()
-    taken = blocks.groupBy().sum("words").first()[0]
-    assert sum(len(r["text"].split()) for r in texts) == taken
+    assert sum(len(r["text"].split()) for r in texts) == blocks.groupBy().sum("words").first()[0]
+    times = Counter(w for r in texts for w in r["text"].split())
+    assert set(times) <= {w for _, t, _ in rows for w in t.split()} and max(times.values()) <= 3
+    taken = Counter()
+    for w, n in times.items():
+        taken[int(w[1:].split("x")[0])] += n
+    assert Counter(taken[k] for k in range(20)) == Counter(r["taken"] for r in mixing.mix(df).collect())
+
+
+def test_slots(spark):
+    """Each pass over a source is a permutation of its blocks, not in order; the counts drawn for the shards decide which slots
+    they have; slots are made in many tasks."""
+    targets = spark.createDataFrame([("a", 1, 64 * 900, 64, 900, 64 * 2100, 2100), ("b", 2, 640, 40, 16, 640, 16)], "source string, sid long, source_size long, block long, n_blocks long, n_words long, n_slots long")
+    slots = mixing.output_slots(targets, shard_slots=100)
+    assert slots.rdd.getNumPartitions() >= 4 and slots.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 3
+    rows = slots.collect()
+    for sid, n, total in ((1, 900, 2100), (2, 16, 16)):
+        own = sorted((r for r in rows if r["sid"] == sid), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(total))
+        for epoch in range(0, total, n):
+            index = [r["index"] for r in own[epoch : epoch + n]]
+            assert len(set(index)) == len(index) and set(index) <= set(range(n)) and index != sorted(index)
+            shards = [r["shard"] for r in own[epoch : epoch + n]]
+            assert shards == sorted(shards)
+    passes = [[r["index"] for r in sorted(rows, key=lambda r: r["slot"]) if r["sid"] == 1][k : k + 900] for k in (0, 900)]
+    assert abs(np.corrcoef(*passes)[0, 1]) < 0.15 and abs(np.corrcoef(range(900), passes[0])[0, 1]) < 0.15
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(sizes) == 22 and 50 < min(sizes.values()) and max(sizes.values()) < 160  # about 96 each, not all alike
+    assert len(set(sizes.values())) > 5
 
 
 # --- 8
@@ -579,6 +610,50 @@ def test_rules(spark, edge, edge_rows, empty):
     assert rules.apply_rules(empty, rules.references(empty)).count() == 0
 
 
+def brute_kept(rows):
+    """The whole verdict of (text, lang) rows in plain Python: references, distances, guards."""
+    bins, shares = [], lambda c: {k: v / max(1, sum(c.values())) for k, v in c.items()}
+    listed = {w for x in rules.COMMON.values() for w in x}
+    for t, _ in rows:
+        words = [lower(w) for w in WORD.findall(t or "")]
+        bins.append((shares(Counter(int(rules.CLASSES[b]) for b in (t or "").encode())), shares(Counter(w if w in listed else "" for w in words)), len(words)))
+    sums = defaultdict(lambda: (Counter(), Counter()))
+    for (chars, said, n), (_, lang) in zip(bins, rows):
+        if n >= rules.GUARD_COMMON:
+            for key in {lang or "", None}:
+                for total, own in zip(sums[key], (chars, said)):
+                    total.update({k: int(1e6 * v) for k, v in own.items()})
+
+    def far(p, q):
+        q, d = shares(q), 0.0
+        for k in {*p, *q}:
+            a, b = p.get(k, 0), q.get(k, 0)
+            d += sum(x * math.log2(2 * x / (a + b)) for x in (a, b) if x) / 2
+        return math.sqrt(max(0, d))
+
+    out = []
+    for (chars, said, n), (t, lang) in zip(bins, rows):
+        own = sums.get(lang) if lang and lang in sums else sums.get(None)
+        off = own and (n >= rules.GUARD_CHARS and far(chars, own[0]) > rules.FAR_CHARS or n >= rules.GUARD_COMMON and far(said, own[1]) > rules.FAR_COMMON)
+        out.append(not brute_rules(t)[-1] and not off)
+    return out
+
+
+def test_kept_against_brute_force(spark):
+    rng = random.Random(23)
+    rows = []
+    for k in range(240):
+        lang = rng.choice(["en", "de", "xx", "", None])
+        said = rules.COMMON.get(lang, rules.COMMON["fr"]) if rng.random() < 0.7 else ["Qx", "0101", "###", "ÀÀ", "zz"]
+        word = lambda: rng.choice(said) if rng.random() < 0.6 else "".join(rng.choice("abcdefgé7-") for _ in range(rng.randint(1, 8)))
+        rows.append((" ".join(word() for _ in range(rng.choice([5, 20, 40, 70, 150]))), lang))
+    rows += [(None, "en"), ("", None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    want = brute_kept(rows)
+    assert 40 < sum(want) < 200 and any(not w and not brute_rules(t)[-1] for w, (t, _) in zip(want, rows))
+    assert [r["kept"] for r in sorted(rules.apply_rules(df, rules.references(df)).collect(), key=lambda r: r["doc_id"])] == want
+
+
 def test_references_of_all_documents_and_languages(spark, monkeypatch):
     """The common reference sums every row, and each language has its own, be it joined or not."""
     rng = random.Random(6)
