@@ -1,17 +1,20 @@
 """Operator 2, quality by compression.
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed with
-each; the difference of the two sizes per byte of text (bad less good: positive where the good
-dictionary helps more), with the better size per byte beside it, goes through a logistic curve that is
-fitted on the labels. For the fit every labelled text is measured with dictionaries of the other half,
+each. Two differences of sizes, both per byte of text, go through a logistic curve that is fitted on the
+labels: that of the two compressed sizes (bad less good: positive where the good dictionary helps more),
+and, as a logarithm, that of the better one to the text itself, without which texts that compress to almost
+nothing under both pass. For the fit every labelled text is measured with dictionaries of the other half,
 so that the curve doesn't see texts that its dictionary holds.
 
 Only the fit is on a bounded sample: at most SAMPLE rows of each label, those with the least hash of
-doc_id, and of each at most SAMPLE_BYTES bytes of text. Scores are of whole texts.
+doc_id. The dictionaries are built from pieces of PIECE bytes of their texts, at most PIECES a text, evenly over
+all of it, which come to the driver; sizes for the curve, as all scores, are of whole texts and taken in tasks.
 
-Rows: null and empty texts have no difference and the score of that; repeated rows each give a row;
-a null doc_id is scored and counts as not held out; without labels of both kinds every score is the
-share of good ones (1 without labels); extra columns are ignored.
+Rows: null and empty texts have no sizes, and score the share of good texts among the labelled; repeated rows
+each give a row; of rows of one labelled id the least text is learnt from; a null doc_id is scored and counts as
+not held out; without two texts of each label every score is the share of good ones (1 without labels); extra
+columns are kept by score() and accepted(); score() replaces own columns of the names that it adds.
 """
 
 from __future__ import annotations
@@ -25,12 +28,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, table
+from .common import chunks, cut_lineage, flat, table
 
 SAMPLE = 2000
-SAMPLE_BYTES = 32_768
 DICTIONARY_BYTES = 32_768
-PIECE = 2000
+PIECE, PIECES = 2000, 8
 LEVEL = 3
 ACCEPT = 0.3
 FOLDS = 5
@@ -41,15 +43,14 @@ class Model:
     good: bytes
     bad: bytes
     weights: tuple[float, float, float]
-
-    def measure(self) -> Measure:
-        return Measure(self.good, self.bad)
+    share: float  # of good texts among the labelled
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not self.good:
-            return np.full(len(texts), self.weights[0])
-        x = self.measure().features(texts)
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -60, 60)))
+            return np.full(len(texts), self.share)
+        x = Measure(self.good, self.bad).features(texts)
+        s = 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -60, 60)))
+        return np.where([len(t) > 0 for t in texts], s, self.share)
 
 
 class Measure:
@@ -72,9 +73,15 @@ class Measure:
         return out
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of pieces of texts; too few for the trainer: their bytes themselves."""
-    pieces = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
+def pieces_of(text: bytes) -> list[bytes]:
+    """Pieces of PIECE bytes, all or PIECES of them evenly over the text."""
+    n = -(-len(text) // PIECE)
+    at = range(n) if n <= PIECES else [k * n // PIECES for k in range(PIECES)]
+    return [text[k * PIECE : (k + 1) * PIECE] for k in at]
+
+
+def dictionary(pieces: list[bytes]) -> bytes:
+    """A dictionary of pieces; too few for the trainer: their bytes themselves."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -92,49 +99,60 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(good: list[bytes], bad: list[bytes]) -> Model:
-    good, bad = [t for t in good if t], [t for t in bad if t]
-    if len(good) < 2 or len(bad) < 2:
-        return Model(b"", b"", (len(good) / (len(good) + len(bad)) if good or bad else 1.0, 0.0, 0.0))
-    x, y = [], []
-    for half in (0, 1):
-        measure = Measure(dictionary(good[1 - half :: 2]), dictionary(bad[1 - half :: 2]))
-        for label, texts in ((1, good[half::2]), (0, bad[half::2])):
-            x.append(measure.features(texts))
-            y += [label] * len(texts)
-    w = fit_curve(np.concatenate(x), np.array(y, float))
-    return Model(dictionary(good), dictionary(bad), tuple(float(v) for v in w))
-
-
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(1))
 
 
+def _cut(batches):
+    for batch in chunks(batches):
+        data, ends = flat(batch.column("text"))
+        pieces = [pieces_of(data[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("labelled"), batch.column("quality"), pa.array(pieces, pa.list_(pa.binary()))], ["labelled", "quality", "pieces"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From labelled rows that are not held out; sample bounds what is gathered."""
     rows = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality")).where(F.col("labelled").isNotNull() & (fold(F.col("labelled")) != 0))
     picked = [rows.where(F.col("quality") == q).orderBy(F.xxhash64("labelled"), "labelled").limit(sample) for q in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows of two numbers
-    texts = docs.join(picked, docs["doc_id"].cast("long") == picked["labelled"])
-    got = texts.select("quality", "labelled", F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("t"))
-    got = sorted(((r["labelled"], r["quality"], bytes(r["t"])) for r in got.orderBy("labelled").limit(2 * sample).toLocalIterator()))
-    return fit([t for _, q, t in got if q == 1], [t for _, q, t in got if q == 0])
+    found = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(picked, F.col("_doc") == F.col("labelled"))
+    texts = cut_lineage(found.groupBy("labelled", "quality").agg(F.min("text").alias("text")).where("text <> ''"))
+    got = sorted((r["quality"], r["labelled"], r["pieces"]) for r in texts.mapInArrow(_cut, "labelled long, quality int, pieces array<binary>").collect())
+    sides = [[r for r in got if r[0] == q] for q in (0, 1)]
+    share = len(sides[1]) / len(got) if got else 1.0
+    if min(map(len, sides)) < 2:
+        return Model(b"", b"", (0.0, 0.0, 0.0), share)
+    join = lambda q, rows: dictionary([bytes(p) for r in rows for p in r[2]])
+    half = {(q, r[1]): k % 2 for q in (0, 1) for k, r in enumerate(sides[q])}
+    halves = [(join(1, sides[1][1 - h :: 2]), join(0, sides[0][1 - h :: 2])) for h in (0, 1)]  # each for the other half
+
+    def measure(batches):
+        measures = [Measure(*d) for d in halves]
+        for batch in chunks(batches):
+            data, ends = flat(batch.column("text"))
+            keys = list(zip(batch.column("quality").to_pylist(), batch.column("labelled").to_pylist()))
+            x = [measures[half[key]].features([data[a:b].tobytes()])[0] for key, a, b in zip(keys, ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in keys], pa.int64()), pa.array([q for q, _ in keys], pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["labelled", "quality", "x"])
+
+    measured = sorted(map(tuple, texts.mapInArrow(measure, "labelled long, quality int, x array<double>").collect()))
+    w = fit_curve(np.array([r[2] for r in measured]), np.array([r[1] for r in measured], float))
+    return Model(join(1, sides[1]), join(0, sides[0]), tuple(float(v) for v in w), share)
 
 
 def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
-    """docs' rows with all their columns, and held_out, score, predicted."""
-    schema = docs.schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    """docs' rows with their columns, and held_out, score, predicted."""
+    docs = docs.drop("held_out", "score", "predicted")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
         for batch in chunks(batches):
             data, ends = flat(batch.column("text"))
             data = data.tobytes()
             s = model.scores([data[a:b] for a, b in zip(ends[:-1], ends[1:])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])
 
-    rows = docs.mapInArrow(run, f"{kinds}, _score double")
-    return rows.withColumns({"held_out": fold(F.col("doc_id").cast("long")) == 0, "score": F.col("_score"), "predicted": (F.col("_score") >= accept).cast("int")}).drop("_score")
+    rows = docs.mapInArrow(run, f"{kinds}, score double")
+    return rows.withColumns({"held_out": fold(F.col("doc_id").cast("long")) == 0, "predicted": (F.col("score") >= accept).cast("int")})
 
 
 def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:

@@ -73,19 +73,68 @@ def test_suffix_array_and_prefixes():
 # --- 2
 
 
+def brute_quality(docs, labels):
+    """The model in plain Python: dictionaries, sizes with the other half's, a curve by gradient steps."""
+    import zstandard
+
+    def sizes(d, t):
+        kind = zstandard.DICT_TYPE_AUTO if d[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(t))
+
+    def features(good, bad, t):
+        a, b = sizes(good, t), sizes(bad, t)
+        return [1.0, math.tanh(10 * (b - a) / len(t)), math.log(min(1, min(a, b) / len(t)))]
+
+    def dictionary(texts):
+        return quality.dictionary([t[k : k + 2000] for t in texts for k in range(0, len(t), 2000)])
+
+    known = {i: q for i, q in labels if zlib.crc32(str(i).encode()) % 5}
+    side = [[t.encode() for i, t in sorted(docs) if known.get(i) == q] for q in (0, 1)]
+    x, y = [], []
+    for half in (0, 1):
+        good, bad = dictionary(side[1][1 - half :: 2]), dictionary(side[0][1 - half :: 2])
+        for q in (0, 1):
+            x += [features(good, bad, t) for t in side[q][half::2]]
+            y += [q] * len(side[q][half::2])
+    x, y, w = np.array(x), np.array(y), np.zeros(3)
+    for _ in range(200_000):
+        g = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 0.01 * w
+        w += 0.02 * g
+        if np.abs(g).max() < 1e-9:
+            break
+    good, bad = dictionary(side[1]), dictionary(side[0])
+    return {i: 1 / (1 + math.exp(-np.dot(features(good, bad, t.encode()), w))) for i, t in docs}
+
+
 def test_quality(edge, empty, spark):
     rng = random.Random(2)
-    good = [" ".join(rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(80)) for _ in range(40)]
-    bad = ["### buy$$$ now%%% " * rng.randint(5, 20) for _ in range(40)]
-    model = quality.fit([t.encode() for t in good[:30]], [t.encode() for t in bad[:30]])
-    s = model.scores([t.encode() for t in good[30:] + bad[30:]])
-    assert (s[:10] >= 0.3).all() and (s[10:] < 0.3).all()
+    some = [rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(3000)]
+    docs = [(k, " ".join(rng.choice(some) for _ in range(rng.randint(40, 700))) if k % 2 else "### buy$$$ now%%% " * rng.randint(5, 20) + " ".join(rng.choice(some) for _ in range(rng.randint(0, 40)))) for k in range(120)]
+    labels = [(k, k % 2) for k in range(90)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(df.repartition(3), known)
+    rows = quality.score(df, model).collect()
+    want = brute_quality(docs, labels)
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-4 for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in rows if r["doc_id"] >= 90 or r["held_out"])
     rows = quality.score(edge, model).collect()
     assert len(rows) == edge.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["score"] for r in rows if not r["text"]} == {model.share} and 0.3 < model.share < 0.7
+    assert quality.score(edge.withColumn("_score", F.lit(1)).withColumn("held_out", F.lit("x")), model).where("held_out").count() == sum(r["held_out"] for r in rows)
     assert quality.score(empty, model).count() == 0
     assert Counter(got(quality.accepted(edge, model, 0.0))) == Counter(got(edge))
-    labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert quality.train(edge, labels).scores([b"x"]).tolist() == [1.0]
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(edge, none).scores([b"x"]).tolist() == [1.0]
+    again = quality.train(df.unionByName(df), known)  # repeated rows teach nothing more
+    assert again == model
+
+
+def test_pieces():
+    text = bytes(range(256)) * 100
+    assert b"".join(quality.pieces_of(text[:16000])) == text[:16000]
+    assert len(quality.pieces_of(text)) == quality.PIECES and quality.pieces_of(b"") == []
 
 
 # --- 3
