@@ -21,7 +21,7 @@ Counts and training cover all training documents. For training these stand one a
 equal stretches side by side, whatever the lengths of the texts; a stretch that starts inside a document
 starts from an empty state. Rows: null text is empty and has its end only; each row gives a row; a null doc_id is
 null in the result and trains; extra columns are ignored; an empty table gives no rows. A task holds
-a shard, about SHARD_BYTES of text and more only where a single text is longer; the driver holds the network.
+a shard, at most about SHARD_BYTES of text and more only where a single text is longer; the driver holds the network.
 Shards and buckets exchange a row each way at most, and no more rows than a shard has distinct words.
 """
 
@@ -39,15 +39,16 @@ from .common import cut_lineage, lower_ascii, mix, pack, span_hashes, table, unp
 from .shards import NO_ID, as_table, opened, rows_of, shard_count, sharded
 
 FOLDS = 10
-SHORT, LONG, ODD = 31, 32, b"#$%&*!|<>"
+SHORT, LONG, ODD = 15, 24, b"#$%&*!|<>"
 FORMS = 1 + SHORT + LONG + len(ODD)
 #: Words with own weights, and their classes.
-TOP, TOP_CLASSES = 1024, 32
+TOP, TOP_CLASSES = 1024, 24
 CLASSES = TOP_CLASSES + FORMS
 STATE = 16
-WINDOW = 32
+WINDOW, SCORED = 32, 128  # steps read at a time
 ROUNDS = 2
-SHARD_BYTES = 4 << 20
+#: Bytes of a shard; of less text than SHARDS of them a shard has less, but SMALL_BYTES.
+SHARD_BYTES, SHARDS, SMALL_BYTES = 12 << 20, 24, 1 << 20
 #: A shard of fewer windows than FULL is read twice or more often, until LEAST_UPDATES in a round.
 LEAST_UPDATES, FULL = 30, 150
 LEAST_LANES, MOST_LANES = 16, 256
@@ -195,34 +196,44 @@ def lanes(bounds: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return place, first
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def forward(w: dict, h: np.ndarray, seen: np.ndarray, first: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of a window; seen: the input before each token."""
-    e, u, s = w["E"][seen], w["U"], STATE
-    states = np.empty((*seen.shape, s), np.float32)
+def forward(w: dict, h: np.ndarray, seen: np.ndarray, first: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """States after each step of a window; seen: the input before each token. What keep holds is filled for the way back."""
+    s, kind = STATE, w["U"].dtype
+    e, new = w["E"][seen], ~first[:, :, None]
+    states = np.empty((*seen.shape, s), kind)
+    lanes = seen.shape[1]
+    g, zr, n = np.empty((lanes, 3 * s), kind), np.empty((lanes, 2 * s), kind), np.empty((lanes, s), kind)
+    h = h.astype(kind)
     for t in range(len(seen)):
-        h = np.where(first[t][:, None], np.float32(0), h)
-        g = h @ u
-        zr = _sigmoid(e[t, :, : 2 * s] + g[:, : 2 * s])
+        h = h * new[t]
+        np.matmul(h, w["U"], out=g)
+        np.add(e[t, :, : 2 * s], g[:, : 2 * s], out=zr)
+        np.tanh(np.multiply(zr, kind.type(0.5), out=zr), out=zr)  # the logistic function is 1/2 + 1/2 tanh(x/2)
+        zr *= kind.type(0.5)
+        zr += kind.type(0.5)
         z, r = zr[:, :s], zr[:, s:]
-        n = np.tanh(e[t, :, 2 * s :] + r * g[:, 2 * s :])
+        np.multiply(r, g[:, 2 * s :], out=n)
+        n += e[t, :, 2 * s :]
+        np.tanh(n, out=n)
         if keep is not None:
-            keep.append((h, z, r, n, g[:, 2 * s :]))
-        h = n + z * (h - n)
-        states[t] = h
+            keep["before"][t], keep["zr"][t], keep["n"][t], keep["gn"][t] = h, zr, n, g[:, 2 * s :]
+        out = states[t]
+        np.subtract(h, n, out=out)
+        out *= z
+        out += n
+        h = out
     return states
 
 
-def _softmax(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's log-probability of its own column, and all probabilities, in x's place."""
-    x -= x.max(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, own: np.ndarray, shares: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's log-probability of its own column, and (if wanted) all probabilities, in x's place."""
+    top = x.max() if x.size else np.float32(0)
+    x -= top if x.size and top - x.min() < 60 else x.max(axis=1, keepdims=True)  # one shift for all rows where exp() allows it
     said = x[np.arange(len(x)), own]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
+    total = x @ np.ones(x.shape[1], x.dtype)
+    if shares:
+        x /= total[:, None]
     return said - np.log(total), x
 
 
@@ -238,19 +249,20 @@ def _by_class(known: Vocabulary, kind: np.ndarray):
 
 def log_probabilities(w: dict, known: Vocabulary, states: np.ndarray, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Natural logarithms of each token's class given its state and, for frequent words, of the word within the class."""
-    out, _ = _softmax(states @ w["W"] + (w["b"] + known.prior), kind)
+    out, _ = _softmax(states @ w["W"] + (w["b"] + known.prior), kind, False)
     for a, b, own in _by_class(known, kind):
-        out[own] += _softmax(states[own] @ w["V"][a:b].T + (w["c"][a:b] + known.inner[a:b]), place[own] - a)[0]
+        out[own] += _softmax(states[own] @ w["V"][a:b].T + (w["c"][a:b] + known.inner[a:b]), place[own] - a, False)[0]
     return out
 
 
 def gradients(w: dict, known: Vocabulary, h: np.ndarray, seen: np.ndarray, kind: np.ndarray, place: np.ndarray, first: np.ndarray, valid: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Of the mean loss of a window, going back to its start only; the last states; and the loss."""
-    kept: list = []
-    states = forward(w, h, seen, first, kept)
-    flat, s = states.reshape(-1, STATE), STATE
+    s, float_ = STATE, w["U"].dtype
+    keep = {k: np.empty((*seen.shape, m * s), float_) for k, m in (("before", 1), ("zr", 2), ("n", 1), ("gn", 1))}
+    states = forward(w, h, seen, first, keep)
+    flat = states.reshape(-1, s)
     kind, place = kind.ravel(), place.ravel()
-    share = (valid.ravel() / max(1, valid.sum())).astype(np.float32)
+    share = (valid.ravel() / max(1, valid.sum())).astype(float_)
     said, d = _softmax(flat @ w["W"] + (w["b"] + known.prior), kind)
     d[np.arange(len(d)), kind] -= 1
     d *= share[:, None]
@@ -264,18 +276,22 @@ def gradients(w: dict, known: Vocabulary, h: np.ndarray, seen: np.ndarray, kind:
         out["V"][a:b], out["c"][a:b] = e.T @ flat[own], e.sum(axis=0)
         up[own] += e @ w["V"][a:b]
     up = up.reshape(states.shape)
-    back = np.zeros_like(h)
-    de = np.empty((*seen.shape, 3 * s), np.float32)
+    z, r, n = keep["zr"][:, :, :s], keep["zr"][:, :, s:], keep["n"]
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (keep["before"] - n) * z * (1 - z), keep["gn"] * r * (1 - r)
+    new, back = ~first[:, :, None], np.zeros_like(states[0])
+    de, dg = np.empty((*seen.shape, 3 * s), float_), np.empty((*seen.shape, 3 * s), float_)
     for t in range(len(seen) - 1, -1, -1):
-        before, z, r, n, gn = kept[t]
-        dh = up[t] + back
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        de[t, :, :s], de[t, :, s : 2 * s], de[t, :, 2 * s :] = dz, dr, dn
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        out["U"] += before.T @ dg
-        back = np.where(first[t][:, None], np.float32(0), dh * z + dg @ w["U"].T)
+        dh = np.add(up[t], back, out=back)
+        d, dn = dg[t], de[t, :, 2 * s :]
+        np.multiply(dh, to_n[t], out=dn)
+        np.multiply(dh, to_z[t], out=d[:, :s])
+        np.multiply(dn, to_r[t], out=d[:, s : 2 * s])
+        np.multiply(dn, r[t], out=d[:, 2 * s :])
+        back = dh * z[t]
+        back += d @ w["U"].T
+        back *= new[t]
+    de[:, :, : 2 * s] = dg[:, :, : 2 * s]
+    out["U"] = keep["before"].reshape(-1, s).T @ dg.reshape(-1, 3 * s)
     order = np.argsort(seen.ravel(), kind="stable")
     inputs, begin = np.unique(seen.ravel()[order], return_index=True)
     out["E"][inputs] = np.add.reduceat(de.reshape(-1, 3 * s)[order], begin, axis=0)
@@ -331,8 +347,8 @@ def network_scores(text: Text, known: Vocabulary, w: dict) -> np.ndarray:
     n = int(np.clip(len(out) // longest, 16, 256))
     h = np.zeros((n, STATE), np.float32)
     place, first = lanes(text.bounds, np.arange(len(text.ids)), n)
-    for t in range(0, len(place), WINDOW):
-        p, f = place[t : t + WINDOW], first[t : t + WINDOW]
+    for t in range(0, len(place), SCORED):
+        p, f = place[t : t + SCORED], first[t : t + SCORED]
         states = forward(w, h, np.where(f, inputs[0], inputs[text.word[np.maximum(p - 1, 0)]]), f)  # names[0] is the end
         h = states[-1]
         valid = p >= 0
@@ -444,7 +460,7 @@ def _score(n: int, known: Vocabulary, weights: np.ndarray):
 
 def lm_scores(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    n = shard_count(docs, shard_bytes, 1)
+    n = shard_count(docs, shard_bytes, SHARDS, SMALL_BYTES)
     texts = cut_lineage(sharded(docs, n).groupBy("shard").applyInArrow(_tokens, _TEXT))
     entries = texts.mapInArrow(_count(n), "bucket int, shard int, names binary, counts binary, forms binary")
     replies = cut_lineage(entries.groupBy("bucket").applyInArrow(_total, "shard int, bucket int, counts binary, top array<array<long>>, tokens array<long>, distinct array<long>"))
