@@ -30,6 +30,7 @@ from .common import chunks, table
 
 #: The cutting rule of this family of vocabularies.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The same rule for texts of these characters only, with plain classes, which is faster.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 EASY = rf"\t-\r -~{_LETTER}"
@@ -163,23 +164,45 @@ class PrefixCounter:
     def total(self, text: str) -> int:
         return sum(map(self.totals.__getitem__, self.pieces(text)))
 
+    def anew(self, pieces: list[str], running: np.ndarray, j: int, n: int) -> int:
+        """Tokens of the text up to n characters into piece j, the last two pieces cut anew."""
+        back = max(0, j - 1)
+        return (int(running[back - 1]) if back else 0) + self.total("".join(pieces[back:j]) + pieces[j][:n])
+
+    def inside(self, pieces: list[str], running: np.ndarray, j: int) -> list[int]:
+        """Exact tokens of the text up to each character of piece j. A text that ends there may be cut otherwise than the
+        whole: white space at its end is one piece, and a part of a special string or of a contraction is no such."""
+        piece = pieces[j]
+        if piece in self.special or piece in CONTRACTIONS:
+            out = [self.anew(pieces, running, j, n) for n in range(1, len(piece))]
+        else:
+            base, counts = (int(running[j - 1]) if j else 0), self.counts(piece)
+            out = [base + counts[e] for e in accumulate(len(c.encode()) for c in piece)]
+        out[len(piece) - 1 :] = [int(running[j])]
+        if self.joins(pieces, j):
+            out[0] = self.anew(pieces, running, j, 1)
+        return out
+
+    def joins(self, pieces: list[str], j: int) -> bool:
+        """Whether the first character of piece j goes on with the white space before it."""
+        return bool(j and pieces[j][0].isspace() and pieces[j - 1].isspace())
+
+    def prefix_counts(self, text: str) -> list[int]:
+        """Exact tokens of the first 0, 1, 2, ... characters."""
+        pieces = self.pieces(text)
+        running = np.cumsum(self.tokens(pieces))
+        return [0, *(n for j in range(len(pieces)) for n in self.inside(pieces, running, j))]
+
     def budget(self, pieces: list[str], running: np.ndarray, limit: int) -> str:
-        """The longest prefix, by whole characters, of at most limit tokens. A prefix that ends inside
-        a piece cuts the last pieces anew, as the rule for white space looks one character ahead."""
+        """The longest prefix, by whole characters, of at most limit tokens. It ends inside the first piece whose end is over
+        the limit, or right behind it where white space goes on."""
         k = int(np.searchsorted(running, limit, side="right"))
         if k == len(pieces):
             return "".join(pieces)
-        whole = "".join(pieces[:k])
-        if pieces[k] in self.special:
-            return whole
-        back = max(0, k - 1)
-        start, before = "".join(pieces[back:k]), int(running[back - 1]) if back else 0
-        base, counts = int(running[k - 1]) if k else 0, self.counts(pieces[k])
-        ends = [0, *accumulate(len(c.encode()) for c in pieces[k])]
-        for n in range(len(pieces[k]) - 1, 0, -1):
-            if base + counts[ends[n]] <= limit and before + self.total(start + pieces[k][:n]) <= limit:
-                return whole + pieces[k][:n]
-        return whole
+        if k + 1 < len(pieces) and self.joins(pieces, k + 1) and self.anew(pieces, running, k + 1, 1) <= limit:
+            return "".join(pieces[: k + 1]) + pieces[k + 1][:1]
+        n = max((n for n, tokens in enumerate(self.inside(pieces, running, k), 1) if tokens <= limit), default=0)
+        return "".join(pieces[:k]) + pieces[k][:n]
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -193,18 +216,18 @@ def counter(vocabulary: str) -> PrefixCounter:
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, budget_bytes (the longest prefix within the limit, in bytes);
-    with prefixes also the arrays prefix_bytes and prefix_tokens: after each piece, the length and the exact
-    count up to there. vocabulary: path of a byte-level BPE file, which each worker opens."""
+    with prefixes also the array prefix_tokens: the exact counts of the first 0, 1, 2, ... characters. vocabulary: path of
+    a byte-level BPE file, which each worker opens."""
 
     def run(batches):
         known = counter(vocabulary)
         for batch in chunks(batches):
-            rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "budget_bytes", "prefix_bytes", "prefix_tokens")}
+            rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "budget_bytes", "prefix_tokens")}
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 size = len(text.encode())
                 pieces = known.pieces(text)
-                if prefixes or size > limit:
+                if size > limit:
                     running = np.cumsum(known.tokens(pieces))
                     n = int(running[-1]) if len(running) else 0
                 else:  # no text has more tokens than bytes
@@ -213,18 +236,17 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, prefixes:
                 rows["n_tokens"].append(n)
                 rows["budget_bytes"].append(size if n <= limit else len(known.budget(pieces, running, limit).encode()))
                 if prefixes:
-                    rows["prefix_bytes"].append(np.cumsum([len(p.encode()) for p in pieces], dtype=np.int64))
-                    rows["prefix_tokens"].append(running)
+                    rows["prefix_tokens"].append(known.prefix_counts(text))
             arrays = [batch.column("doc_id"), pa.array(rows["n_bytes"], pa.int64()), pa.array(rows["n_tokens"], pa.int64())]
             arrays += [pc.greater(arrays[2], limit), pa.array(rows["budget_bytes"], pa.int64())]
             names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "budget_bytes"]
             if prefixes:
-                names += ["prefix_bytes", "prefix_tokens"]
-                arrays += [pa.array(rows[k], pa.list_(pa.int64())) for k in names[-2:]]
+                names.append("prefix_tokens")
+                arrays.append(pa.array(rows["prefix_tokens"], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_bytes long"
-    schema += ", prefix_bytes array<long>, prefix_tokens array<long>" if prefixes else ""
+    schema += ", prefix_tokens array<long>" if prefixes else ""
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
 
 

@@ -393,16 +393,18 @@ def test_prefix_counts(spark, vocabulary):
                 pass
     rng = random.Random(3)
     alphabet = ["a", "b", "the", "'s", "ll", " ", "  ", "\n", "12", "é", "中", "\U0001f600", ".", "<|endoftext|>", "\x85", "\x1c"]
-    for _ in range(400):
+    for _ in range(3000):
         s = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 15)))
         assert c.total(s) == count(s)
         pieces = c.pieces(s)
-        for limit in (0, 1, 3, 6):
+        every = [count(s[:n]) for n in range(len(s) + 1)]
+        assert c.prefix_counts(s) == every
+        for limit in (0, 1, 2, 3, 6):
             kept = c.budget(pieces, np.cumsum(c.tokens(pieces)), limit)
-            assert s.startswith(kept) and count(kept) <= limit
+            assert s.startswith(kept) and len(kept) == max(n for n, k in enumerate(every) if k <= limit)
     df = spark.createDataFrame([(1, "one two  three")], "doc_id long, text string")
     r = tokens.token_counts(df, vocabulary, prefixes=True).first()
-    assert [count("one two  three".encode()[:n].decode()) for n in r["prefix_bytes"]][-1] == r["prefix_tokens"][-1] == r["n_tokens"]
+    assert r["prefix_tokens"] == [count("one two  three"[:n]) for n in range(15)] and r["prefix_tokens"][-1] == r["n_tokens"]
 
 
 # --- 7
