@@ -126,8 +126,13 @@ def measure(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         covered += np.bincount(first, minlength=len(covered)) - np.bincount(first + WINDOW, minlength=len(covered))
     out["n_repeat_words"] = _per_doc(np.cumsum(covered[:-1]) > 0, bounds)
 
-    lower = lower_ascii(data)
-    h = span_hashes(lower, starts, stops)
+    return out | histograms(data, ends, starts, stops, bounds)
+
+
+def histograms(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """Character classes and common words of each document, whose words are given."""
+    out = {"n_words": np.diff(bounds)}
+    h = span_hashes(lower_ascii(data), starts, stops)
     place = np.searchsorted(COMMON_HASHES, h) if len(h) else np.zeros(0, np.int64)
     known = COMMON_HASHES[np.minimum(place, len(COMMON_HASHES) - 1)] == h
     place = np.where(known, place, N_COMMON - 1)
@@ -166,7 +171,7 @@ def references(docs: DataFrame) -> References:
     def run(batches):
         for batch in chunks(batches, CHUNK):
             data, ends = flat(batch.column("text"))
-            got = measure(data, ends)
+            got = histograms(data, ends, *words(data, ends))
             every = np.concatenate([(1e6 * _shares(got["chars"])).astype(np.int64), (1e6 * _shares(got["common"])).astype(np.int64)], axis=1)
             every[got["n_words"] < GUARD_COMMON] = 0
             langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
