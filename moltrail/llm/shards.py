@@ -18,9 +18,10 @@ DEALT_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
-def shard_count(docs: DataFrame, shard_bytes: int, least: int) -> int:
+def shard_count(docs: DataFrame, shard_bytes: int, least: int, small_bytes: int = 0) -> int:
+    """Shards of about shard_bytes; at least so many, but none of under small_bytes."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return max(least, -(-size // shard_bytes))
+    return max(1, -(-size // shard_bytes), min(least, -(-size // small_bytes)) if small_bytes else least)
 
 
 def sharded(docs: DataFrame, n: int) -> DataFrame:

@@ -171,6 +171,57 @@ def test_simhash(edge, edge_rows, empty):
     assert got(simhash.near_duplicates(empty)) == []
 
 
+def shingles(t, n=5):
+    w = WORD.findall(lower(t))
+    return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
+
+
+def brute_similar(rows, least=0.8):
+    """The least id of each id's component, linking texts by the exact similarity of their shingles."""
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in sets}
+    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if i == j or x == y or len(x & y) >= least * len(x | y)]
+    for _ in sets:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_similar_documents(spark, edge, edge_rows, empty):
+    """Against exact similarities, of texts that are far from the border on either side."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for k in range(60):
+        t = [word() for _ in range(rng.choice([60, 150, 400]))]
+        rows.append((len(rows), " ".join(t)))
+        for share in rng.sample([0, 0.01, 0.015, 0.3, 0.5], 3):
+            x = [word() if rng.random() < share else w for w in t]
+            rows.append((len(rows), " ".join(x).title() if share == 0 else " ".join(x)))
+    sets = dict((i, shingles(t)) for i, t in rows)
+    values = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in range(i)]
+    assert sum(v >= 0.86 for v in values) > 40 and sum(0.05 < v < 0.6 for v in values) > 40
+    rows = [(i, t) for i, t in rows if not any(0.6 < len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.86 for j in range(i))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_similar(rows)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, tile=8).collect()} == want
+    want = brute_similar([(i, t) for i, t, *_ in edge_rows])
+    assert all(r["doc_id"] is None or r["component_id"] == want[r["doc_id"]] for r in simhash.similar_documents(edge).collect())
+    assert simhash.similar_documents(edge).count() == edge.count() and got(simhash.similar_documents(empty)) == []
+
+
+def test_close():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)
+    at = rng.integers(0, 399, 60)
+    fp[at + 1] = fp[at]
+    ends = np.cumsum([0, *rng.choice([1, 2, 3, 5, 9], 80)])
+    ends = ends[ends <= 400]
+    want = [simhash.linked(fp[a:b], fp[a:b], 3).sum() > b - a for a, b in zip(ends[:-1], ends[1:])]
+    assert simhash.close(fp, ends, 3, block=7).tolist() == want and any(want) and not all(want)
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 6).astype(np.uint64)

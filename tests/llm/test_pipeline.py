@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline as P
 from moltrail.llm import decontaminate, quality
 
-from .test_operators import WORD, brute_fingerprint, brute_spans
+from .test_operators import WORD, brute_similar, brute_spans
 
 
 @pytest.fixture()
@@ -36,13 +36,7 @@ def test_stages(spark, edge, edge_rows, folder):
 def test_run_against_brute_force(spark, edge, edge_rows, folder):
     model = quality.train(edge, spark.read.parquet(f"{folder}/labels.parquet"))
     rows = [(i, t) for i, t, *_ in edge_rows if model.scores([(t or "").encode()])[0] >= 0.3]
-    fps = [(i, brute_fingerprint(t)) for i, t in rows if i is not None]
-    root = {i: i for i, _ in fps}
-    for _ in fps:
-        for a, x in fps:
-            for b, y in fps:
-                if (x ^ y).bit_count() <= 4:
-                    root[a] = root[b] = min(root[a], root[b])
+    root = brute_similar(rows)
     rows = [(i, t) for i, t in rows if i is None or root[i] == i]
     passage = next(t for i, t, *_ in edge_rows if i == 9)
     rows = [(i, t) for i, t in rows if passage not in (t or "")]
