@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import dense_index, running_sums
-from .series import scaled
+from .series import drop_zero_features, scaled, zero_columns
+from .structure import superposed
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -129,11 +129,13 @@ def frame_vectors(coords: DataFrame, frame: str, atom: str) -> DataFrame:
     return rows.select(frame, array_to_vector(F.flatten(F.transform("a", lambda p: F.array(p["x"], p["y"], p["z"])))).alias("features"))
 
 
-def contact_vectors(contacts: DataFrame, frame: str, feature: str, value: str, size: int) -> DataFrame:
-    """P5: each frame's contacts as a sparse vector; feature is a number below size."""
-    build = F.udf(lambda e: SparseVector(size, [(x[0], x[1]) for x in e]), VectorUDT())
-    rows = contacts.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct(F.col(feature).cast("int").alias("i"), F.col(value).cast("double").alias("v")))).alias("e"))
-    return rows.select(frame, build("e").alias("features"))
+def contact_vectors(contacts: DataFrame, frames: DataFrame, frame: str, feature: str, value: str, size: int) -> DataFrame:
+    """P5: each frame's contacts as one vector, 0 where there is none; feature is a number below size."""
+    entries = F.collect_list(F.struct(F.col(feature).cast("int").alias("i"), F.col("v")))
+    rows = contacts.groupBy(frame, feature).agg(F.sum(F.col(value).cast("double")).alias("v")).groupBy(frame).agg(F.map_from_entries(entries).alias("m"))
+    rows = frames.select(frame).distinct().join(rows, frame, "left")
+    each = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return rows.select(frame, array_to_vector(each).alias("features"))
 
 
 def vector_pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
@@ -151,6 +153,25 @@ def angle_features(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids
     return rows
 
 
+def xyz_pca(coords: DataFrame, reference: DataFrame, frame: str, atom: str, k: int) -> tuple[DataFrame, list[float]]:
+    """Frames moved onto the reference (the atoms to take), then components of their coordinates."""
+    chosen = coords.join(reference.select(atom), atom, "left_semi")
+    return vector_pca(frame_vectors(superposed(chosen, reference, [frame], atom), frame, atom), k)
+
+
+def contact_pca(contacts: DataFrame, frames: DataFrame, frame: str, feature: str, value: str, k: int) -> tuple[DataFrame, list[float]]:
+    """P5: components of contact maps, without features that are 0 in every frame."""
+    rows = drop_zero_features(contacts, feature, value)
+    names = dense_index(rows.select(feature).distinct(), feature)
+    return vector_pca(contact_vectors(rows.join(names, feature), frames, frame, "_i", value, names.count()), k)
+
+
+def dihedral_pca(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids: list, k: int) -> tuple[DataFrame, list[list[float]], list[float]]:
+    """Components of the angles' cosines and sines."""
+    rows = angle_features(angles, frame, tuple_id, angle, ids)
+    return pca(rows, [c for c in rows.columns if c != frame], k)
+
+
 def importances(df: DataFrame, columns: list[str], label: str, trees: int = 50, seed: int = 0) -> dict[str, float]:
     model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed).fit(assembled(df, columns))
     return dict(zip(columns, map(float, model.featureImportances.toArray())))
@@ -178,8 +199,6 @@ def uncorrelated(df: DataFrame, columns: list[str], limit: float = 0.85) -> list
 
 def clean(df: DataFrame, columns: list[str], label: str, keep: int = 800, limit: float = 0.85, k: int = 20):
     """P10: zero columns out, range scaling, importance, decorrelation, components."""
-    from .series import zero_columns
-
     columns = [c for c in columns if c not in set(zero_columns(df, columns))]
     rows = scaled(df, columns, "range")
     columns = uncorrelated(rows, most_important(rows, columns, label, keep), limit)

@@ -1,5 +1,6 @@
 """Readers and writers on small files of each format."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moltrail.operators import contacts as C
@@ -77,6 +78,36 @@ def test_small_formats(spark, tmp_path):
     assert [tuple(r) for r in p.collect()] == [("m1", "6")]
 
 
+def test_line_readers_of_split_files(spark, tmp_path):
+    """Lines read one by one keep their order in a file that is cut into many splits."""
+    path = write(tmp_path / "long.xvg", "# t v\n" + "".join(f"{k} {k % 7}\n" for k in range(900_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        rows = S.read_series(spark, path, [0, 1], ["t", "v"])
+        assert rows.rdd.getNumPartitions() > 3
+        w = Window.partitionBy("file").orderBy("line_no")
+        assert tuple(rows.withColumn("d", F.col("t") - F.lag("t").over(w)).agg(F.count("*"), F.min("d"), F.max("d")).first()) == (900_000, 1, 1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sections_and_lists(spark, tmp_path):
+    rows = S.read_sections(spark, write(tmp_path / "t.top", "; c\n[ atoms ]\n1 C ; x\n\n[ bonds ]\n1 2\n"))
+    assert sorted((r["section"], r["text"]) for r in rows.collect()) == [("atoms", "1 C"), ("bonds", "1 2")]
+    got = S.read_structure_list(spark, write(tmp_path / "l", "# c\n1abc 2.0 LIG Ki=5nM x\nshort 1\n")).collect()
+    assert [tuple(r) for r in got] == [("1abc", 2.0, "LIG", "Ki", "5nM")]
+    spark.createDataFrame([(f, 1.0) for f in range(10)], "frame int, x double").write.parquet(str(tmp_path / "trj"))
+    assert sorted(r["frame"] for r in S.read_trajectory(spark, str(tmp_path / "trj"), 3, 2, 9).collect()) == [3, 6, 9]
+
+
+def test_edge_and_restraint_writers(spark, tmp_path):
+    K.write_edges(spark.createDataFrame([(0, 1, 2.5)], "a int, b int, w double"), str(tmp_path / "e"))
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "e")).collect()} == {"0,1,2.5", "a,b,w"}
+    rows = K.restraint_lines(spark.createDataFrame([(0, 7)], "pos int, atom_no int")).collect()
+    assert [r["text"] for r in rows] == ["     7   1    1000.0    1000.0    1000.0"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(0, 1.23456), (4, 2.0)], "t int, v double")
     K.write_series(df.coalesce(1), str(tmp_path / "s"), "t")

@@ -14,6 +14,7 @@ from moltrail.operators import contacts as C
 from moltrail.operators import docking as D
 from moltrail.operators import features as B
 from moltrail.operators import learning as L
+from moltrail.operators import ranges
 from moltrail.operators import lipids as Z
 from moltrail.operators import matrix as M
 from moltrail.operators import network as N
@@ -187,6 +188,84 @@ def test_pca_of_the_five_by_two_example(spark):
     assert sorted(tuple(r) for r in z) == [(-1, 0), (1, 0)]
 
 
+def wide_rows(spark, n):
+    return spark.range(0, n, 1, 64).select(F.xxhash64("id").alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("wide"))
+
+
+def test_row_numbers_of_wide_tables(spark):
+    """No row is lost or numbered twice, whatever the width and the number of partitions."""
+    df = wide_rows(spark, 200_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        rows = ranges.dense_index(df, "k")
+        assert tuple(rows.agg(F.count("*"), F.countDistinct("_i"), F.min("_i"), F.max("_i"), F.countDistinct("k")).first()) == (200_000, 200_000, 0, 199_999, 200_000)
+        assert rows.where("_i < 5").orderBy("_i").select("k").collect() == df.orderBy("k").select("k").limit(5).collect()
+        folds = L.k_fold(df, "k", 5).groupBy("fold").count().collect()
+        assert sorted(map(tuple, folds)) == [(k, 40_000) for k in range(5)]
+        sums = ranges.running_sums(df.select("k", F.lit(1).alias("one")), [F.desc("k")], {"n": "one"})
+        assert tuple(sums.agg(F.count("*"), F.max("n"), F.countDistinct("n")).first()) == (200_000, 200_000, 200_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def projections(x, k):
+    c = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    return np.abs(u[:, :k] * s[:k]), (s**2 / (s**2).sum())[:k]
+
+
+def test_components_of_frames(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((7, 3)) * 4
+    moved, rows = [], []
+    for f in range(12):
+        x = base + rng.standard_normal((7, 3)) * [0.8, 0.3, 0.1]
+        q, _ = np.linalg.qr(rng.standard_normal((3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        rows += [(f, k, *map(float, p @ q.T + f)) for k, p in enumerate(x)] + [(f, 99, 0.0, 0.0, 0.0)]
+        a, b = x - x.mean(axis=0), base - base.mean(axis=0)
+        u, _, v = np.linalg.svd(a.T @ b)
+        u[:, 2] *= np.sign(np.linalg.det(u @ v))
+        moved.append((a @ u @ v + base.mean(axis=0)).ravel())
+    df = spark.createDataFrame(rows, "frame int, atom int, x double, y double, z double")
+    ref = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(base)], "atom int, x double, y double, z double")
+    out, share = L.xyz_pca(df, ref, "frame", "atom", 3)
+    want, part = projections(np.array(moved), 3)
+    got = np.array([[r[f"PC_{k}"] for k in range(3)] for r in out.orderBy("frame").collect()])
+    assert np.allclose(np.abs(got), want, atol=1e-6) and np.allclose(share, part)
+
+
+def test_components_of_contacts_and_angles(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((15, 6)) * (rng.random((15, 6)) < 0.6)
+    x[:, 2], x[4] = 0, 0
+    rows = [(f, f"c{k}", float(v)) for f, r in enumerate(x) for k, v in enumerate(r) if v or k == 2]
+    frames = spark.range(15).select(F.col("id").cast("int").alias("frame"))
+    out, share = L.contact_pca(spark.createDataFrame([r for r in rows if r[0] != 4], "frame int, pair string, w double"), frames, "frame", "pair", "w", 2)
+    want, part = projections(np.delete(x, 2, axis=1), 2)
+    got = np.array([[r["PC_0"], r["PC_1"]] for r in out.orderBy("frame").collect()])
+    assert np.allclose(np.abs(got), want) and np.allclose(share, part)
+    a = rng.random((15, 4)) * 6 - 3
+    angles = spark.createDataFrame([(f, k, float(v)) for f, r in enumerate(a) for k, v in enumerate(r)], "frame int, t int, angle double")
+    out, _, share = L.dihedral_pca(angles, "frame", "t", "angle", [0, 1, 2, 3], 2)
+    want, part = projections(np.concatenate([np.cos(a), np.sin(a)], axis=1), 2)
+    got = np.array([[r["PC_0"], r["PC_1"]] for r in out.orderBy("frame").collect()])
+    assert np.allclose(np.abs(got), want) and np.allclose(share, part)
+
+
+def test_feature_choice_and_cleaning(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 400)
+    x = np.stack([y + 0.1 * rng.standard_normal(400), y + 0.1 * rng.standard_normal(400) * 2, rng.standard_normal(400), np.zeros(400), rng.standard_normal(400)], axis=1)
+    df = spark.createDataFrame([(int(a), *map(float, r)) for a, r in zip(y, x)], "label int, a double, b double, c double, zero double, d double")
+    columns = ["a", "b", "c", "d"]
+    assert set(L.most_important(df, columns, "label", 2, trees=20)) == {"a", "b"}
+    assert L.most_important(df, columns, "label", 9, trees=20) == columns
+    out, parts, share = L.clean(df, ["a", "b", "c", "zero", "d"], "label", 3, 0.85, 5)
+    assert out.count() == 400 and len(parts) == len(share) == 2  # a and b correlate, one of three is left out before
+
+
 def test_decorrelation(spark):
     rng = np.random.default_rng(1)
     a = rng.standard_normal(200)
