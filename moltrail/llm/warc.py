@@ -12,10 +12,11 @@ table gives no records. Pages are taken whole.
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ TEXT_RULES = (
 )
 TIDY_RULES = ((r"[ \t]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LINK = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
+LINK = r"(?i)<a[ \t\r\n\f][^>]*?href[ \t\r\n\f]*=[ \t\r\n\f]*(\"[^\"]*\"|'[^']*'|[^ \t\r\n\f>\"']+)"
+QUOTES = "^[\"']|[\"']$"
+MARK = "WARC/1."
 
 
 def _uuid(*parts: Column) -> Column:
@@ -78,7 +81,7 @@ def derive(records: DataFrame) -> DataFrame:
     rows = with_text(records).withColumns({
         "source_digest": _digest(F.col("payload")),
         "title": F.trim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " ")),
-        "links": F.array_distinct(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))),
+        "links": F.array_distinct(F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, QUOTES, ""))),
         "conversion_id": _uuid(F.lit("conversion"), F.col("record_id")),
         "metadata_id": _uuid(F.lit("metadata"), F.col("record_id")),
     })
@@ -106,30 +109,38 @@ def write_warc(records: DataFrame, path: str) -> None:
     warc_text(records).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        head = {k.lower(): v for k, v in head.items()}
-        size = int(head.get("content-length", 0))
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header and block of each record of a file's pieces, cut at MARK; pieces are joined as far as the block's length says."""
+    head, block, size = None, b"", 0
+    for piece in pieces:
+        if head is not None and len(block) < size:
+            block += MARK.encode() + piece  # the mark stood in the block
+        else:
+            if head is not None:
+                yield head, block[:size]
+            top, end, block = piece.partition(b"\r\n\r\n")
+            head = {k.lower(): v for k, v in (x.split(": ", 1) for x in top.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)} if end else None
+            number = (head or {}).get("content-length", "0").strip()
+            size = int(number) if number.isdecimal() else 0
+    if head is not None:
+        yield head, block[:size]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or gzipped: record_type, record_id, refers_to, target_uri, date, header
-    (map, lower-case names), block (binary). A file is read by one task and must fit in its memory."""
-
-    def run(frames):
-        for frame in frames:
-            for data in frame["content"]:
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h, b) for h, b in _parse(data)]
-                yield pd.DataFrame(rows, columns=["record_type", "record_id", "refers_to", "target_uri", "date", "header", "block"])
+    """Records of WARC files, plain or (by their name) gzipped: record_type, record_id, refers_to, target_uri, date, header
+    (map, lower-case names), block (binary). Files are read record by record and plain ones in splits; of a record that is cut off
+    the block holds what is there, and one without a whole header is left out, as is the rest of a block that holds
+    the mark of a record just where a split ends."""
+    names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date"]
+
+    def run(batches):
+        rows = ((file, value) for batch in batches for file, value in zip(batch.column("file").to_pylist(), batch.column("value")))
+        for head, block in (r for _, own in groupby(rows, key=itemgetter(0)) for r in parsed(value.as_py() for _, value in own)):
+            columns = [*[pa.array([head.get(k)], pa.string()) for k in names], pa.array([list(head.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["record_type", "record_id", "refers_to", "target_uri", "date", "header", "block"])
 
     schema = "record_type string, record_id string, refers_to string, target_uri string, date string, header map<string,string>, block binary"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return spark.read.text(path, lineSep=MARK).select(F.concat_ws(" ", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string")).alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(run, schema)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +177,7 @@ def _op10_sql() -> str:
     return f"""
 WITH source AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, md5('response/' || coalesce(CAST(page_id AS VARCHAR), '') || '/' || coalesce(url, '')) AS m FROM pages),
 named AS (SELECT *, {uuid('m')} AS record_id, 'sha256:' || sha256(payload) AS source_digest, {x} AS raw,
-  trim(regexp_replace(regexp_extract(payload, {quote(TITLE)}, 1), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title, regexp_extract_all(payload, {quote(LINK)}, 1) AS every FROM source),
+  trim(regexp_replace(regexp_extract(payload, {quote(TITLE)}, 1), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title, list_transform(regexp_extract_all(payload, {quote(LINK)}, 1), lambda x: regexp_replace(x, {quote(QUOTES)}, '', 'g')) AS every FROM source),
 texts AS (SELECT *, {y} AS text, md5('conversion/' || record_id) AS c, md5('metadata/' || record_id) AS d,
   list_filter(every, lambda x, i: list_position(every, x) = i) AS links FROM named),
 made AS (SELECT *, {uuid('c')} AS conversion_id, {uuid('d')} AS metadata_id, 'title: ' || title || {end} || 'http-header: HTTP/1.1 200 OK' || {end} || 'http-header: Content-Type: text/html; charset=utf-8' || {end}

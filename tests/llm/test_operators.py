@@ -789,18 +789,18 @@ def test_distance():
 
 
 def test_warc(spark, tmp_path):
-    html = '<html><head><title> A\n b </title><script>x="<p>"</script></head><body><!-- no --><p>One &amp; two&#233;</p><a class="c" href="http://a/b">l</a><br>3 &lt; 4</body></html>'
+    html = '<html><head><title> A\n b </title><script>x="<p>"</script></head><body><!-- no --><p>One &amp; two&#233;</p><a class="c" href="http://a/b">l</a><A HREF = \'c d\'></a><a href=e/f></a><a href="">z</a><br>3 &lt; 4</body></html>'
     pages = spark.createDataFrame([(1, "http://x/y", html, "k"), (1, "http://x/y", html, "k"), (2, None, None, None), (None, "u", "", "z")], "page_id long, url string, html string, record_id string")
     out = warc.derive(warc.responses(pages))
     rows = [r for r in out.collect() if r["page_id"] == 1]
     assert out.count() == 8 and len(rows) == 4
     text = next(r for r in rows if r["record_type"] == "conversion")
     meta = next(r for r in rows if r["record_type"] == "metadata")
-    assert text["block"] == "A b\nOne & twoé\nl\n3 < 4"
+    assert text["block"] == "A b\nOne & twoé\nlz\n3 < 4"
     assert text["refers_to"] == meta["refers_to"] and text["related_to"] == meta["record_id"] and meta["related_to"] == text["record_id"]
     assert text["content_length"] == len(text["block"].encode()) and text["block_digest"] == "sha256:" + hashlib.sha256(text["block"].encode()).hexdigest()
     assert text["source_payload_digest"] == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
-    assert "title: A b\r\n" in meta["block"] and "outlink: http://a/b\r\n" in meta["block"] and "http-header: HTTP/1.1 200 OK" in meta["block"]
+    assert "title: A b\r\n" in meta["block"] and meta["block"].endswith("outlink: http://a/b\r\noutlink: c d\r\noutlink: e/f\r\noutlink: \r\n") and "http-header: HTTP/1.1 200 OK" in meta["block"]
     warc.write_warc(out, str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w" / "part-*")).collect()
     assert Counter((r["record_id"], bytes(r["block"]).decode()) for r in back) == Counter((r["record_id"], r["block"]) for r in out.collect())
@@ -813,6 +813,12 @@ def test_warc_responses_from_files(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
     record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://h/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"uuid:1", b"uuid:2")))
-    rows = warc.derive(warc.read_responses(spark, str(tmp_path))).collect()
+    rows = warc.derive(warc.read_responses(spark, str(tmp_path / "a.warc.gz"))).collect()
+    marked = record.replace(block, block[:-4] + b"WARC/1.0\r\n\r\n").replace(b"Content-Length: %d" % len(block), b"Content-Length: %d" % (len(block) + 8))
+    (tmp_path / "b.warc").write_bytes(marked + record + record[:-20])
+    (tmp_path / "c.warc").write_bytes(record[:60])
+    (tmp_path / "d.warc").write_bytes(record)
+    got_ = Counter((bytes(r["block"]), len(r["header"])) for r in warc.read_warc(spark, str(tmp_path / "*.warc")).collect())
+    assert got_ == Counter([(block[:-4] + b"WARC/1.0\r\n\r\n", 5), (block, 5), (block[:-16], 5), (block, 5)])
     assert len(rows) == 4 and {r["refers_to"] for r in rows} == {"<urn:uuid:1>", "<urn:uuid:2>"}
     assert all(r["date"] == "2020-01-01T00:00:00Z" for r in rows) and any(r["block"] == "hello" for r in rows)
