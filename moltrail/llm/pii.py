@@ -1,7 +1,8 @@
 """Operator 4, personal data.
 
 Regular expressions propose spans; checks confirm them (parts of an IP address, Luhn for cards,
-mod 97 for IBANs, digits of phone numbers); words just before a span raise its score. The base kinds
+mod 97 for IBANs, digits of phone numbers); words of the same kind within NEAR characters before or after a span,
+up to the next span of its kind, raise its score. The base kinds
 (email, ip, card, phone) always stay once confirmed. IBANs and social security numbers are added:
 an IBAN needs its checksum, a social security number has no checksum and needs a context word.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SUMS = 64
+SUMS, NEAR = 64, 40
 ACCEPT = 0.8
 LOCAL = "A-Za-z0-9._%+-"
 #: kind: pattern, a text that each match holds (to skip other documents), score without and with context, context words.
@@ -56,24 +57,33 @@ def _sum(array: str) -> str:
 
 
 def find(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), accept: float = ACCEPT) -> DataFrame:
-    """docs and a column spans: array of struct(start, rank, kind, end, score), by start, then kind as listed."""
-    rows = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+    """docs and a column spans (in place of an own one): array of struct(start, rank, kind, end, score), by start, then kind
+    as listed."""
+    docs = docs.drop("spans")
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):  # names that docs doesn't have
+        own += "_"
+    m, g, t, b = (lambda kind, x=x: f"{own}{x}_{kind}" for x in "mgsb")
+    rows = docs.withColumn(f"{own}t", F.coalesce(F.col("text"), F.lit("")))
     for kind in kinds:
         pattern, holds, plain, sure, context = KINDS[kind]
-        p, has = _literal(pattern), f"contains(_t, {_literal(holds)})" if holds else "_t RLIKE '[0-9]'"
-        rows = rows.withColumns({f"_m_{kind}": F.expr(f"if({has}, regexp_extract_all(_t, {p}, 0), array())"), f"_g_{kind}": F.expr(f"if({has}, split(_t, {p}, -1), array())")})
-    wide = [c for c in rows.columns if c[:3] in ("_m_", "_g_")]
-    rows = rows.select(*docs.columns, *wide)
-    steps = {kind: F.expr(f"zip_with(_m_{kind}, slice(_g_{kind}, 1, size(_m_{kind})), (text, gap) -> struct(text, right(gap, 40) AS before, length(gap) AS skip, length(gap) + length(text) AS step))") for kind in kinds}
-    rows = rows.select(*docs.columns, *[c.alias(f"_s_{kind}") for kind, c in steps.items()])
-    totals = {kind: F.expr(f"transform(sequence(0, size(_s_{kind}) div {SUMS}), b -> {_sum(f'slice(_s_{kind}.step, b * {SUMS} + 1, {SUMS})')})") for kind in kinds}
-    rows = rows.select("*", *[c.alias(f"_b_{kind}") for kind, c in totals.items()])
+        p, has = _literal(pattern), f"contains({own}t, {_literal(holds)})" if holds else f"{own}t RLIKE '[0-9]'"
+        rows = rows.withColumns({m(kind): F.expr(f"if({has}, regexp_extract_all({own}t, {p}, 0), array())"), g(kind): F.expr(f"if({has}, split({own}t, {p}, -1), array())")})
+    rows = rows.drop(f"{own}t")
+
+    def steps(kind):
+        before = f"zip_with({m(kind)}, slice({g(kind)}, 1, size({m(kind)})), (text, gap) -> named_struct('text', text, 'near', right(gap, {NEAR}), 'skip', length(gap), 'step', length(gap) + length(text)))"
+        return F.expr(f"zip_with({before}, slice({g(kind)}, 2, size({m(kind)})), (x, gap) -> named_struct('text', x.text, 'near', concat(x.near, ' ', left(gap, {NEAR})), 'skip', x.skip, 'step', x.step))").alias(t(kind))
+
+    rows = rows.select(*docs.columns, *[steps(kind) for kind in kinds])
+    totals = {kind: F.expr(f"transform(sequence(0, size({t(kind)}) div {SUMS}), b -> {_sum(f'slice({t(kind)}.step, b * {SUMS} + 1, {SUMS})')})") for kind in kinds}
+    rows = rows.select("*", *[c.alias(b(kind)) for kind, c in totals.items()])
     found = []
     for rank, kind in enumerate(kinds):
         _, _, plain, sure, context = KINDS[kind]
-        start = f"{_sum(f'slice(_b_{kind}, 1, i div {SUMS})')} + {_sum(f'slice(_s_{kind}.step, (i div {SUMS}) * {SUMS} + 1, i % {SUMS})')} + m.skip"
-        score = f"if(m.before RLIKE '(?i)(?:{context})', {sure}D, {plain}D)"
-        kept = f"transform(_s_{kind}, (m, i) -> struct(m.text AS text, m.skip AS skip, m.before AS before, i AS i, {CHECKS[kind]} AS good))"
+        start = f"{_sum(f'slice({b(kind)}, 1, i div {SUMS})')} + {_sum(f'slice({t(kind)}.step, (i div {SUMS}) * {SUMS} + 1, i % {SUMS})')} + m.skip"
+        score = f"if(m.near RLIKE '(?i)(?:{context})', {sure}D, {plain}D)"
+        kept = f"transform({t(kind)}, (m, i) -> struct(m.text AS text, m.skip AS skip, m.near AS near, i AS i, {CHECKS[kind]} AS good))"
         kept = f"filter({kept}, m -> m.good" + ("" if kind in BASE else f" AND {score} >= {accept}") + ")"
         found.append(f"transform({kept}, m -> named_struct('start', {start.replace('i div', 'm.i div').replace('i %', 'm.i %')}, 'rank', {rank}, 'kind', '{kind}', 'end', {start.replace('i div', 'm.i div').replace('i %', 'm.i %')} + length(m.text), 'score', {score}))")
     return rows.select(*docs.columns, F.expr(f"array_sort(concat({', '.join(found)}))").alias("spans"))
@@ -99,7 +109,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
     base = joined("filter(spans, s -> s.rank < 4)")
-    return rows.select("doc_id", *counts, F.expr(f"sha2({base}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.expr(f"sha2({base}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"), F.expr("array_join(transform(spans, s -> cast(s.score AS string)), ',')").alias("scores"))
 
 
 def _sql_kind(rank: int, kind: str) -> str:
@@ -118,17 +128,20 @@ def _sql_kind(rank: int, kind: str) -> str:
         "card": f"CASE WHEN len({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END",
         "phone": f"len({digits}) BETWEEN 9 AND 15",
         "iban": f"len(replace(x.m, ' ', '')) BETWEEN 15 AND 34 AND {rest}",
-        "ssn": f"regexp_matches(right(x.g, 40), '(?i)(?:{KINDS['ssn'][4]})')",
+        "ssn": "true",
     }[kind]
-    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, x.s AS start, x.s + len(x.m) AS "end" FROM (SELECT doc_id, unnest(list_transform(range(1, len(ms) + 1),
-  lambda i: {{'m': ms[i], 'g': gs[i], 's': CAST(list_sum(list_transform(gs[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: len(m))), 0) AS BIGINT)}})) AS x
+    _, _, plain, sure, context = KINDS[kind]
+    score = f"CASE WHEN regexp_matches(right(x.g, {NEAR}) || ' ' || left(x.h, {NEAR}), '(?i)(?:{context})') THEN {sure}::DOUBLE ELSE {plain}::DOUBLE END"
+    check += "" if kind in BASE else f" AND {score} >= {ACCEPT}"
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, x.s AS start, x.s + len(x.m) AS "end", {score} AS score FROM (SELECT doc_id, unnest(list_transform(range(1, len(ms) + 1),
+  lambda i: {{'m': ms[i], 'g': gs[i], 'h': gs[i+1], 's': CAST(list_sum(list_transform(gs[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: len(m))), 0) AS BIGINT)}})) AS x
   FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gs FROM documents WHERE text IS NOT NULL)) WHERE {check}"""
 
 
 OP4_SQL = f"""
 WITH found AS ({' UNION ALL '.join(_sql_kind(r, k) for r, k in enumerate(KINDS))}),
 lists AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
-  coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (rank < 4), '') AS base, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM found GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (rank < 4), '') AS base, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY start, rank) AS scores FROM found GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id
 """

@@ -277,9 +277,9 @@ def test_pii(spark, edge, edge_rows, empty):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     for r in pii.find(df).collect():
         assert [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["spans"] if s["rank"] < 4] == brute_spans(texts[r["doc_id"]]), texts[r["doc_id"]][:200]
-    found = {s["kind"]: r["text"][s["start"] : s["end"]] for r in pii.find(edge.drop("spans")).where("doc_id = 12").collect() for s in r["spans"]}
+    found = {s["kind"]: r["text"][s["start"] : s["end"]] for r in pii.find(edge).where("doc_id = 12").collect() for s in r["spans"]}
     assert found == {"email": "a.b@c.de", "phone": "+49 30 123456789", "card": "4539 1488 0343 6467", "ip": "10.0.0.255", "iban": "DE89 3704 0044 0532 0130 00"}
-    assert got(pii.find(empty.drop("spans"))) == []
+    assert got(pii.find(empty)) == []
 
 
 def test_redact(edge, edge_rows):
@@ -291,8 +291,16 @@ def test_redact(edge, edge_rows):
 
 
 def test_social_security_numbers_need_context(spark):
-    df = spark.createDataFrame([(1, "my SSN is 078-05-1120"), (2, "part 078-05-1120")], "doc_id long, text string")
-    assert {r["doc_id"]: len(r["spans"]) for r in pii.find(df).collect()} == {1: 1, 2: 0}
+    df = spark.createDataFrame([(1, "my SSN is 078-05-1120"), (2, "part 078-05-1120"), (3, "078-05-1120, social security"), (4, "ssn" + " " * 50 + "078-05-1120"), (5, "a@b.cd 1.2.3.4 x; host 1.2.3.5")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    assert {k: len(v) for k, v in rows.items()} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 3}
+    assert [s["score"] for s in rows[5]] == [0.9, 0.95, 0.95]  # host stands before the one and behind the other
+
+
+def test_names_of_other_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", 1, 2, 3)], "doc_id long, text string, _m_email int, _t int, __t_ip int")
+    r = pii.find(df).first()
+    assert (r["_m_email"], r["_t"], r["__t_ip"], len(r["spans"])) == (1, 2, 3, 1) and len(r) == 6
 
 
 # --- 5
