@@ -16,6 +16,9 @@ Each byte goes that lies in a 50-byte string which also starts in a document of
    window's own hash instead, so that no bucket gathers them.
 4. Each shard applies its marks.
 
+Shards and buckets exchange a row each way at most, and none for a bucket that a shard has no anchor or piece for, so
+that rows are never more than anchors: linear in the input, however many shards there are.
+
 Rows: null text is empty; texts of under 50 bytes lose nothing; documents of equal id don't count as
 smaller than each other, and each row gives a row; a null doc_id comes after all others and is null in
 the result; extra columns are ignored. A task holds a shard or a bucket, about SHARD_BYTES of text.
