@@ -45,11 +45,11 @@ def pdb_atoms(spark, d):
     return R.read_pdb(spark, rows.unionByName(other.withColumn("line_no", F.col("line_no") * 0 - 1))).select("struct_id", *ATOM.split(", "), "atom_idx")
 
 
-@query(f"SELECT file AS struct_id, serial, round(x / 100, 3) AS charge, ['CT','N','OS'][k % 3 + 1] AS atom_type FROM ({ATOMS})")
+@query(f"SELECT file AS struct_id, serial, (k % 9 - 4) / 8.0::DOUBLE AS charge, ['CT','N','OS'][k % 3 + 1] AS atom_type FROM ({ATOMS})")
 def pdbqt_atoms(spark, d):
     """The last two fields of a PDBQT line are charge and type."""
     kind = F.element_at(F.array(*map(F.lit, ("CT", "N", "OS"))), (F.col("k") % 3 + 1).cast("int"))
-    rows = K.pdb_lines(_atoms(spark, d)).select("file", F.col("k").alias("line_no"), F.concat(F.substring("text", 1, 66), F.lit("    "), F.round(F.col("x") / 100, 3).cast("string"), F.lit(" "), kind).alias("text"))
+    rows = K.pdb_lines(_atoms(spark, d)).select("file", F.col("k").alias("line_no"), F.concat(F.substring("text", 1, 66), F.lit("    "), ((F.col("k") % 9 - 4) / 8).cast("string"), F.lit(" "), kind).alias("text"))
     return R.read_pdb(spark, rows, charges=True).select("struct_id", "serial", "charge", "atom_type")
 
 
