@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .audit import OP11_SQL, op11_filter_audit
 from .decontaminate import op5_decontaminate
 from .lm import op8_lm
 from .mixing import OP7_SQL, op7_mix_sources
+from .periods import op12_periodic_runs
 from .pii import OP4_SQL, op4_pii
 from .quality import op2_quality
 from .rules import op9_rules
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_rules": op9_rules,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -33,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_pii": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
