@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .audit import OP11_SQL, op11_filter_audit
 from .decontaminate import op5_decontaminate
+from .extraction import op13_html_extraction
 from .lm import op8_lm
 from .mixing import OP7_SQL, op7_mix_sources
 from .periods import op12_periodic_runs
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_filter_audit": op11_filter_audit,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html_extraction": op13_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 
