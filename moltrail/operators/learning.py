@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import long_coordinates, wide_components
 from .ranges import dense_index, running_sums
-from .series import drop_zero_features, scaled, zero_columns
+from .series import scaled, zero_columns
 from .structure import superposed
 
 
@@ -122,31 +122,6 @@ def pca(df: DataFrame, columns: list[str], k: int, method: str = "mean") -> tupl
     return rows.drop("features"), parts, [float(v) for v in model.explainedVariance.toArray()]
 
 
-def frame_vectors(coords: DataFrame, frame: str, atom: str) -> DataFrame:
-    """Each frame's coordinates, in the order of atoms, as one vector."""
-    a = F.array_sort(F.collect_list(F.struct(atom, "x", "y", "z")))
-    rows = coords.groupBy(frame).agg(a.alias("a"))
-    return rows.select(frame, array_to_vector(F.flatten(F.transform("a", lambda p: F.array(p["x"], p["y"], p["z"])))).alias("features"))
-
-
-def contact_vectors(contacts: DataFrame, frames: DataFrame, frame: str, feature: str, value: str, size: int) -> DataFrame:
-    """P5: each frame's contacts as one vector, 0 where there is none; feature is a number below size."""
-    entries = F.collect_list(F.struct(F.col(feature).cast("int").alias("i"), F.col("v")))
-    rows = contacts.groupBy(frame, feature).agg(F.sum(F.col(value).cast("double")).alias("v")).groupBy(frame).agg(F.map_from_entries(entries).alias("m"))
-    rows = frames.select(frame).distinct().join(rows, frame, "left")
-    each = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return rows.select(frame, array_to_vector(each).alias("features"))
-
-
-def vector_pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
-    """Projections, less those of the mean, of a vector column."""
-    model = PCA(k=k, inputCol="features", outputCol="p").fit(rows)
-    out = model.transform(rows).withColumn("p", vector_to_array("p"))
-    mean = out.agg(*[F.avg(F.col("p")[i]).alias(f"m{i}") for i in range(k)])
-    out = out.crossJoin(F.broadcast(mean))
-    return out.select(*[c for c in rows.columns if c != "features"], *[(F.col("p")[i] - F.col(f"m{i}")).alias(f"PC_{i}") for i in range(k)]), [float(v) for v in model.explainedVariance.toArray()]
-
-
 def angle_features(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids: list) -> DataFrame:
     """Cos and sin of each angle, a column each."""
     rows = angles.groupBy(frame).pivot(tuple_id, ids).agg(F.first(F.cos(angle)).alias("cos"), F.first(F.sin(angle)).alias("sin"))
@@ -154,16 +129,17 @@ def angle_features(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids
 
 
 def xyz_pca(coords: DataFrame, reference: DataFrame, frame: str, atom: str, k: int) -> tuple[DataFrame, list[float]]:
-    """Frames moved onto the reference (the atoms to take), then components of their coordinates."""
+    """Frames moved onto the reference (the atoms to take, of which every frame has a place), then components of their coordinates."""
     chosen = coords.join(reference.select(atom), atom, "left_semi")
-    return vector_pca(frame_vectors(superposed(chosen, reference, [frame], atom), frame, atom), k)
+    rows = long_coordinates(superposed(chosen, reference, [frame], atom), frame, atom)
+    found = wide_components(rows, frame, "feature", "value", k)
+    return found.projections, found.shares
 
 
 def contact_pca(contacts: DataFrame, frames: DataFrame, frame: str, feature: str, value: str, k: int) -> tuple[DataFrame, list[float]]:
-    """P5: components of contact maps, without features that are 0 in every frame."""
-    rows = drop_zero_features(contacts, feature, value)
-    names = dense_index(rows.select(feature).distinct(), feature)
-    return vector_pca(contact_vectors(rows.join(names, feature), frames, frame, "_i", value, names.count()), k)
+    """P5: components of contact maps, however many contacts there are; a frame's contacts that aren't listed are 0."""
+    found = wide_components(contacts, frame, feature, value, k, all_rows=frames)
+    return found.projections, found.shares
 
 
 def dihedral_pca(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids: list, k: int) -> tuple[DataFrame, list[list[float]], list[float]]:

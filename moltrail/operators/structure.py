@@ -4,14 +4,14 @@ Atoms: struct_id, atom_idx, serial, record, atom_name, res_name, chain, res_seq,
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
+from ..functions import linear as L
 from ..functions.parameters import RESIDUES
 from .ranges import dense_index
 
@@ -143,7 +143,7 @@ def displaced(atoms: DataFrame, vectors: DataFrame, factors: DataFrame) -> DataF
 
 def ensemble_factors(spark, delta: float, n: int) -> DataFrame:
     """Delta * cos(2 pi i / n - pi) for i < n."""
-    return spark.range(n).select(F.col("id").alias("step"), (delta * F.cos(2 * np.pi * F.col("id") / n - np.pi)).alias("factor"))
+    return spark.range(n).select(F.col("id").alias("step"), (delta * F.cos(2 * math.pi * F.col("id") / n - math.pi)).alias("factor"))
 
 
 def residue_numbers(atoms: DataFrame, on: list[str]) -> DataFrame:
@@ -241,19 +241,11 @@ def covariance(points: DataFrame, on: list[str]) -> DataFrame:
     return points.groupBy(*on).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), *[F.covar_pop(p, q).alias(p + q) for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def leading_axis(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
-    """The leading eigenvector, its largest part positive, of a batch of covariances."""
-    m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
-    v = np.linalg.eigh(m)[1][:, :, -1]
-    v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
-    return pd.Series(list(v))
-
-
 def axis_fit(points: DataFrame, on: list[str]) -> DataFrame:
-    """Centre and direction of the line through each group."""
+    """Centre and direction of the line through each group, the direction's largest part positive."""
     rows = covariance(points, on)
-    return rows.select(*on, "mx", "my", "mz", leading_axis("xx", "xy", "xz", "yy", "yz", "zz").alias("axis"))
+    matrix = L.symmetric({c: F.col(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")}, "xyz")
+    return rows.select(*on, "mx", "my", "mz", L.leading_vector(matrix, 3).alias("axis"))
 
 
 def shifted_along_axis(atoms: DataFrame, chosen: DataFrame, on: list[str], length: float) -> DataFrame:
@@ -284,26 +276,17 @@ def wrapped(atoms: DataFrame, box: dict[str, tuple[float, float]]) -> DataFrame:
     return atoms.withColumns({c: G.wrap(F.col(c), *box[c]) for c in box})
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def rotation_from_covariance(h: pd.Series) -> pd.Series:
-    """The proper rotation, row by row, that fits best, from 9 cross-covariances each."""
-    m = np.stack(h.to_list()).reshape(-1, 3, 3)
-    u, _, vt = np.linalg.svd(m)
-    sign = np.sign(np.linalg.det(u) * np.linalg.det(vt))
-    u[:, :, 2] *= sign[:, None]
-    return pd.Series(list((np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)).reshape(-1, 9)))
-
-
 def superposed(coords: DataFrame, reference: DataFrame, on: list[str], atom: str) -> DataFrame:
-    """Each frame moved onto the reference (atom, x, y, z): sums give the centres and the cross-covariance, numpy
-    the 3 x 3 rotation, Columns apply it."""
+    """Each frame moved onto the reference (atom, x, y, z): sums give the centres and the cross-covariance, whose
+    quaternion is the proper rotation that fits best."""
     ref = reference.select(F.col(atom), *[F.col(c).alias(f"r{c}") for c in "xyz"])
     rows = coords.join(ref, atom)
-    fit = rows.groupBy(*on).agg(*[F.avg(c).alias(f"m_{c}") for c in ("x", "y", "z", "rx", "ry", "rz")], F.array(*[F.covar_pop(p, f"r{q}") for p in "xyz" for q in "xyz"]).alias("h"))
-    fit = fit.withColumn("R", rotation_from_covariance("h")).drop("h")
+    fit = rows.groupBy(*on).agg(*[F.avg(c).alias(f"m_{c}") for c in ("x", "y", "z", "rx", "ry", "rz")], *[F.covar_pop(p, f"r{q}").alias(f"h_{p}{q}") for p in "xyz" for q in "xyz"])
+    matrix = L.quaternion_matrix({p + q: F.col(f"h_{p}{q}") for p in "xyz" for q in "xyz"})
+    fit = fit.select(*on, *[f"m_{c}" for c in ("x", "y", "z", "rx", "ry", "rz")], L.leading_vector(matrix, 4).alias("q"))
     rows = coords.join(fit, on)
     p = [F.col(c) - F.col(f"m_{c}") for c in "xyz"]
-    new = [sum(F.col("R")[3 * i + j] * p[j] for j in range(3)) + F.col(f"m_r{c}") for i, c in enumerate("xyz")]
+    new = [sum((r[j] * p[j] for j in (1, 2)), r[0] * p[0]) + F.col(f"m_r{c}") for r, c in zip(L.quaternion_rotation(F.col("q")), "xyz")]
     return rows.select(*[c for c in coords.columns if c not in "xyz"], *[v.alias(c) for v, c in zip(new, "xyz")])
 
 

@@ -540,31 +540,95 @@ def wrap_box(spark, d):
     return rounded(A.wrapped(points(spark, d), {"x": (-0.1, 0.1)}).select("frame", "id", "x", "y", "z"), "x", "y", "z")
 
 
-@query()
+# --- eigenvectors: SQL squares a matrix over and over, which leaves the projection on its leading vector
+
+
+def leading_sql(name: str, source: str, n: int, key: str = "frame") -> str:
+    """Recursive CTEs: of source (key, m) the projection p on the leading eigenvector and that vector v, its largest part positive."""
+    square = f"[[list_dot_product(a, b) / t / t FOR b IN p] FOR a IN p]"
+    top = "list_max([abs(x) FOR x IN w])"
+    return f"""{name}_s AS (SELECT {key}, 0 AS k, m AS p FROM {source} UNION ALL SELECT {key}, k + 1, {square} FROM (SELECT *, list_sum([p[i][i] FOR i IN range(1, {n + 1})]) AS t FROM {name}_s WHERE k < 40)),
+ {name}_d AS (SELECT {key}, p, [p[i][i] FOR i IN range(1, {n + 1})] AS d FROM {name}_s WHERE k = 40), {name}_w AS (SELECT {key}, p, list_sum(d) AS t, p[list_position(d, list_max(d))] AS w FROM {name}_d),
+ {name} AS (SELECT {key}, [[x / t FOR x IN r] FOR r IN p] AS p, [x / sqrt(list_dot_product(w, w)) * sign(w[list_position([abs(x) FOR x IN w], {top})]) FOR x IN w] AS v FROM {name}_w)"""
+
+
+AXES = f"WITH RECURSIVE {POINTS}, {COV}, mat AS (SELECT frame, [[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]] AS m FROM cov), {leading_sql('ax', 'mat', 3)}"
+
+
+@query(f"{AXES} SELECT frame, round(mx, 6) + 0.0 AS mx, round(my, 6) + 0.0 AS my, round(mz, 6) + 0.0 AS mz, round(v[1], 6) + 0.0 AS ax, round(v[2], 6) + 0.0 AS ay, round(v[3], 6) + 0.0 AS az FROM cov JOIN ax USING (frame)")
 def axis_fit(spark, d):
-    return A.axis_fit(points(spark, d), ["frame"])
+    rows = A.axis_fit(points(spark, d), ["frame"])
+    return rounded(rows.select("frame", "mx", "my", "mz", *[F.col("axis")[k].alias(f"a{c}") for k, c in enumerate("xyz")]), "mx", "my", "mz", "ax", "ay", "az")
 
 
-@query()
+@query(f"{AXES} SELECT frame, id, " + ", ".join(f"round({c} + 2.5 * v[{k}], 6) + 0.0 AS {c}" for k, c in enumerate("xyz", 1)) + " FROM pts JOIN ax USING (frame)")
+def shift_along_axis(spark, d):
+    """M13."""
+    p = points(spark, d)
+    return rounded(A.shifted_along_axis(p, p, ["frame"], 2.5).select("frame", "id", "x", "y", "z"), "x", "y", "z")
+
+
+#: Rodrigues' formula about axis u, once the points' own and once one at right angles to it.
+_TURN = "SELECT frame, id, {across} AS across, " + ", ".join(f"round(p{c} * cos(0.7::DOUBLE) + (u{a} * p{b} - u{b} * p{a}) * sin(0.7::DOUBLE) + u{c} * (ux * px + uy * py + uz * pz) * (1 - cos(0.7::DOUBLE)), 6) + 0.0 AS {c}" for a, b, c in ("yzx", "zxy", "xyz")) + " FROM (SELECT pts.frame, id, x - mx AS px, y - my AS py, z - mz AS pz, {u} FROM pts JOIN cov USING (frame) JOIN ax USING (frame))"
+
+
+@query(f"{AXES} " + _TURN.format(across=0, u="v[1] AS ux, v[2] AS uy, v[3] AS uz") + " UNION ALL " + _TURN.format(across=1, u="-v[2] / sqrt(v[1] * v[1] + v[2] * v[2]) AS ux, v[1] / sqrt(v[1] * v[1] + v[2] * v[2]) AS uy, 0.0::DOUBLE AS uz"))
+def rotate_about_axis(spark, d):
+    """About the points' axis, and about one at right angles to it."""
+    p = points(spark, d)
+    both = [A.rotated_about_axis(p, p, ["frame"], 0.7, bool(k)).select("frame", "id", F.lit(k).alias("across"), "x", "y", "z") for k in (0, 1)]
+    return rounded(both[0].unionByName(both[1]), "x", "y", "z")
+
+
+_S = "sxx + syy + szz + u, syz - szy, szx - sxz, sxy - syx; syz - szy, sxx - syy - szz + u, sxy + syx, szx + sxz; szx - sxz, sxy + syx, syy - sxx - szz + u, syz + szy; sxy - syx, szx + sxz, syz + szy, szz - sxx - syy + u"
+_R = "v[1]*v[1]+v[2]*v[2]-v[3]*v[3]-v[4]*v[4], 2*(v[2]*v[3]-v[1]*v[4]), 2*(v[2]*v[4]+v[1]*v[3]); 2*(v[2]*v[3]+v[1]*v[4]), v[1]*v[1]-v[2]*v[2]+v[3]*v[3]-v[4]*v[4], 2*(v[3]*v[4]-v[1]*v[2]); 2*(v[2]*v[4]-v[1]*v[3]), 2*(v[3]*v[4]+v[1]*v[2]), v[1]*v[1]-v[2]*v[2]-v[3]*v[3]+v[4]*v[4]"
+
+
+@query(f"""WITH RECURSIVE {TRAJECTORY}, fit AS (SELECT t.frame, avg(t.x) AS mx, avg(t.y) AS my, avg(t.z) AS mz, avg(r.x) AS rx, avg(r.y) AS ry, avg(r.z) AS rz, {", ".join(f"covar_pop(t.{p}, r.{q}) AS s{p}{q}" for p in "xyz" for q in "xyz")} FROM trj t JOIN trj r ON r.frame = 0 AND r.atom = t.atom GROUP BY t.frame),
+ up AS (SELECT *, sqrt(3.0 * ({" + ".join(f"s{p}{q} * s{p}{q}" for p in "xyz" for q in "xyz")})) AS u FROM fit), mat AS (SELECT frame, [{", ".join(f"[{r}]" for r in _S.split("; "))}] AS m FROM up), {leading_sql("qt", "mat", 4)},
+ rot AS (SELECT frame, [{", ".join(f"[{r}]" for r in _R.split("; "))}] AS r FROM qt)
+ SELECT t.frame, atom, {", ".join(f"round(r[{k}][1] * (x - mx) + r[{k}][2] * (y - my) + r[{k}][3] * (z - mz) + r{c}, 6) + 0.0 AS {c}" for k, c in enumerate("xyz", 1))} FROM trj t JOIN fit USING (frame) JOIN rot USING (frame)""")
 def superpose(spark, d):
     t = trajectory(spark, d)
-    return A.superposed(t, t.where("frame = 0").select("atom", "x", "y", "z"), ["frame"], "atom")
+    moved = A.superposed(t, t.where("frame = 0").select("atom", "x", "y", "z"), ["frame"], "atom")
+    return rounded(moved.select("frame", "atom", "x", "y", "z"), "x", "y", "z")
 
 
-@query()
+#: A hull's edges are the pairs of points with no point on their right, and none beyond them on their line.
+@query(f"""WITH {POINTS}, p AS (SELECT DISTINCT frame, x, y FROM pts), e AS (SELECT a.frame, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.frame = b.frame AND (a.x <> b.x OR a.y <> b.y)),
+ c AS (SELECT e.*, (bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax) AS side, (bx - ax) * (p.x - ax) + (by_ - ay) * (p.y - ay) AS along, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS len FROM e JOIN p ON p.frame = e.frame),
+ h AS (SELECT frame, ax, ay, bx, by_ FROM c GROUP BY ALL HAVING min(side) >= 0 AND count(*) FILTER (side = 0 AND (along < 0 OR along > len)) = 0)
+ SELECT frame, round(sum(ax * by_ - bx * ay) / 2, 6) + 0.0 AS area FROM h GROUP BY frame""")
 def hull_area(spark, d):
-    return Z.cross_section(points(spark, d), "frame")
+    return rounded(Z.cross_section(points(spark, d), "frame"), "area")
 
 
-@query()
+#: The correlation matrix of the features, as scaled by z-scores.
+CORRELATED = "WITH RECURSIVE mat1 AS (SELECT 0 AS frame, [" + ", ".join("[" + ", ".join(f"corr({a}, {b})" for b in FEATURES) + "]" for a in FEATURES) + "] AS m FROM lineitem)"
+
+
+def deflated_sql(k: int, source: str = "mat", n: int = 4) -> str:
+    """Leading eigenvectors pc1, pc2, ... of mat1, and their eigenvalues ev1, ...: each is taken out of the matrix before the next."""
+    out = []
+    for i in range(1, k + 1):
+        out += [leading_sql(f"pc{i}", f"{source}{i}", n), f"ev{i} AS (SELECT frame, m, p, list_sum([list_dot_product(p[i], m[i]) FOR i IN range(1, {n + 1})]) AS ev FROM {source}{i} JOIN pc{i} USING (frame))"]
+        out.append(f"{source}{i + 1} AS (SELECT frame, [[m[i][j] - ev * p[i][j] FOR j IN range(1, {n + 1})] FOR i IN range(1, {n + 1})] AS m FROM ev{i})")
+    return ", ".join(out)
+
+
+@query(f"{CORRELATED}, {deflated_sql(3)} SELECT component, round(ev / 4, 6) + 0.0 AS share FROM (SELECT 0 AS component, ev FROM ev1 UNION ALL SELECT 1, ev FROM ev2 UNION ALL SELECT 2, ev FROM ev3)")
 def pca_explained(spark, d):
-    _, _, shares = L.pca(lineitem(spark, d), FEATURES, 4, "zscore")
-    return spark.createDataFrame(list(enumerate(shares)), "component int, share double")
+    _, _, shares = L.pca(lineitem(spark, d), FEATURES, 3, "zscore")
+    return rounded(spark.createDataFrame(list(enumerate(shares)), "component int, share double"), "share")
 
 
-@query()
+_Z = {c: f"(({c} - m_{c}) / s_{c})" for c in FEATURES}
+
+
+@query(f"{CORRELATED}, {deflated_sql(2)}, st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM lineitem) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({_Z[c]}, 6) + 0.0 AS {c}" for c in FEATURES) + ", " + ", ".join(f"round({' + '.join(f'{_Z[c]} * pc{i + 1}.v[{k}]' for k, c in enumerate(FEATURES, 1))}, 5) + 0.0 AS PC_{i}" for i in (0, 1)) + " FROM lineitem, st, pc1, pc2")
 def pca_project(spark, d):
-    return L.pca(lineitem(spark, d), FEATURES, 2, "zscore")[0]
+    out = rounded(L.pca(lineitem(spark, d), FEATURES, 2, "zscore")[0], *FEATURES)
+    return rounded(out, "PC_0", "PC_1", digits=5)
 
 
 @query()
