@@ -1,8 +1,9 @@
 """Pair and range joins of points, and what is counted over them.
 
 Points: struct_id (optional), frame, an id, x, y, z. Ranges are joined on a grid of cells as wide as
-the cutoff: one side stands in its own cell, the other in its 27 neighbours, so that the join is an
-equality join on (frame, cell) whose size follows the number of near pairs."""
+the cutoff: one side stands in its own cell, the other in its 27 neighbours (14 where both sides are one group), so that
+the join is an equality join on (frame, cell) whose size follows the number of near pairs. A frame, or a cell, that holds
+very many points of both sides is cut into tiles, so that its product spreads over tasks."""
 
 from __future__ import annotations
 
@@ -15,33 +16,89 @@ from pyspark.sql.window import Window as W
 from ..functions import geometry as G
 
 
+#: Rows of one side of a key that a task joins with as many of the other.
+TILE = 1024
+
+
 def _named(points: DataFrame, side: str, keep: list[str]) -> DataFrame:
     return points.select(*[F.col(c).alias(f"{c}_{side}") for c in dict.fromkeys([*keep, "x", "y", "z"])])
 
 
-def all_pairs(a: DataFrame, b: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
-    """The true product of two groups within each key, with the distance d. Columns of the sides end in _a and _b."""
+def _blocks(left: DataFrame, right: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """The keys, named as in keys, whose product is over tile x tile rows: how many blocks each side is cut into there (_n_a, _n_b)."""
+    size = lambda rows, side: rows.groupBy(*[F.col(f"{c}_{side}").alias(c) for c in keys]).agg(F.count("*").alias(f"_n_{side}"))
+    both = size(left, "a").join(size(right, "b"), keys).where(F.col("_n_a") * F.col("_n_b") > tile * tile)
+    return both.select(*keys, *[F.ceil(F.col(f"_n_{side}") / tile).cast("int").alias(f"_n_{side}") for side in "ab"])
+
+
+def _dealt(rows: DataFrame, side: str, keys: list[str], blocks: DataFrame) -> DataFrame:
+    """Rows with the tiles (_t_a, _t_b) that they stand in: one block of their own side, which their values choose, by every block of the
+    other. Keys that are not cut have the tile 0, 0."""
+    own, other = side, "ba"["ab".index(side)]
+    cut = blocks.withColumnsRenamed({c: f"{c}_{side}" for c in keys})
+    rows = rows.withColumn("_h", F.xxhash64(*rows.columns)).join(cut, [f"{c}_{side}" for c in keys], "left")
+    block = F.pmod("_h", F.coalesce(f"_n_{own}", F.lit(1))).cast("int").alias(f"_t_{own}_{side}")
+    rest = [c for c in rows.columns if c not in ("_h", "_n_a", "_n_b")]
+    return rows.select(*rest, block, F.explode(F.sequence(F.lit(0), F.coalesce(f"_n_{other}", F.lit(1)) - 1)).alias(f"_t_{other}_{side}"))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], tile: int | None) -> DataFrame:
+    """Rows of left and right, whose columns end in _a and _b, that agree in the keys. Where a key has many rows on both sides, its
+    product is cut into tiles, blocks of one side by blocks of the other, which spread over tasks as if they were keys."""
+    if tile:
+        blocks = _blocks(left, right, keys, tile)
+        left, right = _dealt(left, "a", keys, blocks), _dealt(right, "b", keys, blocks)
+        keys = [*keys, "_t_a", "_t_b"]
+    rows = left.join(right, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in keys])
+    return rows.drop(*[f"_t_{p}_{q}" for p in "ab" for q in "ab"]) if tile else rows
+
+
+def all_pairs(a: DataFrame, b: DataFrame, on: list[str], keep: list[str], tile: int | None = TILE) -> DataFrame:
+    """The true product of two groups within each key, with the distance d. Columns of the sides end in _a and _b. The product of one key
+    is cut into tiles of tile x tile rows; None joins by key alone."""
     left, right = _named(a, "a", [*on, *keep]), _named(b, "b", [*on, *keep])
-    rows = left.join(right, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in on])
+    rows = _joined(left, right, on, tile)
     return rows.withColumn("d", G.distance(G.vector("", "_a"), G.vector("", "_b"))).drop(*[f"{c}_b" for c in on]).withColumnsRenamed({f"{c}_a": c for c in on})
 
 
-def near_pairs(a: DataFrame, b: DataFrame, cutoff: float, on: list[str], keep: list[str]) -> DataFrame:
-    """Pairs within the cutoff, by cells; otherwise as all_pairs()."""
-    cell = lambda c, side: F.floor(F.col(f"{c}_{side}") / cutoff)
-    left, right = _named(a, "a", [*on, *keep]), _named(b, "b", [*on, *keep])
-    left = left.withColumns({f"c{c}_a": cell(c, "a") for c in "xyz"})
-    right = right.withColumns({f"c{c}_b": cell(c, "b") for c in "xyz"})
-    for c in "xyz":  # the 27 cells around
-        right = right.withColumn(f"c{c}_b", F.explode(F.sequence(F.col(f"c{c}_b") - 1, F.col(f"c{c}_b") + 1)))
-    rows = left.join(right, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in [*on, "cx", "cy", "cz"]])
+def _in_cells(points: DataFrame, side: str, cutoff: float, on: list[str], keep: list[str]) -> DataFrame:
+    return _named(points, side, [*on, *keep]).withColumns({f"c{c}_{side}": F.floor(F.col(f"{c}_{side}") / cutoff) for c in "xyz"})
+
+
+def _shifted(rows: DataFrame, side: str, shifts: list[tuple[int, int, int]], named: str | None = None) -> DataFrame:
+    """Rows once for each shift of their cell; named keeps the shift's number."""
+    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, "xyz")], F.lit(k).alias("k")) for k, s in enumerate(shifts)])
+    rows = rows.withColumn("_s", F.explode(steps)).withColumns({f"c{c}_{side}": F.col(f"c{c}_{side}") + F.col(f"_s.{c}") for c in "xyz"})
+    return (rows.withColumn(named, F.col("_s.k")) if named else rows).drop("_s")
+
+
+AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+#: The cell itself, then one of each two that lie opposite.
+HALF_AROUND = [(0, 0, 0), *[s for s in AROUND if s > (0, 0, 0)]]
+
+
+def near_pairs(a: DataFrame, b: DataFrame, cutoff: float, on: list[str], keep: list[str], tile: int | None = TILE) -> DataFrame:
+    """Pairs within the cutoff, by cells; otherwise as all_pairs(). A crowded cell's product is cut into tiles."""
+    left = _in_cells(a, "a", cutoff, on, keep)
+    right = _shifted(_in_cells(b, "b", cutoff, on, keep), "b", AROUND)
+    rows = _joined(left, right, [*on, "cx", "cy", "cz"], tile)
     rows = rows.withColumn("d", G.distance(G.vector("", "_a"), G.vector("", "_b"))).where(F.col("d") <= cutoff)
     return rows.drop(*[f"{c}_b" for c in on], *[f"c{c}_{s}" for c in "xyz" for s in "ab"]).withColumnsRenamed({f"{c}_a": c for c in on})
 
 
-def self_pairs(points: DataFrame, cutoff: float, on: list[str], id_: str, keep: list[str] = ()) -> DataFrame:
-    """Near pairs of one group, each once: id_a < id_b."""
-    return near_pairs(points, points, cutoff, on, [id_, *keep]).where(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
+def self_pairs(points: DataFrame, cutoff: float, on: list[str], id_: str, keep: list[str] = (), tile: int | None = TILE) -> DataFrame:
+    """Near pairs of one group, each once: id_a < id_b. Half of the cells around are enough: a pair of two cells meets in one of
+    them, and its sides are named by their ids afterwards."""
+    keep = [id_, *keep]
+    left = _in_cells(points, "a", cutoff, on, keep)
+    right = _shifted(_in_cells(points, "b", cutoff, on, keep), "b", HALF_AROUND, "_k_b")
+    rows = _joined(left, right, [*on, "cx", "cy", "cz"], tile)
+    rows = rows.withColumn("d", G.distance(G.vector("", "_a"), G.vector("", "_b"))).where(F.col("d") <= cutoff)
+    first = F.col(f"{id_}_a") < F.col(f"{id_}_b")
+    rows = rows.where(F.when(F.col("_k_b") == 0, first).otherwise(F.col(f"{id_}_a") != F.col(f"{id_}_b")))
+    sides = dict.fromkeys([*keep, "x", "y", "z"])
+    named = [F.when(first, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{t}")).alias(f"{c}_{s}") for s, t in ("ab", "ba") for c in sides if c not in on]
+    return rows.select(*[F.col(f"{c}_a").alias(c) for c in on], *named, "d")
 
 
 def soft_pairs(a: DataFrame, b: DataFrame, d0: float, least: float, on: list[str], keep: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from moltrail.plans import records, selections, structures  # noqa: F401
+from moltrail.plans import records, selections, structures, wide  # noqa: F401
 from moltrail.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

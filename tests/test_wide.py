@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from moltrail.operators import components as W
+from moltrail.operators import contacts as C
 
 
 def exact(x, k):
@@ -54,3 +57,44 @@ def test_components_of_little(spark):
     got = W.wide_components(two, "frame", "contact", "w", 2)
     assert np.allclose(got.shares, 1) and np.allclose(sorted(r["PC_0"] for r in got.projections.collect()), [-1.5, 1.5])
     assert W.wide_components(one.where("w < 0"), "frame", "contact", "w", 2).shares == []
+
+
+# --- pairs
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    """Points of two frames, of which the first crowds one cell and has repeated points."""
+    rng = np.random.default_rng(9)
+    rows = [(0, k, *map(float, p)) for k, p in enumerate(rng.random((90, 3)) * 0.9)] + [(0, 90 + k, 0.5, 0.5, 0.5) for k in range(9)]
+    rows += [(1, 200 + k, *map(float, p)) for k, p in enumerate(rng.random((60, 3)) * 6 - 3)]
+    return rows, spark.createDataFrame(rows, "frame int, id int, x double, y double, z double")
+
+
+def near(rows, cutoff, own=lambda a, b: True):
+    d = lambda a, b: sum((p - q) ** 2 for p, q in zip(a[2:], b[2:])) ** 0.5
+    return sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and d(a, b) <= cutoff and own(a[1], b[1]))
+
+
+@pytest.mark.parametrize("tile", [None, 1024, 16])
+def test_pairs_in_crowded_cells(cloud, tile):
+    rows, df = cloud
+    got = C.self_pairs(df, 1.0, ["frame"], "id", tile=tile).select("frame", "id_a", "id_b").collect()
+    assert sorted(map(tuple, got)) == near(rows, 1.0, lambda a, b: a < b)
+    even, odd = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    got = C.near_pairs(even, odd, 1.0, ["frame"], ["id"], tile=tile).select("frame", "id_a", "id_b").collect()
+    assert sorted(map(tuple, got)) == near(rows, 1.0, lambda a, b: a % 2 == 0 and b % 2 == 1)
+    got = C.all_pairs(even, odd, ["frame"], ["id"], tile=tile).select("frame", "id_a", "id_b").collect()
+    assert sorted(map(tuple, got)) == near(rows, 1e9, lambda a, b: a % 2 == 0 and b % 2 == 1)
+    assert C.all_pairs(even.where("id < 0"), odd, ["frame"], ["id"], tile=tile).count() == 0
+
+
+def test_tiles_spread_a_product(cloud):
+    """No tile of the joined rows is much over its size, however large the group; repeated rows of one side share a block."""
+    _, df = cloud
+    one = df.where("frame = 0 AND id < 90").withColumn("one", F.lit(1))
+    left, right = C._named(one, "a", ["one", "id"]), C._named(one, "b", ["one", "id"])
+    blocks = C._blocks(left, right, ["one"], 8)
+    assert blocks.first()[1:] == (12, 12)
+    tiles = C._dealt(left, "a", ["one"], blocks).groupBy("_t_a_a", "_t_b_a").count().collect()
+    assert len(tiles) > 130 and max(r["count"] for r in tiles) < 24
