@@ -56,8 +56,8 @@ def pdbqt_atoms(spark, d):
 @query(f"SELECT 'all' AS struct_id, res_seq AS frame, {ATOM} FROM ({ATOMS})")
 def model_frames(spark, d):
     """A frame for each residue number, written as MODEL records and read."""
-    texts = K.model_texts(_atoms(spark, d).withColumn("frame", F.col("res_seq")), "frame", "k")
-    rows = texts.select(F.lit("all").alias("file"), F.col("frame").cast("long").alias("place"), F.substring_index("value", "ENDMDL", 1).alias("value"))
+    texts = K.model_lines(_atoms(spark, d).withColumn("frame", F.col("res_seq")), "frame", "k")
+    rows = texts.select(F.lit("all").alias("file"), ((F.col("frame") * 4 + F.col("part")) * (1 << 40) + F.coalesce("order", F.lit(0))).alias("line_no"), "text")
     return R.read_models(spark, rows).select("struct_id", "frame", *ATOM.split(", "))
 
 

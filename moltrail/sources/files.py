@@ -1,9 +1,10 @@
 """Readers of the text formats of simulation and docking, many files to one table.
 
-Every reader takes a path, or a table of lines (file, line_no, text) from elsewhere. Formats whose lines mean
-something by themselves are read line by line, whatever the size of the file; line_no only orders them then.
-Where a line's meaning hangs on those before it, a file, or a record of it, is one value of Spark's text
-source, and lines are numbered from 1 in it. Fields are cut by column functions."""
+Every reader takes a path, or a table of lines (file, line_no, text) from elsewhere. Files are read in splits, line by
+line, whatever their size. Where lines stand for themselves, line_no only orders them. Where a line's meaning hangs on
+those before it (the section it stands in, the number of atoms before), a split's lines are gone through in order, and what one split
+hands on to the next, a row each, is summed up over the file: carried() and counted(). Only a record of MOL2 molecules is one value
+of Spark's text source. Fields are cut by column functions."""
 
 from __future__ import annotations
 
@@ -18,11 +19,44 @@ def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
+#: Lines of a table of lines that count as one split.
+TABLE_SPLIT = 1 << 20
+
+
 def lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """file, line_no, text of whole files; carriage returns go."""
+    """file, split, line_no, text: lines that hang on each other; split orders the splits of a file, and line_no, from 1, its lines. Carriage
+    returns go. Of a table its line_no are taken, and ranges of them are its splits."""
     if isinstance(path, DataFrame):
-        return path
-    return _split(spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), "value"), ["file"])
+        return path.select("file", F.floor(F.col("line_no") / TABLE_SPLIT).alias("split"), "line_no", "text")
+    rows = spark.read.text(path).select(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("file", "split").orderBy("at"))).drop("at")
+    sizes = spark.read.text(path).groupBy(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("split")).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("file", "split", before.alias("before")), ["file", "split"]).select("file", "split", (F.col("before") + F.col("n")).alias("line_no"), "text")
+
+
+def carried(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """For each name the last value that isn't null among a line and those before it in its file. The last of each split go, a row for
+    each split, to the splits behind."""
+    own = W.partitionBy("file", "split").orderBy("line_no")
+    ends = rows.groupBy("file", "split").agg(*[F.max_by(c, F.when(c.isNotNull(), F.col("line_no"))).alias(f"_e_{n}") for n, c in values.items()])
+    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("file", "split", *[F.last(f"_e_{n}", True).over(earlier).alias(f"_e_{n}") for n in values])
+    here = rows.withColumns({n: F.last(c, True).over(own) for n, c in values.items()})
+    return here.join(ends, ["file", "split"], "left").withColumns({n: F.coalesce(n, f"_e_{n}") for n in values}).drop(*[f"_e_{n}" for n in values])
+
+
+def counted(rows: DataFrame, name: str, amount: Column, keys: list[str] = ()) -> DataFrame:
+    """A column: the sum of amount over the lines before this one, of its file and keys. Splits' sums go, a row for each split and
+    key, to the splits behind."""
+    rows = rows.withColumn("_a", amount.cast("long"))
+    keys = ["file", *keys]
+    own = W.partitionBy(*keys, "split").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "split").agg(F.sum("_a").alias("_t"))
+    sums = sums.select(*keys, "split", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_b"))
+    here = rows.withColumn(name, F.coalesce(F.sum("_a").over(own), F.lit(0)))
+    return here.join(sums, [*keys, "split"]).withColumn(name, F.col(name) + F.col("_b")).drop("_a", "_b")
 
 
 def loose_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
@@ -63,31 +97,33 @@ ATOM_FIELDS = {"record": (1, 6), "serial": (7, 11), "atom_name": (13, 16), "res_
 
 def _atoms(rows: DataFrame, keys: list[str], charges: bool) -> DataFrame:
     """Fixed columns, as fields may be fused. PDBQT files have charge and type as their last two fields."""
-    rows = rows.where(F.col("text").rlike("^(ATOM|HETATM)"))
+    rows = counted(rows.where(F.col("text").rlike("^(ATOM|HETATM)")), "atom_idx", F.lit(1), keys)
     got = [_cut(*at).alias(name) for name, at in ATOM_FIELDS.items()]
     if charges:
         f = fields("text")
         got += [F.element_at(f, -2).try_cast("double").alias("charge"), F.element_at(f, -1).alias("atom_type")]
-    rows = rows.select(*keys, "line_no", *got)
+    rows = rows.select("file", *keys, "line_no", *got, "atom_idx")
     casts = {"serial": "int", "res_seq": "int", "x": "double", "y": "double", "z": "double"}
     rows = rows.withColumns({k: F.col(k).try_cast(t) for k, t in casts.items()})
     guess = F.regexp_extract("atom_name", "[A-Za-z]", 0)
     rows = rows.withColumn("element", F.when(F.col("element") == "", guess).otherwise(F.col("element")))
-    return rows.withColumn("atom_idx", F.row_number().over(W.partitionBy(*keys).orderBy("line_no")) - 1)
+    return rows.select(F.col("file").alias("struct_id"), *keys, "line_no", *[c for c in rows.columns if c not in ("file", *keys, "line_no")])
 
 
 def read_pdb(spark: SparkSession, path: str | DataFrame, charges: bool = False) -> DataFrame:
     """Atoms of PDB or PDBQT files; struct_id is the file."""
-    rows = lines(spark, path).withColumnRenamed("file", "struct_id")
-    return _atoms(rows, ["struct_id"], charges)
+    return _atoms(lines(spark, path), [], charges)
 
 
 def read_models(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """Frames of multi-model PDB files: the number on the MODEL line, else the model's place."""
-    rows = records(spark, path, "ENDMDL", F.col("value").rlike("(?m)^(ATOM|HETATM)"))
-    model = F.regexp_extract("value", r"MODEL\s+(\d+)", 1).try_cast("int")
-    rows = rows.withColumnRenamed("file", "struct_id").withColumn("frame", F.coalesce(model, F.col("rec_no") + 1))
-    return _atoms(_split(rows, ["struct_id", "frame"]), ["struct_id", "frame"], False)
+    """Frames of multi-model PDB files: the number on the MODEL line, else the place among the file's models that have atoms."""
+    rows = counted(lines(spark, path), "_model", F.col("text").startswith("ENDMDL"))
+    number = F.regexp_extract("text", r"^MODEL\s+(\d+)", 1).try_cast("int")
+    rows = carried(rows, {"_named": F.when(number.isNotNull(), F.struct("_model", number.alias("frame")))}).where(F.col("text").rlike("^(ATOM|HETATM)"))
+    own = F.when(F.col("_named._model") == F.col("_model"), F.col("_named.frame"))
+    places = rows.select("file", "_model").distinct().withColumn("_place", F.row_number().over(W.partitionBy("file").orderBy("_model")))
+    rows = rows.withColumn("frame", own).join(places, ["file", "_model"]).withColumn("frame", F.coalesce("frame", "_place"))
+    return _atoms(rows, ["frame"], False)
 
 
 def read_trajectory(spark: SparkSession, path: str, step: int = 1, begin: int | None = None, end: int | None = None, frame: str = "frame") -> DataFrame:
@@ -122,19 +158,23 @@ def mol2_atoms(mol2: DataFrame) -> DataFrame:
     return rows.withColumn("element", F.substring_index("atom_type", ".", 1))
 
 
+def _sections(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    name = F.nullif(F.regexp_extract("text", r"^\s*\[\s*(.*?)\s*\]", 1), F.lit(""))
+    rows = carried(lines(spark, path), {"section": name}).where(name.isNull() & F.col("section").isNotNull())
+    return rows.where(F.col("text").rlike(r"^\s*[^\s;]")).withColumn("text", F.trim(F.substring_index("text", ";", 1)))
+
+
 def read_sections(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, section, line_no, text of files with [ section ] headers; comments and empty lines go."""
-    rows = lines(spark, path)
-    w = W.partitionBy("file").orderBy("line_no")
-    name = F.nullif(F.regexp_extract("text", r"^\s*\[\s*(.*?)\s*\]", 1), F.lit(""))
-    rows = rows.withColumn("section", F.last(name, True).over(w)).where(name.isNull() & F.col("section").isNotNull())
-    return rows.where(F.col("text").rlike(r"^\s*[^\s;]")).select("file", "section", "line_no", F.trim(F.substring_index("text", ";", 1)).alias("text"))
+    return _sections(spark, path).select("file", "section", "line_no", "text")
 
 
 def read_groups(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """File, group, pos, atom_no of index files."""
-    rows = read_sections(spark, path).select("file", F.col("section").alias("group"), "line_no", F.posexplode(fields("text")).alias("k", "v"))
-    return rows.select("file", "group", (F.row_number().over(W.partitionBy("file", "group").orderBy("line_no", "k")) - 1).alias("pos"), F.col("v").try_cast("int").alias("atom_no"))
+    """File, group, pos, atom_no of index files; groups of one name are one group."""
+    rows = _sections(spark, path).withColumn("f", fields("text"))
+    rows = counted(rows, "before", F.size("f"), ["section"])
+    rows = rows.select("file", F.col("section").alias("group"), "before", F.posexplode("f").alias("k", "v"))
+    return rows.select("file", "group", (F.col("before") + F.col("k")).cast("int").alias("pos"), F.col("v").try_cast("int").alias("atom_no"))
 
 
 def read_charges(spark: SparkSession, path: str | DataFrame) -> DataFrame:
@@ -175,7 +215,7 @@ def read_domains(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 def read_communities(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (file, comm_id, residue) and files (file, communities, modularity)."""
-    rows = lines(spark, path)
+    rows = loose_lines(spark, path)
     said = rows.where(F.col("text").rlike("residues in community"))
     members = said.select("file", F.regexp_extract("text", r"community\s+(\d+)", 1).cast("int").alias("comm_id"), F.explode(fields(F.substring_index("text", ":", -1))).alias("r")).select("file", "comm_id", F.col("r").try_cast("int").alias("residue"))
     best = rows.where(F.col("text").rlike("optimum number of communities"))
@@ -191,9 +231,8 @@ def read_rankings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 def read_docking_logs(spark: SparkSession, path: str | DataFrame, modes: int = 3) -> DataFrame:
     """File and the scores of its first modes, in order; only rows after the affinity header count."""
-    rows = lines(spark, path)
-    w = W.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("after", F.max(F.col("text").contains("affinity").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    heads = F.col("text").contains("affinity")
+    rows = counted(lines(spark, path), "after", heads).withColumn("after", (F.col("after") > 0).cast("int"))
     f = fields("text")
     rows = rows.where("after = 1").select("file", F.get(f, F.lit(0)).try_cast("int").alias("mode"), F.get(f, F.lit(1)).try_cast("double").alias("score")).where(F.col("mode").between(1, modes) & F.col("score").isNotNull())
     return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("mode", "score"))), lambda s: s["score"]).alias("scores"))
@@ -215,7 +254,7 @@ def read_energy_summary(spark: SparkSession, path: str | DataFrame) -> DataFrame
 def read_secondary_structure(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, res_idx, frame, code of .xpm grids: quoted lines of at most two fields without comments."""
     rows = lines(spark, path).where(~F.col("text").contains("/*") & F.col("text").startswith('"') & (F.size(fields("text")) <= 2))
-    rows = rows.withColumn("res_idx", F.row_number().over(W.partitionBy("file").orderBy("line_no")) - 1)
+    rows = counted(rows, "res_idx", F.lit(1)).withColumn("res_idx", F.col("res_idx").cast("int"))
     codes = F.regexp_extract("text", '"([^"]*)"', 1)
     return rows.select("file", "res_idx", F.posexplode(F.split(codes, "")).alias("frame", "code")).where("code <> ''")
 
@@ -236,11 +275,9 @@ def read_structure_list(spark: SparkSession, path: str | DataFrame) -> DataFrame
 
 def read_fasta(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """File, record, name, sequence."""
-    rows = lines(spark, path)
-    w = W.partitionBy("file").orderBy("line_no")
     head = F.col("text").startswith(">")
-    rows = rows.withColumn("record", F.sum(head.cast("int")).over(w))
-    name = F.max(F.when(head, F.substring("text", 2, 1000)))
+    rows = counted(lines(spark, path), "record", head).withColumn("record", F.col("record") + head.cast("int"))
+    name = F.max(F.when(head, F.expr("substr(text, 2)")))
     parts = F.collect_list(F.when(~head, F.struct("line_no", F.regexp_replace("text", r"\s", "").alias("s"))))
     return rows.groupBy("file", "record").agg(name.alias("name"), F.array_join(F.transform(F.array_sort(parts), lambda p: p["s"]), "").alias("sequence"))
 
@@ -281,15 +318,15 @@ def read_frame_matrices(spark: SparkSession, path: str | DataFrame) -> DataFrame
     """Frame (the last number of the file's name), row, col, value of dense matrix files, in long form."""
     rows = lines(spark, path).where(F.col("text").rlike(r"^\s*[^#\s]"))
     frame = F.regexp_extract(F.substring_index("file", "/", -1), r"(\d+)(?!.*\d)", 1).try_cast("int")
-    rows = rows.withColumn("row", F.row_number().over(W.partitionBy("file").orderBy("line_no")) - 1)
+    rows = counted(rows, "row", F.lit(1)).withColumn("row", F.col("row").cast("int"))
     return rows.select(frame.alias("frame"), "row", F.posexplode(fields("text")).alias("col", "v")).select("frame", "row", "col", F.col("v").try_cast("double").alias("value"))
 
 
 def read_properties(spark: SparkSession, path: str | DataFrame, ids: DataFrame, key: str, column: str | int) -> DataFrame:
     """A column of a CSV, by name or place, for each id; the last match counts."""
     rows = lines(spark, path)
-    head = F.split(F.first("text").over(W.partitionBy("file").orderBy("line_no")), ",")
+    heads = rows.groupBy("file").agg(F.split(F.min_by("text", "line_no"), ",").alias("head"), F.min("line_no").alias("first"))
     cells = F.split("text", ",")
     at = F.lit(column) if isinstance(column, int) else F.array_position(F.transform("head", lambda x: F.trim(x)), column).cast("int") - 1
-    rows = rows.withColumn("head", head).where("line_no > 1 AND text <> ''").select("line_no", F.trim(cells[0]).alias(key), F.trim(F.get(cells, at)).alias("value"))
+    rows = rows.join(heads, "file").where("line_no > first AND text <> ''").select("line_no", F.trim(cells[0]).alias(key), F.trim(F.get(cells, at)).alias("value"))
     return ids.select(key).join(rows.groupBy(key).agg(F.max_by("value", "line_no").alias("value")), key)

@@ -43,19 +43,21 @@ def pdb_lines(atoms: DataFrame) -> DataFrame:
     return atoms.withColumn("text", text)
 
 
-def model_texts(atoms: DataFrame, frame: str, order: str) -> DataFrame:
-    """K5: one text for each frame: MODEL, its atoms in order, ENDMDL."""
-    rows = pdb_lines(atoms).groupBy(frame).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "\n").alias("t"))
-    return rows.select(frame, F.concat(F.format_string("MODEL     %4d\n", F.col(frame).cast("int")), "t", F.lit("\nENDMDL")).alias("value"))
+def model_lines(atoms: DataFrame, frame: str, order: str) -> DataFrame:
+    """K5: frame, part, order, text: for each frame a MODEL line (part 0), its atoms (1) and ENDMDL (2); sorted by these they are a file."""
+    body = pdb_lines(atoms).select(frame, F.lit(1).alias("part"), F.col(order).alias("order"), "text")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.format_string("MODEL     %4d", F.col(frame).cast("int")).alias("text")), F.struct(F.lit(2).alias("part"), F.lit("ENDMDL").alias("text")))).alias("e")
+    heads = atoms.select(frame).distinct().select(frame, ends).select(frame, "e.part", F.lit(None).cast(body.schema["order"].dataType).alias("order"), "e.text")
+    return heads.unionByName(body)
 
 
 def write_models(atoms: DataFrame, path: str, frame: str, order: str, split: bool = False) -> None:
-    """K5: with split a folder for each frame."""
-    rows = model_texts(atoms, frame, order)
+    """K5: frames in order, each whole in one file; with split a folder for each frame. A frame's lines are sorted, and spill, as rows."""
+    rows = model_lines(atoms, frame, order).repartitionByRange(frame).sortWithinPartitions(frame, "part", "order")
     if split:
-        rows.write.partitionBy(frame).text(path)
+        rows.select(frame, "text").write.partitionBy(frame).text(path)
     else:
-        rows.orderBy(frame).select("value").write.text(path)
+        rows.select("text").write.text(path)
 
 
 def write_edges(edges: DataFrame, path: str) -> None:

@@ -1,5 +1,8 @@
 """Readers and writers on small files of each format."""
 
+import random
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -126,3 +129,59 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("frame", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, count(df).collect()))
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of 300 bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "300")
+    spark.conf.set(keys[1], "1")
+    yield
+    for k, v in zip(keys, before):
+        spark.conf.set(k, v)
+
+
+def test_lines_of_split_files(spark, tmp_path, small_splits):
+    rng = random.Random(2)
+    for f in "ab":
+        (tmp_path / f).write_text("".join(f"{f}{k} " + "x" * rng.randint(0, 60) + rng.choice(["\n", "\r\n"]) for k in range(200)))
+    rows = S.lines(spark, str(tmp_path)).collect()
+    assert len({(r["file"], r["split"]) for r in rows}) > 30
+    assert sorted((r["file"][-1], r["line_no"], r["text"].split(" ")[0]) for r in rows) == sorted((f, k + 1, f"{f}{k}") for f in "ab" for k in range(200))
+
+
+def test_state_goes_over_splits(spark, tmp_path, small_splits):
+    """Sections, groups, models, sequences, logs and grids longer than a split, against plain Python."""
+    rng = random.Random(3)
+    text, want, group, at = "7 8\n", [], None, {}
+    for k in range(400):
+        if k % 97 == 5:
+            group = f"g{k // 97 % 3}"
+            text += f"[ {group} ]\n"
+        numbers = [rng.randrange(1000) for _ in range(rng.randint(0, 15))]
+        text += " ".join(map(str, numbers)) + (" ; note\n" if k % 7 == 0 else "\n")
+        for n in numbers if group else []:
+            want.append((group, at.get(group, 0), n))
+            at[group] = at.get(group, 0) + 1
+    got = S.read_groups(spark, write(tmp_path / "g.ndx", text))
+    assert sorted((r["group"], r["pos"], r["atom_no"]) for r in got.collect()) == sorted(want)
+
+    models = "".join((f"MODEL {100 + m}\n" if m % 3 else "") + "".join(ATOM.format(k + 1, "CA", "A", k, m, k, 0.5, "C") + "\n" for k in range(9)) + "ENDMDL\n" for m in range(5, 17))
+    got = S.read_models(spark, write(tmp_path / "m.pdb", "REMARK\nENDMDL\n" + models))
+    assert sorted((r["frame"], r["atom_idx"], r["x"]) for r in got.collect()) == sorted((100 + m if m % 3 else m - 4, k, float(m)) for m in range(5, 17) for k in range(9))
+    K.write_models(got.where("frame < 112"), str(tmp_path / "again"), "frame", "atom_idx")
+    back = S.read_models(spark, str(tmp_path / "again"))
+    assert sorted((r["frame"], r["serial"], r["x"]) for r in back.collect()) == sorted((r["frame"], r["serial"], r["x"]) for r in got.collect() if r["frame"] < 112)
+    atoms = S.read_pdb(spark, write(tmp_path / "s.pdb", models)).collect()
+    assert sorted((r["atom_idx"], r["x"]) for r in atoms) == [(k, float(5 + k // 9)) for k in range(108)]
+
+    sequence = "".join(rng.choice("ACGT") for _ in range(2000))
+    fasta = ">one  of them\n" + "\n".join(sequence[k : k + 60] for k in range(0, 2000, 60)) + "\n>two\nAC\n"
+    assert sorted((r["record"], r["name"], r["sequence"]) for r in S.read_fasta(spark, write(tmp_path / "f.fa", fasta)).collect()) == [(1, "one  of them", sequence), (2, "two", "AC")]
+    log = " 1 9.9\n" * 80 + "mode | affinity\n" + "note\n" * 80 + " 1 -7.5\n 2 -7.0\n"
+    assert S.read_docking_logs(spark, write(tmp_path / "v.log", log)).first()["scores"] == [-7.5, -7.0]
+    grid = ["".join(rng.choice("HEC") for _ in range(30)) for _ in range(40)]
+    got = S.read_secondary_structure(spark, write(tmp_path / "x.xpm", "/* c */\n" + "".join(f'"{g}",\n' for g in grid))).collect()
+    assert {(r["res_idx"], r["frame"]): r["code"] for r in got} == {(i, j): c for i, g in enumerate(grid) for j, c in enumerate(g)}
