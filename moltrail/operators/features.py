@@ -60,12 +60,17 @@ def type_contacts(atoms: DataFrame, types: list[str], cutoff: float = TYPE_CUTOF
     return atoms.select("complex_id").distinct().join(rows, "complex_id", "left").na.fill(0, names)
 
 
-def feature_table(residues: DataFrame, residue: list[str]) -> DataFrame:
-    """A9 in long form: complex_id, feature, value, with the names countback_..., countside_..., vdwback_..., and so on."""
+def feature_table(residues: DataFrame, residue: list[str], contacts: DataFrame | None = None) -> DataFrame:
+    """A9 in long form: complex_id, feature, value, with the names countback_..., countside_..., vdwback_..., and so on, and, from
+    the contacts of type_contacts(), atomTCount_..._..."""
     key = F.concat_ws("_", *residue)
     names = {"count": "count", "vdw": "vdw", "coulomb": "columb"}
     entries = [F.struct(F.concat(F.lit(f"{short}{part}_"), key).alias("feature"), F.col(f"{name}_{side}").alias("value")) for name, short in names.items() for side, part in (("bb", "back"), ("sc", "side"))]
-    return residues.select("complex_id", F.explode(F.array(*entries)).alias("e")).select("complex_id", "e.*")
+    rows = residues.select("complex_id", F.explode(F.array(*entries)).alias("e")).select("complex_id", "e.*")
+    if contacts is None:
+        return rows
+    counts = [F.struct(F.lit(f"atomTCount_{c}").alias("feature"), F.col(c).cast("double").alias("value")) for c in contacts.columns if c != "complex_id"]
+    return rows.unionByName(contacts.select("complex_id", F.explode(F.array(*counts)).alias("e")).select("complex_id", "e.*"))
 
 
 def wide(features: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import long_coordinates, wide_components
+from .correlations import uncorrelated
 from .ranges import dense_index, running_sums
 from .series import scaled, zero_columns
 from .structure import superposed
+from .trees import importances
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,12 +20,6 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]):
-    """A36 for many columns: the dense matrix on the driver, columns x columns."""
-    rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(df)
-    return Correlation.corr(rows, "_v").first()[0].toArray()
-
-
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
     """Tp, fp, tn, fn; a score over the threshold is positive."""
     yes, true = F.col(score) > threshold, F.col(label) == 1
@@ -85,9 +79,27 @@ def random_groups(df: DataFrame, order: str, n: int, seed: int = 0) -> DataFrame
     return rows.withColumn("part", F.least(F.floor(F.col("_i") / F.col("_c")), F.lit(n - 1)).cast("int")).drop("_r", "_i", "_c")
 
 
-def split(df: DataFrame, ratio: float = 0.8, seed: int = 0) -> list[DataFrame]:
-    """O9."""
-    return df.randomSplit([ratio, 1 - ratio], seed)
+def split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 0) -> DataFrame:
+    """A column first, true for floor(n * ratio) rows that a digest of the key and the seed chooses, whatever the partitions. The digest
+    of the last row taken is found by counting prefixes, four digits more a round, until few rows share one. Rows of one key
+    stay together: where the cut would part them, they are all left out."""
+    rows = df.withColumn("_d", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    digests = rows.select("_d")
+    take = int(digests.count() * ratio)
+    prefix, limit = "", None
+    while limit is None:
+        own = digests.where(F.col("_d").startswith(prefix)) if prefix else digests
+        counts = own.groupBy(F.substring("_d", 1, len(prefix) + 4).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # 65,536 at most
+        for r in counts:
+            if r["n"] > take:
+                prefix = r["p"]
+                break
+            take -= r["n"]
+        else:
+            limit = "g"  # all digests are below
+        if limit is None and len(prefix) == 32:
+            limit = prefix
+    return rows.withColumn("first", F.col("_d") < limit).drop("_d")
 
 
 def bootstrap(df: DataFrame, order: str, n: int, seed: int = 0) -> DataFrame:
@@ -148,11 +160,6 @@ def dihedral_pca(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids:
     return pca(rows, [c for c in rows.columns if c != frame], k)
 
 
-def importances(df: DataFrame, columns: list[str], label: str, trees: int = 50, seed: int = 0) -> dict[str, float]:
-    model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed).fit(assembled(df, columns))
-    return dict(zip(columns, map(float, model.featureImportances.toArray())))
-
-
 def most_important(df: DataFrame, columns: list[str], label: str, k: int, **parameters) -> list[str]:
     """Columns whose importance is over the (k + 1)-th; all if there are no more than k."""
     v = importances(df, columns, label, **parameters)
@@ -162,20 +169,9 @@ def most_important(df: DataFrame, columns: list[str], label: str, k: int, **para
     return [c for c in columns if v[c] > limit]
 
 
-def uncorrelated(df: DataFrame, columns: list[str], limit: float = 0.85) -> list[str]:
-    """Going through pairs i < j in order, i goes if both are left and |r| is over the limit."""
-    r = correlation_matrix(df, columns)
-    left = dict.fromkeys(columns, True)
-    for i, a in enumerate(columns):
-        for j in range(i + 1, len(columns)):
-            if left[a] and left[columns[j]] and abs(r[i, j]) > limit:
-                left[a] = False
-    return [c for c in columns if left[c]]
-
-
-def clean(df: DataFrame, columns: list[str], label: str, keep: int = 800, limit: float = 0.85, k: int = 20):
-    """P10: zero columns out, range scaling, importance, decorrelation, components."""
+def clean(df: DataFrame, columns: list[str], label: str, keep: int = 800, limit: float = 0.85, k: int = 20, **parameters):
+    """P10: zero columns out, range scaling, importance (with parameters of the trees), decorrelation, components."""
     columns = [c for c in columns if c not in set(zero_columns(df, columns))]
     rows = scaled(df, columns, "range")
-    columns = uncorrelated(rows, most_important(rows, columns, label, keep), limit)
+    columns = uncorrelated(rows, most_important(rows, columns, label, keep, **parameters), limit)
     return pca(rows, columns, k)

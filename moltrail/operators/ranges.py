@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; where it is unset, a local one in local mode only."""
-    context = df.sparkSession.sparkContext
+def _checkpoint_folder(context) -> None:
+    """Sets the folder that spark.checkpoint.dir names; where it is unset, a local one in local mode only."""
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or "/tmp/moltrail-checkpoints")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() in the folder that all executors share."""
+    _checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, for tables that are written and read again."""
+    _checkpoint_folder(spark.sparkContext)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows in ranged, sorted partitions, with the number of the partition (_p) and of the row in it (_k). They are written
     once: were they made anew for the counts, the ranges, which are drawn from a sample, could differ."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranges import dense_index
+
 
 
 def _one():
@@ -183,6 +185,31 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFra
     return out.withColumn("mi", F.col("hx") + F.col("hy") - F.col("hxy"))
 
 
+def mutual_information_matrix(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """A35 of all pairs: a, b (a before b in columns), hx, hy, hxy, mi. One pass bins every column and sends, for each row, the bins of
+    each pair, which are counted before they are shuffled; what is left are bins x bins counts a pair. Of a pair the rows count
+    where neither is null."""
+    lim = ranges(df, columns)
+    bin_ = F.array(*[bin_of(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), bins) for c in columns])
+    rows = df.crossJoin(F.broadcast(lim)).select(bin_.alias("bins"))  # a single row of limits
+    rows = rows.select("bins", F.posexplode("bins").alias("i", "x")).where("x IS NOT NULL")
+    rest = F.expr("slice(bins, i + 2, size(bins))")
+    rows = rows.select("i", "x", F.posexplode(rest).alias("j", "y")).where("y IS NOT NULL")
+    joint = rows.groupBy("i", "j", "x", "y").agg(F.count("*").alias("n"))
+    total = lambda *by: F.sum("n").over(W.partitionBy("i", "j", *by))
+    joint = joint.withColumns({"t": total(), "nx": total("x"), "ny": total("y")})
+    part = lambda n: F.sum(-F.col("n") / F.col("t") * F.log(F.col(n) / F.col("t")))  # noqa: E731  of a marginal each cell has its share
+    out = joint.groupBy("i", "j").agg(part("nx").alias("hx"), part("ny").alias("hy"), part("n").alias("hxy"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return out.select(names[F.col("i")].alias("a"), names[F.col("i") + F.col("j") + 1].alias("b"), "hx", "hy", "hxy", (F.col("hx") + F.col("hy") - F.col("hxy")).alias("mi"))
+
+
+def timed(df: DataFrame, order: str | list[str], dt: float = 1.0) -> DataFrame:
+    """Frame (0, 1, ... in the order of the keys) and time for rows of a source that has no frame key."""
+    rows = dense_index(df, *([order] if isinstance(order, str) else order))
+    return rows.withColumnRenamed("_i", "frame").withColumn("time", F.col("frame") * float(dt))
+
+
 def scaled(df: DataFrame, columns: list[str], method: str = "zscore") -> DataFrame:
     """Mean, zscore (population deviation), minmax or none; a constant column gives 0. P2 is "range"
     ((x - mean) / (max - min); null for a constant column). Statistics come from one aggregation."""

@@ -13,7 +13,7 @@ from ..operators import lipids as Z
 from ..operators import series as S
 from ..operators import structure as A
 from ..sources import sinks as K
-from .queries import COMPLEX, CUTOFF, DOMAIN, PAIRS, POINTS, TRAJECTORY, complexes, domain_table, points, query, rounded, table, trajectory
+from .queries import COMPLEX, CUTOFF, DOMAIN, PAIRS, POINTS, TRAJECTORY, TYPES, complexes, domain_table, points, query, rounded, table, trajectory
 
 ATOMS = """atm AS (SELECT p_partkey AS atom_idx, p_partkey + 1 AS serial, p_brand AS chain, p_size AS res_seq, ['N','CA','C','O','CB'][p_partkey % 5 + 1] AS atom_name, ['ALA','GLY','HOH','SER'][p_size % 4 + 1] AS res_name,
  ['N','C','C','O','C'][p_partkey % 5 + 1] AS element, p_retailprice / 100 AS x, (p_partkey % 97)::DOUBLE AS y, (p_partkey % 31)::DOUBLE AS z FROM part)"""
@@ -133,9 +133,11 @@ def first_cell(spark, d):
 PARTS = [("count", "w", "coalesce({}, 0)"), ("vdw", "v", "least(coalesce({}, 0), 10)"), ("columb", "c", "coalesce({}, 0)")]
 
 
-@query(f"WITH {COMPLEX}, s AS (SELECT complex_id, res, " + ", ".join(f"sum({v}) FILTER ({'' if side == 'back' else 'NOT '}bb) AS {n}{side}" for n, v, _ in PARTS for side in ("back", "side")) + " FROM en GROUP BY 1, 2), r AS (SELECT DISTINCT complex_id, res FROM ap WHERE NOT lig) " + " UNION ALL ".join(f"SELECT r.complex_id, '{n}{side}_' || r.res AS feature, round({how.format(n + side)}, 6) + 0.0 AS value FROM r LEFT JOIN s USING (complex_id, res)" for n, _, how in PARTS for side in ("back", "side")))
+@query(f"WITH {COMPLEX}, s AS (SELECT complex_id, res, " + ", ".join(f"sum({v}) FILTER ({'' if side == 'back' else 'NOT '}bb) AS {n}{side}" for n, v, _ in PARTS for side in ("back", "side")) + " FROM en GROUP BY 1, 2), r AS (SELECT DISTINCT complex_id, res FROM ap WHERE NOT lig) " + " UNION ALL ".join(f"SELECT r.complex_id, '{n}{side}_' || r.res AS feature, round({how.format(n + side)}, 6) + 0.0 AS value FROM r LEFT JOIN s USING (complex_id, res)" for n, _, how in PARTS for side in ("back", "side"))
+  + "".join(f" UNION ALL SELECT c.complex_id, 'atomTCount_{p}_{q}', (count(*) FILTER (t_a = '{p}' AND t_b = '{q}' AND d <= 7))::DOUBLE FROM (SELECT DISTINCT complex_id FROM ap) c LEFT JOIN en ON en.complex_id = c.complex_id GROUP BY 1" for p in TYPES for q in TYPES))
 def feature_table(spark, d):
-    return rounded(B.feature_table(B.residue_features(complexes(spark, d), ["res"]), ["res"]), "value")
+    a = complexes(spark, d)
+    return rounded(B.feature_table(B.residue_features(a, ["res"]), ["res"], B.type_contacts(a, list(TYPES))), "value")
 
 
 @query(f"WITH {COMPLEX} SELECT complex_id, count(*) FILTER (t = 'C') AS \"C\", count(*) FILTER (t = 'N') AS \"N\", count(*) FILTER (t = 'O') AS \"O\", count(*) FILTER (t NOT IN ('C', 'N', 'O')) AS \"DU\" FROM atm WHERE lig GROUP BY 1")
@@ -198,11 +200,3 @@ def wide_contacts(spark, d):
     p = points(spark, d)
     pairs = C.self_pairs(p, CUTOFF, ["frame"], "id").select("frame", F.concat(F.lit("p"), ((F.col("id_a") + F.col("id_b")) % 4).cast("string")).alias("pair"), F.lit(1.0).alias("w"))
     return K.wide_contacts(pairs, p, "frame", "pair", ["p0", "p1", "p2", "p3"])
-
-
-@query(f"WITH {POINTS}, m AS (SELECT frame, min(z) + 10 * ((max(z) - min(z)) / 20) AS middle FROM pts GROUP BY frame), l AS (SELECT p.frame, count(*) FILTER (z > middle) AS u, count(*) FILTER (z < middle) AS w FROM pts p JOIN m ON m.frame = p.frame GROUP BY 1) SELECT frame, round(90.0 / u, 6) + 0.0 AS upper, round(80.0 / w, 6) + 0.0 AS lower, round(170.0 / (u + w), 6) + 0.0 AS mean FROM l")
-def lipid_area(spark, d):
-    rows = Z.leaflets(points(spark, d), "frame").withColumns({"area": F.lit(100.0), "protein_up": F.lit(10.0), "protein_low": F.lit(20.0)})
-    return rounded(Z.area_per_lipid(rows).select("frame", "upper", "lower", "mean"), "upper", "lower", "mean")
-
-

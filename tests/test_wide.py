@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from moltrail.operators import components as W
 from moltrail.operators import contacts as C
+from moltrail.operators import correlations as R
+from moltrail.operators import learning as L
+from moltrail.operators import lipids as Z
+from moltrail.operators import series as S
+from moltrail.operators import trees as T
 
 
 def exact(x, k):
@@ -98,3 +103,142 @@ def test_tiles_spread_a_product(cloud):
     assert blocks.first()[1:] == (12, 12)
     tiles = C._dealt(left, "a", ["one"], blocks).groupBy("_t_a_a", "_t_b_a").count().collect()
     assert len(tiles) > 130 and max(r["count"] for r in tiles) < 24
+
+
+# --- many columns
+
+
+@pytest.mark.parametrize("block,fan_in,tiles_bytes", [(256, 32, 1 << 28), (7, 2, 8 * 49 * 3)])
+def test_correlated_pairs(spark, monkeypatch, block, fan_in, tiles_bytes):
+    monkeypatch.setattr(R, "FAN_IN", fan_in)
+    monkeypatch.setattr(R, "TILES_BYTES", tiles_bytes)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((120, 20))
+    x[:, 5] = x[:, 1] * 2 + 0.1 * rng.standard_normal(120)
+    x[:, 19] = -x[:, 5] + 0.1 * rng.standard_normal(120)
+    x[:, 7], x[:, 8] = 3.0, x[:, 3]
+    names = [f"c{k}" for k in range(20)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x + 1e3], ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r["a"], r["b"]): r["r"] for r in R.correlated_pairs(df, names, 0.85, block).collect()}
+    with np.errstate(invalid="ignore"):
+        r = np.corrcoef(x.T)
+    want = {(names[i], names[j]): r[i, j] for i in range(20) for j in range(i + 1, 20) if abs(r[i, j]) > 0.85}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    left = dict.fromkeys(range(20), True)
+    for i in range(20):  # the rule in full
+        for j in range(i + 1, 20):
+            if left[i] and left[j] and abs(r[i, j]) > 0.85:
+                left[i] = False
+    assert R.uncorrelated(df, names, 0.85) == [names[k] for k in range(20) if left[k]]
+
+
+def test_correlations_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 6.0)], "a double, b double")
+    assert [tuple(r)[:2] for r in R.correlated_pairs(df, ["a", "b"], 0.9).collect()] == [("a", "b")]
+    assert R.uncorrelated(df.where("a > 9"), ["a", "b"]) == ["a", "b"]
+
+
+def test_many_columns_never_meet_in_one_place(spark):
+    names = [f"c{k}" for k in range(1200)]
+    e = spark.range(30).select(*[(F.sin(F.col("id") * (k % 600 + 1)) + k).alias(c) for k, c in enumerate(names)])
+    got = R.correlated_pairs(e, names, 0.999)
+    assert {f"c{k}" for k in range(600)} <= {r["a"] for r in got.where("r > 0.999").collect()}
+
+
+def brute_importances(rows, n_features, trees, depth, seed):
+    varying = [f for f in range(n_features) if len({x[f] for _, x in rows}) > 1]
+    k = max(1, int(len(varying) ** 0.5))
+    classes = sorted({y for y, _ in rows})
+    out = [0.0] * n_features
+
+    def impurity(own):
+        return len(own) - sum(sum(y == c for y, _ in own) ** 2 for c in classes) / max(1, len(own))
+
+    for t in range(trees):
+        gains = [0.0] * n_features
+
+        def grow(own, node, left):
+            if not left or len({y for y, _ in own}) < 2:
+                return
+            best = (0.0, None, None)
+            for f in sorted(sorted(varying, key=lambda f: (T.chance(seed, t, node, f, 0)[0], f))[:k]):
+                lo, hi = min(x[f] for _, x in own), max(x[f] for _, x in own)
+                if lo == hi:
+                    continue
+                cut = min(lo + T.chance(seed, t, node, f, 1)[0] * (hi - lo), np.nextafter(hi, -np.inf))
+                gain = impurity(own) - sum(impurity([r for r in own if (r[1][f] > cut) == side]) for side in (False, True))
+                if gain > best[0]:
+                    best = (gain, f, cut)
+            if best[1] is not None:
+                gains[best[1]] += best[0]
+                for side in (0, 1):
+                    grow([r for r in own if (r[1][best[1]] > best[2]) == bool(side)], 2 * node + side, left - 1)
+
+        grow(rows, 1, depth)
+        if sum(gains):
+            out = [o + g / sum(gains) / trees for o, g in zip(out, gains)]
+    return [o / sum(out) for o in out]
+
+
+@pytest.mark.parametrize("n_features,depth", [(2, 5), (10, 4), (10, 1)])
+def test_importances_of_trees(spark, n_features, depth):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((150, n_features)).round(2)
+    x[:, -1] = 1.0
+    y = (x[:, 0] + 0.3 * rng.standard_normal(150) > 0).astype(int) + 2 * (x[:, 1] > 1)
+    names = [f"c{k}" for k in range(n_features)]
+    df = spark.createDataFrame([(f"k{c}", *map(float, r)) for c, r in zip(y, x)] + [("k0", *[None] * n_features)], "label string, " + ", ".join(f"{n} double" for n in names)).repartition(4)
+    got = T.importances(df, names, "label", trees=4, depth=depth, seed=3)
+    want = brute_importances([(int(c), list(map(float, r))) for c, r in zip(y, x)], n_features, 4, depth, 3)
+    assert np.allclose([got[n] for n in names], want)
+    assert got[names[-1]] == 0 and np.isclose(sum(got.values()), 1)
+
+
+def test_importances_of_one_class(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0)], "y int, a double")
+    assert T.importances(df, ["a"], "y") == {"a": 0.0}
+
+
+def test_mutual_information_of_all_pairs(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((300, 3))
+    x[:, 2] += x[:, 0]
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["a"], r["b"]): r for r in S.mutual_information_matrix(df, ["a", "b", "c"], 6).collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    entropy = lambda h: -sum(p * np.log(p) for p in h.ravel() / h.sum() if p)
+    for (p, q), r in got.items():
+        i, j = "abc".index(p), "abc".index(q)
+        col = lambda k: np.array([t[k] for t in rows if t[k] is not None])
+        both = np.array([(t[i], t[j]) for t in rows if None not in (t[i], t[j])])
+        h = np.histogram2d(*both.T, bins=[np.linspace(col(k).min(), col(k).max(), 7) for k in (i, j)])[0]
+        want = [entropy(h.sum(axis=1)), entropy(h.sum(axis=0)), entropy(h)]
+        assert np.allclose([r["hx"], r["hy"], r["hxy"], r["mi"]], [*want, want[0] + want[1] - want[2]])
+
+
+def test_split_by_digests(spark):
+    df = spark.range(5000).withColumn("key", F.concat(F.lit("k"), "id"))
+    a, b = L.split(df, "key", 0.7, 3), L.split(df.repartition(7), "key", 0.7, 3)
+    first = {r["key"] for r in a.where("first").collect()}
+    assert len(first) == 3500 and first == {r["key"] for r in b.where("first").collect()} and a.count() == 5000
+    assert first != {r["key"] for r in L.split(df, "key", 0.7, 4).where("first").collect()}
+    assert L.split(df, "key", 1.0).where("not first").isEmpty() and L.split(df, "key", 0.0).where("first").isEmpty()
+    one = df.withColumn("key", F.lit("same"))
+    assert L.split(one, "key", 0.5).where("first").isEmpty()  # a key's rows stay together
+    assert L.split(df.where("id < 0"), "key", 0.5).count() == 0
+
+
+def test_bilayer_without_protein(spark):
+    heads = spark.createDataFrame([(f, z) for f in (0, 1) for z in (0.0, 1.0, 9.0, 10.0)], "frame int, z double")
+    protein = spark.createDataFrame([(0, x, y, z) for x in (0.0, 2.0) for y in (0.0, 2.0) for z in (0.4, 5.0)], "frame int, x double, y double, z double")
+    boxes = spark.createDataFrame([(0, 10.0, 5.0), (1, 10.0, 5.0)], "frame int, lx double, ly double")
+    got = {r["frame"]: r for r in Z.bilayer_areas(heads, protein, boxes, "frame", layer=1.0, radius=1.0).collect()}
+    assert got[0]["protein_up"] == 0 and got[0]["protein_low"] == 14.0  # an octagon 4 wide without its corners
+    assert (got[0]["lower"], got[0]["upper"], got[0]["mean"]) == (18.0, 25.0, 21.5)
+    assert got[1]["mean"] == 25.0 and got[1]["area"] == 50.0
+
+
+def test_times_of_rows(spark):
+    df = spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "v double")
+    assert sorted((r["v"], r["frame"], r["time"]) for r in S.timed(df, "v", 0.5).collect()) == [(1.0, 0, 0.0), (2.0, 1, 0.5), (3.0, 2, 1.0)]
