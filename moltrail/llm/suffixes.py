@@ -8,12 +8,12 @@ Each byte goes that lies in a 50-byte string which also starts in a document of
    the number of documents, to buckets, which answer a bit for each: whether it is shared.
 2. A shard's windows of shared anchors make its candidate text. Its suffix array is built by
    Larsson-Sadakane refinement, common prefixes of neighbours by Kasai's rule; windows whose group has
-   a smaller document in the shard are marked. The others go on, as pieces of the windows of an
-   anchor, to the anchor's bucket.
+   a smaller document in the shard are marked. Of the others each distinct window goes on once, whatever its
+   places in the shard, in pieces of the windows of an anchor, to the anchor's bucket; its other places follow it in the end.
 3. A bucket sorts the shards' pieces by anchor and hash, and neighbours of equal bytes are one piece; pieces
    with the same anchor that differ are compared by a new suffix array in blocks, blocks merged by binary
-   search in their sorted windows. The shards' suffix arrays aren't merged with each other. Windows of an anchor that more than HOT documents hold are dealt by the
-   window's own hash instead, so that no bucket gathers them.
+   search in their sorted windows. The shards' suffix arrays aren't merged with each other. Windows of an anchor that more than HOT
+   documents, or places of one shard, hold are dealt by the window's own hash instead, so that no bucket gathers them.
 4. Each shard applies its marks.
 
 Shards and buckets exchange a row each way at most, and none for a bucket that a shard has no anchor or piece for, so
@@ -43,6 +43,7 @@ BLOCK = 4 << 20
 CHUNK = 1 << 18
 SHARD_BYTES = 8 << 20
 _HASH_BITS = np.uint64(16)  # anchors are 48 bits
+_CROWDED = np.uint32(1 << 31)  # beside a count of documents: there are many places
 
 
 def words8(data: np.ndarray, n: int) -> np.ndarray:
@@ -110,42 +111,47 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, last, np.concatenate(hashes), doc
 
 
-def distinct_anchors(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchors and the number of documents (by id) that each is in."""
+def distinct_anchors(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct anchors, the number of documents (by id) that each is in, and that of its places."""
     order = np.lexsort((doc, h))
     h, owner = h[order], ids[doc[order]]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return np.unique(h[new], return_counts=True)
+    return *np.unique(h[new], return_counts=True), np.unique(h, return_counts=True)[1]
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Places in the order of their suffixes' first `depth` bytes, by Larsson-Sadakane refinement: suffixes are sorted
     by 8 bytes, then groups of equal ones by the group of the suffix h later, h doubling; groups of one are left alone."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    keys = words8(padded, n).byteswap()
-    order = np.argsort(keys)
+    keys = words8(np.concatenate([text, np.zeros(8, np.uint8)]), n)
+    keys.byteswap(inplace=True)
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
     same = np.zeros(n + 1, bool)
-    same[1:n] = keys[order][1:] == keys[order][:-1]
-    rank = np.empty(n + 1, np.int64)
+    np.equal(keys[1:], keys[:-1], out=same[1:n])
+    del keys
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(same[:n], 0, np.arange(n)))
+    rank[order] = np.maximum.accumulate(np.where(same[:n], np.int32(0), np.arange(n, dtype=np.int32)))
     h = 8
     while h < depth:
-        open_ = np.flatnonzero(same[:n] | same[1:])  # slots of groups of two and more
+        open_ = np.flatnonzero(same[:n] | same[1:]).astype(np.int32)  # slots of groups of two and more
         if not len(open_):
             break
         place = order[open_]
-        key = (rank[place].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(place + h, n)] + 1).astype(np.uint64)
-        by = np.argsort(key)
-        place, key = place[by], key[by]
+        key = rank[place].astype(np.uint64) << np.uint64(32)
+        key |= (rank[np.minimum(place + np.int32(h), np.int32(n))] + 1).astype(np.uint64)
+        by = np.argsort(key).astype(np.int32)
+        place = place[by]
+        key = key[by]
+        del by
         order[open_] = place
         equal = np.zeros(len(open_), bool)
-        equal[1:] = key[1:] == key[:-1]
+        np.equal(key[1:], key[:-1], out=equal[1:])
+        del key
         same[open_] = equal
-        slot = np.maximum.accumulate(np.where(equal, 0, open_))
-        rank[place] = slot
+        rank[place] = np.maximum.accumulate(np.where(equal, np.int32(0), open_))
         h *= 2
     return order
 
@@ -189,7 +195,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH, lan
 def window_groups(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The given window starts in the order of the suffix array, and each one's group of equal windows."""
     order = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, order) < LENGTH)
+    group = np.cumsum(common_prefixes(text, order) < LENGTH, dtype=np.int32)
     wanted = np.zeros(len(text), bool)
     wanted[starts] = True
     own = wanted[order]
@@ -207,7 +213,9 @@ def least_of_groups(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """first, first + 1, ..., last of each run, one after another."""
     n = last - first + 1
-    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+    out = np.repeat(first - (np.cumsum(n) - n), n)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 def runs_of(places: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -229,24 +237,29 @@ def shared_text(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
     return data[at], at
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of differences, which are mostly 0 where places follow each other."""
+    return np.diff(np.diff(x, prepend=0), prepend=0)
+
+
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return (mix(h) % np.uint64(n)).astype(np.int64)
 
 
-def _entries(n_buckets: int):
+def _entries(n_buckets: int, hot: int):
     def run(key, rows):
         ids, data, ends = opened(rows)
         _, _, h, doc = anchor_runs(data, ends)
-        h, count = distinct_anchors(h, doc, ids)
+        h, count, places = distinct_anchors(h, doc, ids)
+        count = np.minimum(count, _CROWDED - 1).astype(np.uint32) | np.where(places > hot, _CROWDED, np.uint32(0))
         bucket = _buckets(h, n_buckets)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         out = []
-        for b in range(n_buckets):
-            own = order[cut[b] : cut[b + 1]]
-            if len(own):
-                steps = np.diff(h[own], prepend=np.uint64(0))
-                out.append((b, key[0].as_py(), pack(steps.view(np.uint8).reshape(-1, 8).T), pack(count[own].astype(np.uint32))))
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            own = order[a:b]
+            steps = np.diff(h[own], prepend=np.uint64(0))
+            out.append((int(bucket[own[0]]), key[0].as_py(), pack(steps.view(np.uint8).reshape(-1, 8).T), pack(count[own])))
         return as_table(out, ["bucket", "shard", "anchors", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -265,9 +278,10 @@ def _answers(hot: int):
         every = np.concatenate(h)
         order = np.argsort(every, kind="stable")
         first = np.flatnonzero(np.diff(every[order], prepend=every[order[0]] + np.uint64(1)) != 0)
-        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        total = np.add.reduceat((counts[order] & ~_CROWDED).astype(np.int64), first)
+        crowded = (total > hot) | (np.maximum.reduceat(counts[order], first) >= _CROWDED)
         many = np.empty(len(every), np.uint8)
-        many[order] = np.repeat((total > 1).astype(np.uint8) + (total > hot), np.diff(np.append(first, len(every))))
+        many[order] = np.repeat((total > 1).astype(np.uint8) + ((total > 1) & crowded), np.diff(np.append(first, len(every))))
         out, at = [], 0
         for s, x in zip(shard, h):
             out.append((s, key[0].as_py(), pack(many[at : at + len(x)])))
@@ -295,35 +309,52 @@ def _pieces(n_buckets: int):
         shard, out = key[0].as_py(), []
         ids, data, ends = opened(rows)
         first, last, h, doc = anchor_runs(data, ends)
-        known, _ = distinct_anchors(h, doc, ids)
+        known = np.unique(h)
         bucket, many = _buckets(known, n_buckets), np.zeros(len(known), np.uint8)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         for b, x in zip(answers.column("bucket").to_pylist(), answers.column("many")):
-            many[order[cut[b] : cut[b + 1]]] = unpack(x.as_py(), np.uint8)
+            lo, hi = np.searchsorted(bucket[order], [b, b + 1])
+            many[order[lo:hi]] = unpack(x.as_py(), np.uint8)
         many = many[np.searchsorted(known, h)] if len(h) else many
         keep = many > 0
         first, last, h, doc, many = first[keep], last[keep], h[keep], doc[keep], many[keep]
         if not len(first):
             return as_table(out, *_PIECES)
         starts = spread(first, last)
-        run_of = np.repeat(np.arange(len(first)), last - first + 1)
-        gone = np.zeros(len(starts), bool)
+        run_of = np.repeat(np.arange(len(first), dtype=np.int32), last - first + 1)
+        gone, again = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        follow = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         _, which, times = np.unique(h, return_inverse=True, return_counts=True)
         here = np.flatnonzero(times[which] > 1)  # only an anchor that is here twice can have equal windows here
         if len(here):
-            inner = np.flatnonzero((times[which] > 1)[run_of])
+            inner = np.flatnonzero((times[which] > 1)[run_of]).astype(np.int32)
             text, at = shared_text(data, first[here], last[here])
-            place = np.searchsorted(at, starts[inner])  # of each window start in that text
-            sorted_, group = window_groups(text, place)
-            window = inner[np.searchsorted(place, sorted_)]
+            place = np.searchsorted(at, starts[inner]).astype(np.int32)  # of each window start in that text
+            del at
+            window, group = window_groups(text, place)
+            window = inner[np.searchsorted(place, window)]
+            del inner, place, text
             owner = ids[doc[run_of[window]]]
-            gone[window[owner > least_of_groups(group, owner)]] = True
+            later = owner > least_of_groups(group, owner)
+            gone[window[later]] = True
+            # those left of a group belong to one document: the first place goes on, the others follow it
+            del owner
+            window, group = window[~later], group[~later]
+            head = least_of_groups(group, window)
+            other = head != window
+            del group, later
+            window, head = window[other], head[other]
+            again[window] = True
+            by = np.argsort(window)
+            follow = [starts[window[by]], starts[head[by]]]
+            del window, head, by
+        if len(follow[0]):
+            out.append((shard % n_buckets, shard, 2, b"", pack(_steps(follow[0])), pack(_steps(follow[0] - follow[1])), b"", b""))
         a, b = runs_of(starts[gone])
         if len(a):
             marked = starts[gone]
             out.append((shard % n_buckets, shard, 1, b"", pack(marked[a]), pack((marked[b] - marked[a]).astype(np.uint32)), b"", b""))
-        left = np.flatnonzero(~gone)
+        left = np.flatnonzero(~gone & ~again)
         hot = many[run_of[left]] > 1
         cool, single = left[~hot], left[hot]
         a, b = runs_of(starts[cool], run_of[cool])
@@ -384,15 +415,15 @@ def _merge_blocks(text: np.ndarray, begin: np.ndarray, n: np.ndarray, ids: np.nd
     return starts, flags
 
 
-_MARKS = (["shard", "first", "more"], [pa.int32(), pa.binary(), pa.binary()])
+_MARKS = (["shard", "kind", "first", "more"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
 
 def _merge(block: int):
     def run(key, rows):
         out = []
         for kind, s, f, m in zip(*(rows.column(c).to_pylist() for c in ("kind", "shard", "first", "more"))):
-            if kind == 1:
-                out.append((s, f, m))
+            if kind:
+                out.append((s, kind, f, m))
         rows = rows.filter(pc.equal(rows.column("kind"), 0))
         if not rows.num_rows:
             return as_table(out, *_MARKS)
@@ -445,7 +476,7 @@ def _merge(block: int):
         place, owner = place[by], shard[piece[by]]
         a, b = runs_of(place, owner)
         for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(owner[a])) + 1) if len(a) else []:
-            out.append((int(owner[a[own[0]]]), pack(place[a[own]]), pack((place[b[own]] - place[a[own]]).astype(np.uint32))))
+            out.append((int(owner[a[own[0]]]), 1, pack(place[a[own]]), pack((place[b[own]] - place[a[own]]).astype(np.uint32))))
         return as_table(out, *_MARKS)
 
     return run
@@ -453,12 +484,25 @@ def _merge(block: int):
 
 def _apply(key, rows, marks):
     ids, data, ends = opened(rows)
-    edge = np.zeros(len(data) + 1, np.int64)
-    for f, m in zip(marks.column("first"), marks.column("more")):
-        first, more = unpack(f.as_py(), np.int64), unpack(m.as_py(), np.uint32).astype(np.int64)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + more + LENGTH, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    edge = np.zeros(len(data) + 1, np.int32)
+    follow = []
+    for kind, f, m in zip(marks.column("kind").to_pylist(), marks.column("first"), marks.column("more")):
+        if kind == 1:
+            first, more = unpack(f.as_py(), np.int64), unpack(m.as_py(), np.uint32).astype(np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + more + 1, -1)
+        else:
+            place, back = (np.cumsum(np.cumsum(unpack(x.as_py(), np.int64))) for x in (f, m))
+            follow.append((place, place - back))
+    starts = np.cumsum(edge[:-1], dtype=np.int32) > 0  # windows that go
+    for place, head in follow:
+        starts[place] |= starts[head]
+    a, b = runs_of(np.flatnonzero(starts))
+    at = np.flatnonzero(starts)
+    edge[:] = 0
+    np.add.at(edge, at[a], 1)
+    np.add.at(edge, at[b] + LENGTH, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     head = gone.copy()
     head[1:] &= ~gone[:-1]
@@ -476,10 +520,10 @@ def repeats_removed(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> Data
     n = shard_count(docs, SHARD_BYTES, shuffle_partitions(docs.sparkSession))
     shards = sharded(docs, n)
     by_shard = lambda: shards.groupBy("shard")
-    entries = by_shard().applyInArrow(_entries(n), "bucket int, shard int, anchors binary, counts binary")
+    entries = by_shard().applyInArrow(_entries(n, hot), "bucket int, shard int, anchors binary, counts binary")
     answers = entries.groupBy("bucket").applyInArrow(_answers(hot), "shard int, bucket int, many binary")
     pieces = by_shard().cogroup(answers.groupBy("shard")).applyInArrow(_pieces(n), "bucket int, shard int, kind int, anchor binary, first binary, more binary, ids binary, text binary")
-    marks = pieces.groupBy("bucket").applyInArrow(_merge(block), "shard int, first binary, more binary")
+    marks = pieces.groupBy("bucket").applyInArrow(_merge(block), "shard int, kind int, first binary, more binary")
     return by_shard().cogroup(marks.groupBy("shard")).applyInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

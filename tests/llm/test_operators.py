@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -50,6 +51,31 @@ def test_repeats(edge, edge_rows, hot, block):
     assert Counter(got(suffixes.repeats_removed(edge, hot=hot, block=block))) == brute_repeats(edge_rows)
 
 
+def test_repeats_of_repetitive_texts(spark):
+    """Long runs, repeated lines and tables of dashes, in one document and in several, also where places are many and documents few."""
+    rng = random.Random(6)
+    line = "This line of a licence stands here again and again, w/o end.\n"
+    texts = ["a" * 9000, "-" * 700 + "x" + "-" * 900, line * 40, "".join(rng.choice(["-----+", "----+-"]) for _ in range(400)), "ab" * 2000 + "c" + "ab" * 500]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10, "start " + line * 5 + "end"), (11, "-" * 60), (12, "a" * 200 + "b" * 60), (13, texts[3][90:700]), (14, "ba" * 40), (14, line * 3), (None, line * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1000, 20):
+        assert Counter(got(suffixes.repeats_removed(docs, hot=hot))) == brute_repeats(rows)
+
+
+def test_windows_go_on_once():
+    """2 MB of one byte, and of one line, in two documents: the shard sends each distinct window once."""
+    from moltrail.llm.shards import as_table
+
+    for text in (b"-" * (2 << 20), b"A line of sixty bytes or so that stands in a text repeatedly\n" * 30_000):
+        docs = as_table([(0, suffixes.pack(np.array([1, 2])), suffixes.pack(np.array([len(text), 60])), suffixes.pack(np.frombuffer(text + text[:60], np.uint8)))], ["shard", "ids", "sizes", "text"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        key = (pa.scalar(0),)
+        entries = suffixes._entries(1, 1000)(key, docs)
+        answers = suffixes._answers(1000)(key, entries.append_column("x", [[0] * entries.num_rows]))
+        out = suffixes._pieces(1)(key, docs, answers)
+        assert sum(len(suffixes.unpack(r["text"], np.uint8)) for r in out.to_pylist() if r["kind"] == 0) < 20_000
+        assert sum(len(r["first"]) + len(r["more"]) for r in out.to_pylist()) < 100_000
+
+
 def test_repeats_empty(empty):
     assert got(suffixes.repeats_removed(empty)) == []
 
