@@ -96,13 +96,15 @@ def joined(spans: str) -> str:
 def redact(docs: DataFrame, **parameters) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; of overlapping spans the first, then the longest, counts.
     Null texts stay null; columns and rows stay as they are."""
-    plain = "spans" not in docs.columns
-    rows = find(docs if plain else docs.withColumnRenamed("spans", "_spans_before"), **parameters)
+    kept = "_spans"  # a name that docs doesn't have, for its own column spans
+    while kept in docs.columns:
+        kept += "_"
+    rows = find(docs.withColumnRenamed("spans", kept), **parameters)
     step = """aggregate(array_sort(transform(spans, s -> struct(s.start, -s.end AS back, s.kind))), struct(0L AS at, array('') AS parts),
         (a, s) -> if(s.start < a.at, a, struct(-s.back AS at, concat(a.parts, array(substr(text, int(a.at + 1), int(s.start - a.at)), concat('[', s.kind, ']'))) AS parts)),
         a -> concat(array_join(a.parts, ''), substr(text, int(a.at + 1))))"""
     rows = rows.withColumn("text", F.expr(f"if(size(spans) = 0, text, {step})")).drop("spans")
-    return rows if plain else rows.withColumnRenamed("_spans_before", "spans")
+    return rows.withColumnRenamed(kept, "spans")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

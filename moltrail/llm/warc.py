@@ -12,13 +12,15 @@ table gives no records. Pages are taken whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import table
 
@@ -38,6 +40,7 @@ TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r"(?i)<a[ \t\r\n\f][^>]*?href[ \t\r\n\f]*=[ \t\r\n\f]*(\"[^\"]*\"|'[^']*'|[^ \t\r\n\f>\"']+)"
 QUOTES = "^[\"']|[\"']$"
 MARK = "WARC/1."
+HEAD = re.compile(rb"[0-9]\r\n[A-Za-z-]+: ")
 
 
 def _uuid(*parts: Column) -> Column:
@@ -109,38 +112,96 @@ def write_warc(records: DataFrame, path: str) -> None:
     warc_text(records).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of each record of a file's pieces, cut at MARK; pieces are joined as far as the block's length says."""
-    head, block, size = None, b"", 0
+def _headed(piece: bytes) -> bool:
+    """Whether a piece behind MARK begins a record: the version's last digit, a line end and a named field."""
+    return HEAD.match(piece) is not None
+
+
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Header, block and declared length of each record of pieces, cut at MARK, that begin with one; pieces are joined as far as the
+    length says, and only that of the last record may be more than its block has."""
+    head, block, size, top = None, b"", 0, None
     for piece in pieces:
         if head is not None and len(block) < size:
             block += MARK.encode() + piece  # the mark stood in the block
-        else:
-            if head is not None:
-                yield head, block[:size]
-            top, end, block = piece.partition(b"\r\n\r\n")
-            head = {k.lower(): v for k, v in (x.split(": ", 1) for x in top.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)} if end else None
-            number = (head or {}).get("content-length", "0").strip()
-            size = int(number) if number.isdecimal() else 0
+            continue
+        if head is not None:
+            yield head, block[:size], size
+            head = None
+        if _headed(piece):
+            top = piece
+        elif top is not None:
+            top += MARK.encode() + piece  # the mark stood in the header
+        if top is not None and b"\r\n\r\n" in top:
+            top, _, block = top.partition(b"\r\n\r\n")
+            head = {k.lower(): v for k, v in (x.split(": ", 1) for x in top.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)}
+            number = head.get("content-length", "0").strip()
+            size, top = int(number) if number.isdecimal() else 0, None
     if head is not None:
-        yield head, block[:size]
+        yield head, block[:size], size
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or (by their name) gzipped: record_type, record_id, refers_to, target_uri, date, header
-    (map, lower-case names), block (binary). Files are read record by record and plain ones in splits; of a record that is cut off
-    the block holds what is there, and one without a whole header is left out, as is the rest of a block that holds
-    the mark of a record just where a split ends."""
+_RECORD = ["record_type", "record_id", "refers_to", "target_uri", "date", "header", "block", "truncated"]
+
+
+def _record(head: dict[str, str], block: bytes, size: int) -> list[pa.Array]:
     names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date"]
+    return [*[pa.array([head.get(k)], pa.string()) for k in names], pa.array([list(head.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary()), pa.array([len(block) < size], pa.bool_())]
 
-    def run(batches):
-        rows = ((file, value) for batch in batches for file, value in zip(batch.column("file").to_pylist(), batch.column("value")))
-        for head, block in (r for _, own in groupby(rows, key=itemgetter(0)) for r in parsed(value.as_py() for _, value in own)):
-            columns = [*[pa.array([head.get(k)], pa.string()) for k in names], pa.array([list(head.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["record_type", "record_id", "refers_to", "target_uri", "date", "header", "block"])
 
-    schema = "record_type string, record_id string, refers_to string, target_uri string, date string, header map<string,string>, block binary"
-    return spark.read.text(path, lineSep=MARK).select(F.concat_ws(" ", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string")).alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(run, schema)
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, plain or (by their name) gzipped: record_type, record_id, refers_to, target_uri, date, header
+    (map, lower-case names), block (binary), truncated. Files are read record by record, plain ones in splits. Where a block holds the
+    mark of a record, a split may end inside of it: what splits begin with before a record's head goes to the
+    split where that record began, a record for each split at most. Of a record that the file cuts off the block holds what is there, and
+    truncated says so; one without a whole header is left out."""
+    pieces = spark.read.text(path, lineSep=MARK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+
+    def splits(batches):
+        rows = ((file, split, value) for batch in batches for file, split, value in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), batch.column("value")))
+        for key, own in groupby(rows, key=itemgetter(0, 1)):
+            values = (value.as_py() for _, _, value in own)
+            lead = []  # up to the first head
+            for value in values:
+                if _headed(value):
+                    yield key, lead, parsed(chain([value], values))
+                    break
+                lead.append(value)
+            else:
+                yield key, lead, iter(())
+
+    def whole(batches):
+        for _, _, found in splits(batches):
+            for head, block, size in found:
+                if len(block) >= size:
+                    yield pa.RecordBatch.from_arrays(_record(head, block, size), _RECORD)
+
+    def ends(batches):
+        for (file, split), lead, found in splits(batches):
+            last = None
+            for last in found:
+                pass
+            open_ = last is not None and len(last[1]) < last[2]
+            text = MARK.encode() + MARK.encode().join(lead) if lead else b""
+            arrays = [pa.array([file]), pa.array([split], pa.int64()), pa.array([text], pa.binary()), pa.array([last is not None]), *(_record(*last) if open_ else _record({}, b"", 0))[5:7], pa.array([last[2] if open_ else 0], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["file", "split", "lead", "headed", "header", "block", "size"])
+
+    def joined(key, own):
+        own = own.sort_by("split")
+        head, block, size = dict(own.column("header")[0].as_py() or []), own.column("block")[0].as_py(), own.column("size")[0].as_py()
+        block += b"".join(own.column("lead")[k].as_py() for k in range(1, own.num_rows))
+        return pa.Table.from_arrays(_record(head, block[:size], size), _RECORD).slice(0, 1 if size else 0)
+
+    schema = "record_type string, record_id string, refers_to string, target_uri string, date string, header map<string,string>, block binary, truncated boolean"
+    parts = pieces.mapInArrow(ends, "file string, split long, lead binary, headed boolean, header map<string,string>, block binary, size long")
+    # a split's lead belongs to the last split before it that has a head; leads without one are no record
+    owner = F.last(F.when(F.col("headed"), F.col("split")), True).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    places = parts.select("file", "split", "headed").withColumn("owner", owner)
+    rest = parts.join(places.select("file", "split", "owner"), ["file", "split"])
+    rest = rest.where("owner IS NOT NULL AND length(lead) > 0").select("file", F.col("owner"), "split", "lead", F.lit(None).cast("map<string,string>").alias("header"), F.lit(None).cast("binary").alias("block"), F.lit(0).cast("long").alias("size"))
+    begun = parts.where("size > 0").select("file", F.col("split").alias("owner"), "split", F.lit(b"").alias("lead"), "header", "block", "size")
+    cut = begun.unionByName(rest.join(begun.select("file", "owner"), ["file", "owner"], "left_semi").select(begun.columns))
+    return pieces.mapInArrow(whole, schema).unionByName(cut.groupBy("file", "owner").applyInArrow(joined, schema))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -316,6 +316,11 @@ def test_redact(edge, edge_rows):
     assert rows.where("text IS NULL").count() == 1
 
 
+def test_redact_leaves_other_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "s", "t", "u")], "doc_id long, text string, spans string, _spans string, _spans_before string")
+    assert tuple(pii.redact(df).first()) == (1, "[email]", "s", "t", "u") and pii.redact(df).columns == df.columns
+
+
 def test_social_security_numbers_need_context(spark):
     df = spark.createDataFrame([(1, "my SSN is 078-05-1120"), (2, "part 078-05-1120"), (3, "078-05-1120, social security"), (4, "ssn" + " " * 50 + "078-05-1120"), (5, "a@b.cd 1.2.3.4 x; host 1.2.3.5")], "doc_id long, text string")
     rows = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
@@ -841,6 +846,31 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.responses(pages.where("page_id > 5"))).count() == 0
 
 
+def test_warc_records_longer_than_splits(spark, tmp_path):
+    """Blocks that quote the mark of a record, cut by splits of 4 KB; one runs over several splits, and the file ends inside the last."""
+    rng = random.Random(4)
+    blocks, text = [], b""
+    for k in range(30):
+        block = b" ".join(rng.choice([b"WARC/1.0", b"WARC/1.1\r\n", b"word", b"x" * 50]) for _ in range(rng.choice([5, 200, 900])))
+        blocks.append((f"<urn:{k}>", block))
+        text += b"WARC/1.%d\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k % 2, k, len(block), block)
+    text += b"WARC/1.0\r\nWARC-Record-ID: <urn:cut>\r\nContent-Length: 90000\r\n\r\n" + b"WARC/1.0 " * 2000
+    (tmp_path / "a.warc").write_bytes(text)
+    (tmp_path / "b.warc").write_bytes(text)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "4096")
+    spark.conf.set(keys[1], "1")
+    try:
+        rows = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    got_ = Counter((r["record_id"], bytes(r["block"]), r["truncated"]) for r in rows)
+    want = Counter([(i, b, False) for i, b in blocks * 2] + [("<urn:cut>", b"WARC/1.0 " * 2000, True)] * 2)
+    assert got_ == want
+
+
 def test_warc_responses_from_files(spark, tmp_path):
     import gzip
 
