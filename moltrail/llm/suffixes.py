@@ -497,19 +497,18 @@ def _apply(key, rows, marks):
     starts = np.cumsum(edge[:-1], dtype=np.int32) > 0  # windows that go
     for place, head in follow:
         starts[place] |= starts[head]
-    a, b = runs_of(np.flatnonzero(starts))
-    at = np.flatnonzero(starts)
-    edge[:] = 0
-    np.add.at(edge, at[a], 1)
-    np.add.at(edge, at[b] + LENGTH, -1)
-    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-    total = np.concatenate([[0], np.cumsum(gone)])
+    del edge, follow
+    count = np.cumsum(starts, dtype=np.int32)
+    gone = count > 0  # a byte goes if one of the LENGTH windows that hold it does
+    gone[LENGTH:] = count[LENGTH:] > count[:-LENGTH]
+    del starts, count
+    total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
     head = gone.copy()
     head[1:] &= ~gone[:-1]
     if len(gone):
         inner = ends[:-1][ends[:-1] < len(gone)]
         head[inner] = gone[inner]
-    heads = np.concatenate([[0], np.cumsum(head)])
+    heads = np.concatenate([np.zeros(1, np.int32), np.cumsum(head, dtype=np.int32)])
     digest = [hashlib.sha256(data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
     per = lambda t: pa.array(t[ends[1:]] - t[ends[:-1]], pa.int64())
     return pa.table([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(np.diff(ends), pa.int64()), per(total), per(heads), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
