@@ -8,8 +8,9 @@ nothing under both pass. For the fit every labelled text is measured with dictio
 so that the curve doesn't see texts that its dictionary holds.
 
 Only the fit is on a bounded sample: at most SAMPLE rows of each label, those with the least hash of
-doc_id. The dictionaries are built from pieces of PIECE bytes of their texts, at most PIECES a text, evenly over
-all of it, which come to the driver; sizes for the curve, as all scores, are of whole texts and taken in tasks.
+doc_id. The dictionaries are built from pieces of PIECE bytes of their texts: all of them, wherever they stand, or, where these
+labelled texts have more than PIECES a label, the PIECES with the least hash. They come to the driver, at most 2 * PIECE * PIECES bytes; sizes
+for the curve, as all scores, are of whole texts and taken in tasks.
 
 Rows: null and empty texts have no sizes, and score the share of good texts among the labelled; repeated rows
 each give a row; of rows of one labelled id the least text is learnt from; a null doc_id is scored and counts as
@@ -32,7 +33,7 @@ from .common import chunks, cut_lineage, flat, table
 
 SAMPLE = 2000
 DICTIONARY_BYTES = 32_768
-PIECE, PIECES = 2000, 8
+PIECE, PIECES = 2000, 16_384
 LEVEL = 3
 ACCEPT = 0.3
 FOLDS = 5
@@ -74,10 +75,8 @@ class Measure:
 
 
 def pieces_of(text: bytes) -> list[bytes]:
-    """Pieces of PIECE bytes, all or PIECES of them evenly over the text."""
-    n = -(-len(text) // PIECE)
-    at = range(n) if n <= PIECES else [k * n // PIECES for k in range(PIECES)]
-    return [text[k * PIECE : (k + 1) * PIECE] for k in at]
+    """All of a text in pieces of PIECE bytes."""
+    return [text[k : k + PIECE] for k in range(0, len(text), PIECE)]
 
 
 def dictionary(pieces: list[bytes]) -> bytes:
@@ -110,19 +109,24 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("labelled"), batch.column("quality"), pa.array(pieces, pa.list_(pa.binary()))], ["labelled", "quality", "pieces"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """From labelled rows that are not held out; sample bounds what is gathered."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> Model:
+    """From labelled rows that are not held out; sample bounds the rows of a label, pieces their pieces."""
     rows = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality")).where(F.col("labelled").isNotNull() & (fold(F.col("labelled")) != 0))
     picked = [rows.where(F.col("quality") == q).orderBy(F.xxhash64("labelled"), "labelled").limit(sample) for q in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows of two numbers
     found = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(picked, F.col("_doc") == F.col("labelled"))
     texts = cut_lineage(found.groupBy("labelled", "quality").agg(F.min("text").alias("text")).where("text <> ''"))
-    got = sorted((r["quality"], r["labelled"], r["pieces"]) for r in texts.mapInArrow(_cut, "labelled long, quality int, pieces array<binary>").collect())
+    got = sorted(map(tuple, texts.select("quality", "labelled").collect()))
     sides = [[r for r in got if r[0] == q] for q in (0, 1)]
+    cut = texts.mapInArrow(_cut, "labelled long, quality int, pieces array<binary>").select("quality", "labelled", F.posexplode("pieces").alias("k", "piece"))
+    drawn = [cut.where(F.col("quality") == q).orderBy(F.xxhash64("labelled", "k"), "labelled", "k").limit(pieces) for q in (0, 1)]
+    known: dict[tuple[int, int], list[bytes]] = {}
+    for q, labelled, _, piece in sorted(map(tuple, drawn[0].unionByName(drawn[1]).collect())):
+        known.setdefault((q, labelled), []).append(bytes(piece))
     share = len(sides[1]) / len(got) if got else 1.0
     if min(map(len, sides)) < 2:
         return Model(b"", b"", (0.0, 0.0, 0.0), share)
-    join = lambda q, rows: dictionary([bytes(p) for r in rows for p in r[2]])
+    join = lambda q, rows: dictionary([p for r in rows for p in known.get(r, [])])
     half = {(q, r[1]): k % 2 for q in (0, 1) for k, r in enumerate(sides[q])}
     halves = [(join(1, sides[1][1 - h :: 2]), join(0, sides[0][1 - h :: 2])) for h in (0, 1)]  # each for the other half
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from moltrail.llm import decontaminate, lm, mixing, pii, quality, rules, simhash, suffixes, tokens, warc
@@ -101,7 +102,6 @@ def test_suffix_array_and_prefixes():
 
 def brute_quality(docs, labels):
     """The model in plain Python: dictionaries, sizes with the other half's, a curve by gradient steps."""
-    import zstandard
 
     def sizes(d, t):
         kind = zstandard.DICT_TYPE_AUTO if d[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
@@ -157,10 +157,19 @@ def test_quality(edge, empty, spark):
     assert again == model
 
 
-def test_pieces():
+def test_pieces(spark):
+    """Pieces make up the whole text, also what stands at the end of a long one; a lower bound on them draws among all."""
     text = bytes(range(256)) * 100
-    assert b"".join(quality.pieces_of(text[:16000])) == text[:16000]
-    assert len(quality.pieces_of(text)) == quality.PIECES and quality.pieces_of(b"") == []
+    assert b"".join(quality.pieces_of(text)) == text and quality.pieces_of(b"") == []
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    ends = " ".join(word() for _ in range(300))  # what all good texts have behind 60,000 bytes of their own
+    docs = [(k, " ".join(word() for _ in range(9000)) + (ends if k % 2 else "")) for k in range(12)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    model = quality.train(df, known)
+    plain = lambda d, t: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d)).compress(t.encode()))
+    assert plain(model.good, ends) < 0.5 * plain(model.bad, ends)
+    assert quality.train(df, known, pieces=30).good != model.good
 
 
 # --- 3
