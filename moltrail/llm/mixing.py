@@ -1,8 +1,9 @@
 """Operator 7, mixing sources to target weights.
 
 Each source's documents, in a pseudorandom order, form one stream of words, which is packed into
-blocks of a fixed length. Each source gets as many slots as its target holds blocks, in passes over its
-stream. The number of slots that a source has in each output shard is a multinomial draw, one for each
+blocks of a fixed length, whatever the source's size; only its last block may be shorter. Each source gets slots for the words
+of its target, in passes over its stream: a whole pass takes every block, the last one as many as are still
+lacking, whole blocks before the short one, so that the words taken are those of the target. The number of slots that a source has in each output shard is a multinomial draw, one for each
 pass; a shard's slots are those that follow the slots of the shards before it. The k-th slot of a pass holds
 the block that the pass's permutation gives for k (ROUNDS rounds of swap-or-not with keyed numbers, a
 permutation of any number of blocks), and slots are joined with blocks by index. All random numbers are
@@ -68,25 +69,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     rows = rows.withColumn("rank", F.row_number().over(by_ratio)).withColumn("level", level)
     first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(every)["level"]
     rows = rows.withColumn("target", F.least(F.col("weight") * F.coalesce(first, F.lit(0.0)), F.col("cap")))
-    rows = rows.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / 16))).cast("long"))
+    rows = rows.withColumn("block", F.lit(block).cast("long"))
     rows = rows.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
     rows = rows.withColumn("n_words", F.floor(F.col("target") + 0.5).cast("long"))
-    return rows.select("source", "sid", "source_size", "target", "block", "n_blocks", "n_words", F.ceil(F.col("n_words") / F.col("block")).cast("long").alias("n_slots"))
+    slots = F.when(F.col("source_size") > 0, F.expr("n_words div source_size * n_blocks + ceil(n_words % source_size / block)")).otherwise(0).cast("long")
+    return rows.select("source", "sid", "source_size", "target", "block", "n_blocks", "n_words", slots.alias("n_slots"))
 
 
 def _swap(key: str) -> str:
     """A round of swap-or-not, in any dialect of SQL: x and its partner change places if a keyed bit of the greater says so."""
-    partner = f"(({key} % n_blocks + n_blocks - x) % n_blocks)"
+    partner = f"(({key} % modulus + modulus - x) % modulus)"
     bit = f"((greatest(x, {partner}) % 1000003) * ({key} % 999999999989 + 1) + {key} % 1000033) % 998244353 % 2"
     return f"CASE WHEN {bit} = 1 THEN {partner} ELSE x END"
 
 
 def output_slots(targets: DataFrame, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, slot (k of the source), sid, index (of the block), take (words, less only in a source's last slot)."""
+    """shard, slot (k of the source), sid, index (of the block), take (words, of which a short block has less)."""
     tasks = shuffle_partitions(targets.sparkSession)
     rows = targets.where("n_slots > 0").withColumn("n_shards", F.ceil(F.sum("n_slots").over(W.partitionBy(F.lit(0))) / shard_slots).cast("long"))
-    passes = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, (n_slots - 1) div n_blocks)")))
-    passes = passes.withColumn("own", F.least(F.col("n_blocks"), F.col("n_slots") - F.col("epoch") * F.col("n_blocks")))
+    # own slots of a pass; of those before the modulus the blocks are permuted, and what they may take together is rest
+    passes = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, (n_words - 1) div source_size)")))
+    passes = passes.withColumn("rest", F.expr("least(source_size, n_words - epoch * source_size)")).withColumn("own", F.expr("ceil(rest / block)"))
+    passes = passes.withColumn("modulus", F.expr("if(rest = source_size, n_blocks, source_size div block)"))
     # how many of a pass's slots each shard has
     drawn = passes.select("sid", "epoch", "own", "n_shards", F.explode(F.expr(f"sequence(0L, (own - 1) div {CHUNK})")).alias("chunk")).repartition(tasks, "sid", "epoch", "chunk")
     drawn = drawn.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, own) - 1)")))
@@ -96,11 +100,12 @@ def output_slots(targets: DataFrame, seed: int = 7, shard_slots: int = SHARD_SLO
     counts = counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # the slots themselves
     keys = F.array(*[digest(F.lit(seed), F.col("sid"), F.col("epoch"), F.lit(r)) for r in range(ROUNDS)])
-    passes = passes.select(F.col("sid").alias("sid2"), F.col("epoch").alias("epoch2"), "block", "n_blocks", "n_words", keys.alias("keys"))
+    passes = passes.select(F.col("sid").alias("sid2"), F.col("epoch").alias("epoch2"), F.col("source_size").alias("whole"), "block", "n_blocks", "modulus", "rest", keys.alias("keys"))
     rows = counts.repartition(tasks, "sid", "epoch", "shard").join(passes, (F.col("sid") == F.col("sid2")) & (F.col("epoch") == F.col("epoch2")))
-    rows = rows.withColumn("j", F.explode(F.expr("sequence(`from`, `from` + n - 1)"))).withColumn("x", F.expr(f"aggregate(keys, j, (x, key) -> {_swap('key')})"))
+    rows = rows.withColumn("j", F.explode(F.expr("sequence(`from`, `from` + n - 1)"))).withColumn("x", F.expr(f"if(j < modulus, aggregate(keys, j, (x, key) -> {_swap('key')}), j)"))
     slot = F.col("epoch") * F.col("n_blocks") + F.col("j")
-    return rows.select("shard", slot.alias("slot"), "sid", F.col("x").alias("index"), F.least(F.col("block"), F.col("n_words") - slot * F.col("block")).alias("take"))
+    take = F.expr("if(rest = whole, block, least(block, rest - j * block))")
+    return rows.select("shard", slot.alias("slot"), "sid", F.col("x").alias("index"), take.alias("take"))
 
 
 def packed_blocks(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -171,15 +176,15 @@ levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(ca
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM ranked),
 chosen AS (SELECT coalesce((SELECT level FROM levels WHERE level <= ratio ORDER BY rank LIMIT 1), 0.0) AS level),
 targets AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS n_words, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks FROM
-  (SELECT l.source, l.sid, l.source_size, least(l.weight * c.level, l.cap) AS target, greatest(1, least({BLOCK}, l.source_size // 16)) AS block FROM levels l, chosen c)),
-counted AS (SELECT *, CAST(ceil(n_words / block) AS BIGINT) AS n_slots FROM targets),
-passes AS (SELECT *, least(n_blocks, n_slots - epoch * n_blocks) AS own, (SELECT CAST(ceil(sum(n_slots) / {SHARD_SLOTS}) AS BIGINT) FROM counted) AS n_shards,
+  (SELECT l.source, l.sid, l.source_size, least(l.weight * c.level, l.cap) AS target, {BLOCK}::BIGINT AS block FROM levels l, chosen c)),
+counted AS (SELECT *, CAST(n_words // source_size * n_blocks + ceil(n_words % source_size / block) AS BIGINT) AS n_slots FROM targets WHERE source_size > 0),
+passes AS (SELECT *, CAST(ceil(rest / block) AS BIGINT) AS own, CASE WHEN rest = source_size THEN n_blocks ELSE source_size // block END AS modulus, (SELECT CAST(ceil(sum(n_slots) / {SHARD_SLOTS}) AS BIGINT) FROM counted) AS n_shards,
   {", ".join(_D.format(f"'7/' || sid || '/' || epoch || '/{r}'") + f" AS key{r}" for r in range(ROUNDS))}
-  FROM (SELECT *, unnest(range((n_slots - 1) // n_blocks + 1)) AS epoch FROM counted WHERE n_slots > 0)),
+  FROM (SELECT *, least(source_size, n_words - epoch * source_size) AS rest FROM (SELECT *, unnest(range((n_words - 1) // source_size + 1)) AS epoch FROM counted WHERE n_slots > 0))),
 drawn AS (SELECT sid, epoch, {_D.format("'7/shard/' || sid || '/' || epoch || '/' || j")} % n_shards AS shard FROM (SELECT sid, epoch, n_shards, unnest(range(own)) AS j FROM passes)),
 shards AS (SELECT sid, epoch, shard, n, coalesce(sum(n) OVER (PARTITION BY sid, epoch ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT sid, epoch, shard, count(*) AS n FROM drawn GROUP BY ALL)),
 ranged AS (SELECT p.*, s.shard, j, j AS x FROM (SELECT sid, epoch, shard, unnest(range(CAST(start AS BIGINT), CAST(start + n AS BIGINT))) AS j FROM shards) s JOIN passes p ON p.sid = s.sid AND p.epoch = s.epoch),
-placed AS (SELECT sid, shard, least(block, n_words - (epoch * n_blocks + j) * block) AS take, x AS index FROM {_X}),
+placed AS (SELECT sid, shard, CASE WHEN rest = source_size THEN block ELSE least(block, rest - j * block) END AS take, CASE WHEN j < modulus THEN x ELSE j END AS index FROM {_X}),
 ordered AS (SELECT *, row_number() OVER w AS seq, CAST(sum(size) OVER (PARTITION BY source ORDER BY h % {BUCKETS}, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
   FROM sized WINDOW w AS (PARTITION BY source ORDER BY h % {BUCKETS}, h, doc_id, size)),
 pieces AS (SELECT *, greatest(start, index * block) - index * block AS at, least(start + size, (index + 1) * block) - greatest(start, index * block) AS n FROM

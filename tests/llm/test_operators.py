@@ -535,10 +535,27 @@ def test_mixing(edge, edge_rows, empty):
         assert math.isclose(r["target"], target[source]) and 0 <= r["taken"] <= 3 * r["size"]
         taken[source] += r["taken"]
     for s in total:
-        assert abs(taken[s] - target[s]) <= 3 * mixing.BLOCK
+        assert taken[s] == math.floor(target[s] + 0.5)
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """Sources of less than a block, of some blocks and of whole ones get just the words of their targets, in blocks of one length."""
+    sizes = {"a": 3, "b": 64, "c": 100, "d": 704, "e": 5000, "f": 0, None: 130}
+    rows = [(k * 10 + j, " ".join(["w"] * (n // 4 + (j < n % 4))), s) for k, (s, n) in enumerate(sizes.items()) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got_ = mixing.mix(df).collect()
+    taken, target = defaultdict(int), {}
+    for r in got_:
+        s = list(sizes)[r["doc_id"] // 10]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert r["source_size"] == sizes[s] and r["taken"] <= 3 * r["size"]
+    assert all(taken[s] == math.floor(target[s] + 0.5) for s in sizes)
+    blocks = mixing.mixed_blocks(df).where("words > 0").groupBy("sid", "shard", "slot").agg(F.sum("words").alias("n")).collect()
+    assert max(r["n"] for r in blocks) == mixing.BLOCK and sum(r["n"] == mixing.BLOCK for r in blocks) > 80
+
+
 def test_mixed_texts(spark):
     """Every slot's words are those of its documents, also where ids are null or repeated."""
     rows = [(None if k % 5 == 0 else k // 2, " ".join(f"w{k}x{j}" for j in range(100)), "ab"[k % 2]) for k in range(20)]
