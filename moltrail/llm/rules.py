@@ -5,6 +5,8 @@ windows. The verdict compares two histograms of a document, of character classes
 with those of its language over the whole table, by the Jensen-Shannon distance (0 to 1). Documents of
 fewer words than a guard aren't compared, as short histograms are far from any reference.
 
+Common words are learned: of each of the LANGUAGES commonest languages the EACH words that most of its documents hold.
+
 References: each document of enough words adds its histogram in millionths, so that long documents
 weigh no more than others and sums don't depend on their order. Every language has a reference: those of
 the KNOWN_LANGUAGES commonest go to the tasks, those of others are joined by language. A null or empty
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import chunks, cut_lineage, flat, is_space, lower_ascii, mix, span_hashes, table, words
 
@@ -34,17 +37,12 @@ MOST_REPEATED = 20  # per cent
 GUARD_CHARS = 30
 GUARD_COMMON = 60
 FAR_CHARS = 0.3
-FAR_COMMON = 0.33
+FAR_COMMON = 0.34
 KNOWN_LANGUAGES = 256
-CHUNK = 4 << 20
+CHUNK, ROWS = 4 << 20, 4096
 SYMBOLS = b"#*$%&|<>"
-#: Common words of the languages in the table.
-COMMON = {
-    "en": "the of and to in is that it for was on are as with they at be this have from by not but what all were when there can an".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux d'un cette".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque".split(),
-}
+#: Languages whose common words are taken, and how many of each.
+LANGUAGES, EACH = 32, 32
 
 
 def _classes() -> np.ndarray:
@@ -63,16 +61,17 @@ CLASSES = _classes()
 N_CLASSES = 47
 
 
-def _hash_words(said: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in said]
-    ends = np.cumsum([len(w) for w in raw])
-    return span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
+def hash_words(said: list[str]) -> np.ndarray:
+    """The hashes by which (lower-case) words are known."""
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in said]
+    return np.array([span_hashes(w, np.zeros(1, np.int64), np.array([len(w)]))[0] for w in raw], np.uint64)
 
 
-_listed = sorted({w for x in COMMON.values() for w in x})
-_order = np.argsort(_hash_words(_listed))
-COMMON_HASHES = _hash_words(_listed)[_order]
-N_COMMON = len(_listed) + 1
+def _parts(batches):
+    """Batches of bounded text and rows, as each row has a bin for each common word."""
+    for batch in chunks(batches, CHUNK):
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
 
 
 def _doc_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -95,8 +94,8 @@ def _per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def measure(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts and the two histograms of each document in a flat batch."""
+def measure(data: np.ndarray, ends: np.ndarray, common: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts and the two histograms of each document in a flat batch; common: sorted hashes of words."""
     starts, stops, bounds = words(data, ends)
     n_words = np.diff(bounds)
     out = {"n_words": n_words, "word_chars": _per_doc(~is_space(data) & ((data & 0xC0) != 0x80), ends), "n_symbols": _per_doc(CLASSES[data] == 34, ends)}
@@ -126,22 +125,48 @@ def measure(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         covered += np.bincount(first, minlength=len(covered)) - np.bincount(first + WINDOW, minlength=len(covered))
     out["n_repeat_words"] = _per_doc(np.cumsum(covered[:-1]) > 0, bounds)
 
-    return out | histograms(data, ends, starts, stops, bounds)
+    return out | histograms(data, ends, starts, stops, bounds, common)
 
 
-def histograms(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """Character classes and common words of each document, whose words are given."""
+def histograms(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> dict[str, np.ndarray]:
+    """Character classes and common words of each document, whose words are given; the last bin is of other words."""
     out = {"n_words": np.diff(bounds)}
     h = span_hashes(lower_ascii(data), starts, stops)
-    place = np.searchsorted(COMMON_HASHES, h) if len(h) else np.zeros(0, np.int64)
-    known = COMMON_HASHES[np.minimum(place, len(COMMON_HASHES) - 1)] == h
-    place = np.where(known, place, N_COMMON - 1)
-    classes = CLASSES[data]
+    place = np.searchsorted(common, h)
+    if len(common):
+        place = np.where(common[np.minimum(place, len(common) - 1)] == h, place, len(common))
+    classes, width = CLASSES[data], len(common) + 1
     out["chars"] = np.array([np.bincount(classes[a:b], minlength=N_CLASSES) for a, b in zip(ends[:-1], ends[1:])], np.int64).reshape(-1, N_CLASSES)
-    out["common"] = np.array([np.bincount(place[a:b], minlength=N_COMMON) for a, b in zip(bounds[:-1], bounds[1:])], np.int64).reshape(-1, N_COMMON)
+    out["common"] = np.array([np.bincount(place[a:b], minlength=width) for a, b in zip(bounds[:-1], bounds[1:])], np.int64).reshape(-1, width)
     return out
 
 
+def common_words(docs: DataFrame, languages: int = LANGUAGES, each: int = EACH) -> np.ndarray:
+    """Sorted hashes of the words that most documents of a language hold, each of the languages whose documents hold most words; at most
+    languages * each. A null language counts as the empty one. Tasks send the distinct words of a batch, which are summed before
+    they are shuffled."""
+
+    def run(batches):
+        for batch in chunks(batches, CHUNK):
+            data, ends = flat(batch.column("text"))
+            starts, stops, bounds = words(data, ends)
+            h = span_hashes(lower_ascii(data), starts, stops)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            _, once = np.unique(mix(h ^ mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)  # a word counts once a document
+            names, lang = np.unique(np.array([x or "" for x in batch.column("lang").to_pylist()], str), return_inverse=True)
+            h, lang = h[once], lang[doc[once]]
+            for k, name in enumerate(names.tolist()):
+                own, n = np.unique(h[lang == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["lang", "h", "n"])
+
+    counts = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts)
+    most = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "h"))
+    found = counts.where(F.col("lang").isin(most)).withColumn("rank", rank).where(F.col("rank") <= each).select("h").collect() if most else []
+    return np.unique(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+
+
 def _shares(h: np.ndarray) -> np.ndarray:
     return h / np.maximum(1, h.sum(axis=-1, keepdims=True))
 
@@ -156,22 +181,33 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 @dataclass
 class References:
-    """The two histograms' shares of common languages, and of all documents under None; the sums (lang, h) of other languages."""
+    """The two histograms' shares of common languages, and of all documents under None; the sums (lang, h) of other languages;
+    the hashes of common words."""
 
     common: dict[str | None, tuple[np.ndarray, np.ndarray]]
     names: list[str]
     rest: DataFrame | None
+    words: np.ndarray
 
 
 def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _shares(h[:N_CLASSES]), _shares(h[N_CLASSES:])
 
 
+def _summed(parts: DataFrame, width: range) -> DataFrame:
+    """lang, n and h, the bins' sums, of the histograms of parts: bins are rows while they are summed, as they may be a thousand."""
+    bins = parts.select("lang", "n", F.posexplode("h").alias("pos", "v")).groupBy("lang", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    rows = bins.groupBy("lang").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("h"))
+    return rows.select("lang", "n", F.transform("h", lambda b: b["v"]).alias("h"))
+
+
 def references(docs: DataFrame) -> References:
+    said = common_words(docs)
+
     def run(batches):
-        for batch in chunks(batches, CHUNK):
+        for batch in _parts(batches):
             data, ends = flat(batch.column("text"))
-            got = histograms(data, ends, *words(data, ends))
+            got = histograms(data, ends, *words(data, ends), said)
             every = np.concatenate([(1e6 * _shares(got["chars"])).astype(np.int64), (1e6 * _shares(got["common"])).astype(np.int64)], axis=1)
             every[got["n_words"] < GUARD_COMMON] = 0
             langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
@@ -179,34 +215,36 @@ def references(docs: DataFrame) -> References:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([int((langs == x).sum()) for x in names], pa.int64()), pa.array([every[langs == x].sum(axis=0) for x in names], pa.list_(pa.int64()))], ["lang", "n", "h"])
 
     parts = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, n long, h array<long>")
-    width = range(N_CLASSES + N_COMMON)
-    each = cut_lineage(parts.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("h")[k]) for k in width]).alias("h")))
+    width = range(N_CLASSES + len(said) + 1)
+    each = cut_lineage(_summed(parts, width))
     rows = each.orderBy(F.desc("n"), "lang").limit(KNOWN_LANGUAGES + 1).collect()
-    total = each.agg(*[F.coalesce(F.sum(F.col("h")[k]), F.lit(0)) for k in width]).first()
+    total = np.zeros(len(width))
+    for r in each.select(F.posexplode("h")).groupBy("pos").agg(F.sum("col").alias("v")).collect():  # one for each bin
+        total[r["pos"]] = r["v"]
     top = rows[:KNOWN_LANGUAGES]
     common = {r["lang"]: _halves(np.array(r["h"], float)) for r in top if r["lang"] and any(r["h"])}
     names = sorted({"", *(r["lang"] for r in top)})
     rest = each.where(~F.col("lang").isin(names) & F.exists("h", lambda x: x > 0)).select("lang", "h") if len(rows) > KNOWN_LANGUAGES else None
-    return References({**common, None: _halves(np.array(total, float))}, names, rest)
+    return References({**common, None: _halves(total)}, names, rest, said)
 
 
 def apply_rules(docs: DataFrame, known: References, far_chars: float = FAR_CHARS, far_common: float = FAR_COMMON) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the distances far_chars and far_common (null below the guards, and where
     there is no reference)."""
-    common = known.common
+    common, said = known.common, known.words
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        for batch in chunks(batches, CHUNK):
+        for batch in _parts(batches):
             data, ends = flat(batch.column("text"))
-            got = measure(data, ends)
+            got = measure(data, ends, said)
             n = got["n_words"]
             failed = (n < LEAST_WORDS) | (100 * got["n_repeat_words"] > MOST_REPEATED * n)
             own = zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist())
             refs = [common.get(x, common[None]) if h is None else _halves(np.array(h, float)) for x, h in own]
-            chars, said = np.array([r[0] for r in refs]).reshape(-1, N_CLASSES), np.array([r[1] for r in refs]).reshape(-1, N_COMMON)
-            a, b = distance(_shares(got["chars"]), chars), distance(_shares(got["common"]), said)
-            use_a, use_b = (n >= GUARD_CHARS) & chars.any(axis=1), (n >= GUARD_COMMON) & said.any(axis=1)
+            chars, spoken = np.array([r[0] for r in refs]).reshape(-1, N_CLASSES), np.array([r[1] for r in refs]).reshape(-1, len(said) + 1)
+            a, b = distance(_shares(got["chars"]), chars), distance(_shares(got["common"]), spoken)
+            use_a, use_b = (n >= GUARD_CHARS) & chars.any(axis=1), (n >= GUARD_COMMON) & spoken.any(axis=1)
             off = (use_a & (a > far_chars)) | (use_b & (b > far_common))
             arrays = [batch.column("doc_id"), *[pa.array(got[k].astype(np.int64)) for k in counts], pa.array(failed), pa.array(~failed & ~off)]
             arrays += [pa.array(a, mask=~use_a), pa.array(b, mask=~use_b)]

@@ -749,6 +749,9 @@ def test_lm_does_not_depend_on_partitions(spark):
 # --- 9
 
 
+COMMON = {"en": "the of and to in is that it for was on are as".split(), "de": "der die und in den von zu das mit sich".split(), "xx": "ba ko lu mi".split(), "fr": "de la le et les des en un du".split()}
+
+
 def brute_rules(t):
     t = t or ""
     w = WORD.findall(t)
@@ -780,7 +783,11 @@ def test_rules(spark, edge, edge_rows, empty):
 def brute_kept(rows):
     """The whole verdict of (text, lang) rows in plain Python: references, distances, guards."""
     bins, shares = [], lambda c: {k: v / max(1, sum(c.values())) for k, v in c.items()}
-    listed = {w for x in rules.COMMON.values() for w in x}
+    held = defaultdict(Counter)
+    for t, lang in rows:
+        held[lang or ""].update({lower(w) for w in WORD.findall(t or "")})
+    key = lambda w: int(rules.hash_words([w]).view(np.int64)[0])
+    listed = {w for c in held.values() for w in sorted(c, key=lambda w: (-c[w], key(w)))[: rules.EACH]}
     for t, _ in rows:
         words = [lower(w) for w in WORD.findall(t or "")]
         bins.append((shares(Counter(int(rules.CLASSES[b]) for b in (t or "").encode())), shares(Counter(w if w in listed else "" for w in words)), len(words)))
@@ -811,7 +818,7 @@ def test_kept_against_brute_force(spark):
     rows = []
     for k in range(240):
         lang = rng.choice(["en", "de", "xx", "", None])
-        said = rules.COMMON.get(lang, rules.COMMON["fr"]) if rng.random() < 0.7 else ["Qx", "0101", "###", "ÀÀ", "zz"]
+        said = COMMON.get(lang, COMMON["fr"]) if rng.random() < 0.7 else ["Qx", "0101", "###", "ÀÀ", "zz"]
         word = lambda: rng.choice(said) if rng.random() < 0.6 else "".join(rng.choice("abcdefgé7-") for _ in range(rng.randint(1, 8)))
         rows.append((" ".join(word() for _ in range(rng.choice([5, 20, 40, 70, 150]))), lang))
     rows += [(None, "en"), ("", None)]
@@ -831,12 +838,26 @@ def test_references_of_all_documents_and_languages(spark, monkeypatch):
     monkeypatch.setattr(rules, "KNOWN_LANGUAGES", 1)
     known = rules.references(df)
     assert sorted(r["lang"] for r in known.rest.collect()) == ["aa", "bb", "cc"] and known.names == [""]
-    chars = sum(rules.measure(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))["chars"][0] / len(t) for _, t, _ in rows)
+    chars = sum(rules.measure(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), known.words)["chars"][0] / len(t) for _, t, _ in rows)
     assert np.abs(known.common[None][0] - chars / chars.sum()).max() < 1e-5
     assert Counter(got(rules.apply_rules(df, known))) == Counter(map(tuple, whole))
     assert all(r["kept"] and r["far_chars"] < 0.2 for r in whole if r["doc_id"] < 99 and rows[r["doc_id"]][2])
 
 
+def test_common_words_of_a_fifth_language(spark):
+    """Words of any language are learned, and a document of another language, or of its words shuffled away, stands out."""
+    rng = random.Random(8)
+    every = {"q1": ["xalo", "brin", "te", "uk", "mosh"], "q2": ["ptar", "ol", "ged", "nu", "ssi"], "q3": ["wex", "yib", "zoa", "cli", "vum"]}
+    rare = lambda: "".join(rng.choice("aeioulnrtbg") for _ in range(7))
+    text = lambda lang, n=90: " ".join(rng.choice(every[lang]) if rng.random() < 0.6 else rare() for _ in range(n))
+    rows = [(k, text(lang), lang) for k, lang in enumerate(["q1", "q2", "q3"] * 30)] + [(100, " ".join(rare() for _ in range(90)), "q1"), (101, text("q2"), "q1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = rules.references(df)
+    assert set(rules.hash_words([w for x in every.values() for w in x])) <= set(known.words) and len(known.words) <= 3 * rules.EACH
+    kept = {r["doc_id"]: r["kept"] for r in rules.apply_rules(df, known).collect()}
+    assert not kept[100] and not kept[101] and all(kept[k] for k in range(90))
+
+
 def test_references_may_be_missing(spark):
     prose = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
     for lang, t in ((None, prose), ("", prose), ("en", " ".join(prose.split()[:45]))):
