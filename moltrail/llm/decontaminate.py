@@ -20,6 +20,7 @@ tables give no rows. A match is one row for each document and item.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, table
+from .common import chunks, cut_lineage, flat, table
 
 Q = 8
 WINDOW = 80
@@ -304,22 +305,25 @@ class Items:
             yield known
 
 
-def passes(benchmark: DataFrame) -> list[Items]:
-    """The benchmark in parts of about PASS_BYTES, each gathered by itself."""
+def passes(benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in parts of about PASS_BYTES, one at a time on the driver, and whether there are several."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // PASS_BYTES))
     part = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-    return [Items([(r["item_id"], r["text"]) for r in part(b).orderBy("item_id", "text").collect()]) for b in range(n)]
+    for b in range(n):
+        yield Items([(r["item_id"], r["text"]) for r in part(b).orderBy("item_id", "text").collect()]), n > 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_chars and matched_chars (normalised), edits (most in a window), start and end (code points
-    of the document's text, from the first to the last matched window)."""
-    parts = [_matches(docs, items) for items in passes(benchmark)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    of the document's text, from the first to the last matched window). Where the benchmark has several parts, the matches of each are
+    written before the next is gathered, so that the driver never holds more than one."""
+    out = None
+    for items, several in passes(benchmark):
+        found = _matches(docs, items)
+        found = cut_lineage(found) if several else found
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -343,7 +347,7 @@ def _matches(docs: DataFrame, items: Items) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item of the benchmark leaks, as they are."""
-    for items in passes(benchmark):
+    for items, several in passes(benchmark):
 
         def run(batches, items=items):
             for batch in chunks(batches, CHUNK):
@@ -354,6 +358,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = cut_lineage(docs) if several else docs  # the next part is gathered when this one is done with
     return docs
 
 

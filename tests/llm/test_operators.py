@@ -438,6 +438,9 @@ def test_decontaminate(spark, edge, edge_rows, empty, monkeypatch):
     assert whole["start"] == 0 and whole["end"] == len(passage) and whole["edits"] == 0 and whole["matched_chars"] == whole["item_chars"]
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)  # blocks give the same
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(edge, items).collect()} == want
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 300)  # and so do parts, one of which is gathered at a time
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(edge, items).collect()} == want
+    assert len(list(decontaminate.passes(items))) > 2
     kept = decontaminate.without_leaks(edge, items)
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_ in edge_rows if i not in (8, 9))
     assert got(decontaminate.matches(empty, items)) == [] and decontaminate.without_leaks(empty, items).count() == 0
