@@ -160,6 +160,13 @@ def dihedral_pca(angles: DataFrame, frame: str, tuple_id: str, angle: str, ids:
     return pca(rows, [c for c in rows.columns if c != frame], k)
 
 
+def wide_dihedral_pca(angles: DataFrame, frame: str, tuple_id: str, angle: str, k: int) -> tuple[DataFrame, list[float]]:
+    """P6 for any number of angles: each stands in long form by its cosine and its sine."""
+    both = F.explode(F.array(*[F.struct(F.struct(F.col(tuple_id).alias("tuple"), F.lit(name).alias("part")).alias("feature"), f(F.col(angle)).alias("value")) for name, f in (("cos", F.cos), ("sin", F.sin))])).alias("_c")
+    found = wide_components(angles.select(frame, both).select(frame, "_c.*"), frame, "feature", "value", k)
+    return found.projections, found.shares
+
+
 def most_important(df: DataFrame, columns: list[str], label: str, k: int, **parameters) -> list[str]:
     """Columns whose importance is over the (k + 1)-th; all if there are no more than k."""
     v = importances(df, columns, label, **parameters)

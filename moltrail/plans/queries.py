@@ -157,10 +157,13 @@ def angle_series(spark, d):
     return rounded(A.angles(trajectory(spark, d), atom_tuples(spark, d, 3), ["frame"], "atom"), "angle")
 
 
-@query(f"""WITH {TRAJECTORY}, t AS (SELECT a.frame, a.atom // 4 AS tuple_id, b.x-a.x AS px, b.y-a.y AS py, b.z-a.z AS pz, c.x-b.x AS qx, c.y-b.y AS qy, c.z-b.z AS qz, d.x-c.x AS rx, d.y-c.y AS ry, d.z-c.z AS rz
+DIHEDRALS = f"""{TRAJECTORY}, t AS (SELECT a.frame, a.atom // 4 AS tuple_id, b.x-a.x AS px, b.y-a.y AS py, b.z-a.z AS pz, c.x-b.x AS qx, c.y-b.y AS qy, c.z-b.z AS qz, d.x-c.x AS rx, d.y-c.y AS ry, d.z-c.z AS rz
   FROM trj a JOIN trj b ON a.frame = b.frame AND a.atom % 4 = 0 AND b.atom = a.atom + 1 JOIN trj c ON c.frame = a.frame AND c.atom = a.atom + 2 JOIN trj d ON d.frame = a.frame AND d.atom = a.atom + 3),
- n AS (SELECT *, py*qz-pz*qy AS mx, pz*qx-px*qz AS my, px*qy-py*qx AS mz, qy*rz-qz*ry AS nx, qz*rx-qx*rz AS ny, qx*ry-qy*rx AS nz FROM t)
- SELECT frame, tuple_id, round(degrees(atan2(sqrt(qx*qx+qy*qy+qz*qz) * (px*nx+py*ny+pz*nz), mx*nx+my*ny+mz*nz)), 5) + 0.0 AS angle FROM n""")
+ n AS (SELECT *, py*qz-pz*qy AS mx, pz*qx-px*qz AS my, px*qy-py*qx AS mz, qy*rz-qz*ry AS nx, qz*rx-qx*rz AS ny, qx*ry-qy*rx AS nz FROM t),
+ dh AS (SELECT frame, tuple_id, atan2(sqrt(qx*qx+qy*qy+qz*qz) * (px*nx+py*ny+pz*nz), mx*nx+my*ny+mz*nz) AS angle FROM n)"""
+
+
+@query(f"WITH {DIHEDRALS} SELECT frame, tuple_id, round(degrees(angle), 5) + 0.0 AS angle FROM dh")
 def dihedral_series(spark, d):
     rows = A.angles(trajectory(spark, d), atom_tuples(spark, d, 4), ["frame"], "atom")
     return rounded(rows.withColumn("angle", F.degrees("angle")), "angle", digits=5)
@@ -584,10 +587,14 @@ _S = "sxx + syy + szz + u, syz - szy, szx - sxz, sxy - syx; syz - szy, sxx - syy
 _R = "v[1]*v[1]+v[2]*v[2]-v[3]*v[3]-v[4]*v[4], 2*(v[2]*v[3]-v[1]*v[4]), 2*(v[2]*v[4]+v[1]*v[3]); 2*(v[2]*v[3]+v[1]*v[4]), v[1]*v[1]-v[2]*v[2]+v[3]*v[3]-v[4]*v[4], 2*(v[3]*v[4]-v[1]*v[2]); 2*(v[2]*v[4]-v[1]*v[3]), 2*(v[3]*v[4]+v[1]*v[2]), v[1]*v[1]-v[2]*v[2]-v[3]*v[3]+v[4]*v[4]"
 
 
-@query(f"""WITH RECURSIVE {TRAJECTORY}, fit AS (SELECT t.frame, avg(t.x) AS mx, avg(t.y) AS my, avg(t.z) AS mz, avg(r.x) AS rx, avg(r.y) AS ry, avg(r.z) AS rz, {", ".join(f"covar_pop(t.{p}, r.{q}) AS s{p}{q}" for p in "xyz" for q in "xyz")} FROM trj t JOIN trj r ON r.frame = 0 AND r.atom = t.atom GROUP BY t.frame),
+#: Frames moved onto the first: mv has their coordinates.
+SUPERPOSED = f"""{TRAJECTORY}, fit AS (SELECT t.frame, avg(t.x) AS mx, avg(t.y) AS my, avg(t.z) AS mz, avg(r.x) AS rx, avg(r.y) AS ry, avg(r.z) AS rz, {", ".join(f"covar_pop(t.{p}, r.{q}) AS s{p}{q}" for p in "xyz" for q in "xyz")} FROM trj t JOIN trj r ON r.frame = 0 AND r.atom = t.atom GROUP BY t.frame),
  up AS (SELECT *, sqrt(3.0 * ({" + ".join(f"s{p}{q} * s{p}{q}" for p in "xyz" for q in "xyz")})) AS u FROM fit), mat AS (SELECT frame, [{", ".join(f"[{r}]" for r in _S.split("; "))}] AS m FROM up), {leading_sql("qt", "mat", 4)},
- rot AS (SELECT frame, [{", ".join(f"[{r}]" for r in _R.split("; "))}] AS r FROM qt)
- SELECT t.frame, atom, {", ".join(f"round(r[{k}][1] * (x - mx) + r[{k}][2] * (y - my) + r[{k}][3] * (z - mz) + r{c}, 6) + 0.0 AS {c}" for k, c in enumerate("xyz", 1))} FROM trj t JOIN fit USING (frame) JOIN rot USING (frame)""")
+ rot AS (SELECT frame, [{", ".join(f"[{r}]" for r in _R.split("; "))}] AS r FROM qt),
+ mv AS (SELECT t.frame, atom, {", ".join(f"r[{k}][1] * (x - mx) + r[{k}][2] * (y - my) + r[{k}][3] * (z - mz) + r{c} AS {c}" for k, c in enumerate("xyz", 1))} FROM trj t JOIN fit USING (frame) JOIN rot USING (frame))"""
+
+
+@query(f"WITH RECURSIVE {SUPERPOSED} SELECT frame, atom, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM mv")
 def superpose(spark, d):
     t = trajectory(spark, d)
     moved = A.superposed(t, t.where("frame = 0").select("atom", "x", "y", "z"), ["frame"], "atom")

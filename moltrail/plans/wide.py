@@ -14,7 +14,9 @@ from ..operators import series as S
 from ..operators.ranges import shared_folder
 from ..sources import files
 from ..sources import sinks as K
-from .queries import FEATURES, POINTS, TRAJECTORY, deflated_sql, lineitem, points, query, rounded, table, trajectory
+from ..functions import geometry as G
+from ..operators import structure as A
+from .queries import DIHEDRALS, FEATURES, POINTS, SUPERPOSED, TRAJECTORY, atom_tuples, deflated_sql, lineitem, points, query, rounded, table, trajectory
 
 DISTANCE = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 
@@ -23,17 +25,57 @@ DISTANCE = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 FRAMES = 12
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT (l_suppkey % {FRAMES})::INT AS f, l_partkey * 7 + l_linenumber AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
- g AS (SELECT a.f AS i, b.f AS j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.c = b.c GROUP BY 1, 2),
- k AS (SELECT unnest(range({FRAMES}))::INT AS i), sq AS (SELECT k.i, l.i AS j, coalesce(v, 0) AS v FROM k CROSS JOIN k l LEFT JOIN g ON g.i = k.i AND g.j = l.i),
+def shares_sql(n: int) -> str:
+    """Of g (i, j, v), the products of n frames' rows with each other, the shares of the first three components: centring the
+    frames centres the products in both directions."""
+    return f"""k AS (SELECT unnest(range({n}))::INT AS i), sq AS (SELECT k.i, l.i AS j, coalesce(v, 0) AS v FROM k CROSS JOIN k l LEFT JOIN g ON g.i = k.i AND g.j = l.i),
  ce AS (SELECT i, j, v - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j) + avg(v) OVER () AS v FROM sq),
- mat1 AS (SELECT 0 AS frame, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM ce GROUP BY i)), {deflated_sql(3, n=FRAMES)}, tr AS (SELECT sum(v) AS t FROM ce WHERE i = j)
- SELECT component, round(ev / t, 6) + 0.0 AS share FROM (SELECT 0 AS component, ev FROM ev1 UNION ALL SELECT 1, ev FROM ev2 UNION ALL SELECT 2, ev FROM ev3), tr""")
+ cen1 AS (SELECT 0 AS frame, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM ce GROUP BY i)), {deflated_sql(3, "cen", n)}, tr AS (SELECT sum(v) AS t FROM ce WHERE i = j)
+ SELECT component, round(ev / t, 6) + 0.0 AS share FROM (SELECT 0 AS component, ev FROM ev1 UNION ALL SELECT 1, ev FROM ev2 UNION ALL SELECT 2, ev FROM ev3), tr"""
+
+
+def shares_table(spark, shares):
+    return rounded(spark.createDataFrame(list(enumerate(shares)), "component int, share double"), "share")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT (l_suppkey % {FRAMES})::INT AS f, l_partkey * 7 + l_linenumber AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+ g AS (SELECT a.f AS i, b.f AS j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.c = b.c GROUP BY 1, 2), {shares_sql(FRAMES)}""")
 def contact_components(spark, d):
     """P5: shares of the first components of a contact map of as many columns as there are parts and line numbers."""
     rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % FRAMES).alias("frame"), (F.col("l_partkey") * 7 + F.col("l_linenumber")).alias("contact"), "l_quantity")
     found = W.wide_components(rows, "frame", "contact", "l_quantity", 3)
-    return rounded(spark.createDataFrame(list(enumerate(found.shares)), "component int, share double"), "share")
+    return shares_table(spark, found.shares)
+
+
+#: So few frames that their components are exact.
+FEW = 10
+
+
+@query(f"WITH RECURSIVE {SUPERPOSED}, g AS (SELECT a.frame::INT AS i, b.frame::INT AS j, sum(a.x * b.x + a.y * b.y + a.z * b.z) AS v FROM mv a JOIN mv b ON a.atom = b.atom AND a.frame < {FEW} AND b.frame < {FEW} GROUP BY 1, 2), {shares_sql(FEW)}")
+def xyz_components(spark, d):
+    """Frames moved onto the first, then components of all coordinates."""
+    t = trajectory(spark, d).where(F.col("frame") < FEW)
+    return shares_table(spark, L.xyz_pca(t, t.where("frame = 0").select("atom", "x", "y", "z"), "frame", "atom", 3)[1])
+
+
+@query(f"WITH RECURSIVE {DIHEDRALS}, g AS (SELECT a.frame::INT AS i, b.frame::INT AS j, sum(cos(a.angle) * cos(b.angle) + sin(a.angle) * sin(b.angle)) AS v FROM dh a JOIN dh b ON a.tuple_id = b.tuple_id AND a.frame < {FEW} AND b.frame < {FEW} GROUP BY 1, 2), {shares_sql(FEW)}")
+def dihedral_components(spark, d):
+    """Components of the cosines and sines of all dihedrals."""
+    angles = A.angles(trajectory(spark, d).where(F.col("frame") < FEW), atom_tuples(spark, d, 4), ["frame"], "atom")
+    return shares_table(spark, L.wide_dihedral_pca(angles, "frame", "tuple_id", "angle", 3)[1])
+
+
+_AB = "(a.x*b.x+a.y*b.y+a.z*b.z) / (sqrt(a.x*a.x+a.y*a.y+a.z*a.z) * sqrt(b.x*b.x+b.y*b.y+b.z*b.z))"
+
+
+@query(f"WITH {POINTS} SELECT a.id, round(a.x / sqrt(a.x*a.x+a.y*a.y+a.z*a.z), 6) + 0.0 AS ux, round(a.y / sqrt(a.x*a.x+a.y*a.y+a.z*a.z), 6) + 0.0 AS uy, round(acos(greatest(-1.0, least(1.0, {_AB}))), 6) + 0.0 AS next, round(acos(greatest(-1.0, least(1.0, (a.x*a.x+a.y*a.y+a.z*a.z) / (sqrt(a.x*a.x+a.y*a.y+a.z*a.z) * sqrt(a.x*a.x+a.y*a.y+a.z*a.z))))), 6) + 0.0 AS self FROM pts a JOIN pts b ON b.id = a.id + 1")
+def vector_angles(spark, d):
+    """M8: unit vectors, angles between vectors, and that of a vector with itself, whose cosine may come out over 1."""
+    p = points(spark, d)
+    rows = p.join(p.select((F.col("id") - 1).alias("id"), *[F.col(c).alias(f"b{c}") for c in "xyz"]), "id")
+    a, b = G.vector(), G.vector("b")
+    u = G.unit(a)
+    return rounded(rows.select("id", u[0].alias("ux"), u[1].alias("uy"), G.angle_between(a, b).alias("next"), G.angle_between(a, a).alias("self")), "ux", "uy", "next", "self")
 
 
 # --- pairs

@@ -242,3 +242,26 @@ def test_bilayer_without_protein(spark):
 def test_times_of_rows(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "v double")
     assert sorted((r["v"], r["frame"], r["time"]) for r in S.timed(df, "v", 0.5).collect()) == [(1.0, 0, 0.0), (2.0, 1, 0.5), (3.0, 2, 1.0)]
+
+
+def test_cleaning_chain(spark):
+    """P10 against plain Python: zero columns, scaling, importances, decorrelation, components."""
+    rng = np.random.default_rng(15)
+    n, names = 160, ["z", "a", "b", "c", "d", "e", "f"]
+    x = rng.standard_normal((n, 7))
+    x[:, 0] = 0
+    x[:, 2] = x[:, 1] + 0.05 * rng.standard_normal(n)
+    y = (x[:, 1] + 0.5 * x[:, 4] > 0).astype(int)
+    df = spark.createDataFrame([(int(c), *map(float, r)) for c, r in zip(y, x)], "label int, " + ", ".join(f"{c} double" for c in names)).repartition(3)
+    out, parts, shares = L.clean(df, names, "label", keep=4, limit=0.85, k=2, trees=5, depth=4, seed=1)
+    s = (x[:, 1:] - x[:, 1:].mean(axis=0)) / np.ptp(x[:, 1:], axis=0)
+    importance = brute_importances([(int(c), list(map(float, r))) for c, r in zip(y, s)], 6, 5, 4, 1)
+    limit = sorted(importance, reverse=True)[4]
+    chosen = [k for k in range(6) if importance[k] > limit]
+    r = np.corrcoef(s[:, chosen].T)
+    left = [k for i, k in enumerate(chosen) if not any(abs(r[i, j]) > 0.85 for j in range(i + 1, len(chosen)))]
+    assert 0 not in left and 1 in left  # a goes for b
+    scores, _, want = exact(s[:, left], 2)
+    assert np.allclose(shares, want) and len(parts[0]) == len(left)
+    by = {round(v, 9): (p, q) for v, p, q in zip(s[:, 3], scores[:, 0], scores[:, 1])}
+    assert all(np.allclose(np.abs(by[round(t["d"], 9)]), np.abs((t["PC_0"], t["PC_1"]))) for t in out.collect())
