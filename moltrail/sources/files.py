@@ -23,21 +23,22 @@ def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
 TABLE_SPLIT = 1 << 20
 
 
+def _place() -> Column:
+    """Grows along a file: the MB where the line's split starts, then the row."""
+    return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """file, split, line_no, text: lines that hang on each other; split orders the splits of a file, and line_no, from 1, its lines. Carriage
-    returns go. Of a table its line_no are taken, and ranges of them are its splits."""
+    """file, split, line_no, text: lines that hang on each other; split orders the splits of a file, and line_no its lines, as in
+    loose_lines(). Carriage returns go. Of a table its line_no are taken, and ranges of them are its splits."""
     if isinstance(path, DataFrame):
         return path.select("file", F.floor(F.col("line_no") / TABLE_SPLIT).alias("split"), "line_no", "text")
-    rows = spark.read.text(path).select(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("file", "split").orderBy("at"))).drop("at")
-    sizes = spark.read.text(path).groupBy(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("split")).agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sizes.select("file", "split", before.alias("before")), ["file", "split"]).select("file", "split", (F.col("before") + F.col("n")).alias("line_no"), "text")
+    return spark.read.text(path).select(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("split"), _place().alias("line_no"), F.regexp_replace("value", "\r", "").alias("text"))
 
 
 def carried(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """For each name the last value that isn't null among a line and those before it in its file. The last of each split go, a row for
-    each split, to the splits behind."""
+    """For each name the last value that isn't null among a line and those before it in its file. The last of each split, found without
+    moving lines, go to the splits behind, a row for each split; the lines themselves are shuffled once, by split."""
     own = W.partitionBy("file", "split").orderBy("line_no")
     ends = rows.groupBy("file", "split").agg(*[F.max_by(c, F.when(c.isNotNull(), F.col("line_no"))).alias(f"_e_{n}") for n, c in values.items()])
     earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
@@ -63,8 +64,7 @@ def loose_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """file, line_no, text line by line; line_no grows along a file: the MB where the split starts, then the row."""
     if isinstance(path, DataFrame):
         return path
-    place = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return spark.read.text(path).select(F.col(FILE).alias("file"), place.alias("line_no"), F.regexp_replace("value", "\r", "").alias("text"))
+    return spark.read.text(path).select(F.col(FILE).alias("file"), _place().alias("line_no"), F.regexp_replace("value", "\r", "").alias("text"))
 
 
 def records(spark: SparkSession, path: str | DataFrame, separator: str, wanted: Column) -> DataFrame:
@@ -73,8 +73,7 @@ def records(spark: SparkSession, path: str | DataFrame, separator: str, wanted:
     if isinstance(path, DataFrame):
         rows = path.where(wanted)
     else:
-        place = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        rows = spark.read.text(path, lineSep=separator).select(F.col(FILE).alias("file"), place.alias("place"), "value").where(wanted)
+        rows = spark.read.text(path, lineSep=separator).select(F.col(FILE).alias("file"), _place().alias("place"), "value").where(wanted)
     numbers = rows.select("file", "place").withColumn("rec_no", F.row_number().over(W.partitionBy("file").orderBy("place")) - 1)
     return rows.join(numbers, ["file", "place"]).select("file", "rec_no", "value")
 
@@ -180,8 +179,8 @@ def read_groups(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 def read_charges(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """res_name, atom_name, charge of [ atoms ]; the first of equal keys counts."""
     f = fields("text")
-    rows = read_sections(spark, path).where("section = 'atoms'").select("file", "line_no", F.get(f, F.lit(3)).alias("res_name"), F.get(f, F.lit(4)).alias("atom_name"), F.get(f, F.lit(6)).try_cast("double").alias("charge"))
-    return rows.groupBy("file", "res_name", "atom_name").agg(F.min_by("charge", "line_no").alias("charge"))
+    rows = _sections(spark, path).where("section = 'atoms'").select("file", "split", "line_no", F.get(f, F.lit(3)).alias("res_name"), F.get(f, F.lit(4)).alias("atom_name"), F.get(f, F.lit(6)).try_cast("double").alias("charge"))
+    return rows.groupBy("file", "res_name", "atom_name").agg(F.min_by("charge", F.struct("split", "line_no")).alias("charge"))
 
 
 def read_series(spark: SparkSession, path: str | DataFrame, columns: list[int], names: list[str]) -> DataFrame:
@@ -278,7 +277,7 @@ def read_fasta(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     head = F.col("text").startswith(">")
     rows = counted(lines(spark, path), "record", head).withColumn("record", F.col("record") + head.cast("int"))
     name = F.max(F.when(head, F.expr("substr(text, 2)")))
-    parts = F.collect_list(F.when(~head, F.struct("line_no", F.regexp_replace("text", r"\s", "").alias("s"))))
+    parts = F.collect_list(F.when(~head, F.struct("split", "line_no", F.regexp_replace("text", r"\s", "").alias("s"))))
     return rows.groupBy("file", "record").agg(name.alias("name"), F.array_join(F.transform(F.array_sort(parts), lambda p: p["s"]), "").alias("sequence"))
 
 
@@ -325,8 +324,10 @@ def read_frame_matrices(spark: SparkSession, path: str | DataFrame) -> DataFrame
 def read_properties(spark: SparkSession, path: str | DataFrame, ids: DataFrame, key: str, column: str | int) -> DataFrame:
     """A column of a CSV, by name or place, for each id; the last match counts."""
     rows = lines(spark, path)
-    heads = rows.groupBy("file").agg(F.split(F.min_by("text", "line_no"), ",").alias("head"), F.min("line_no").alias("first"))
+    at = F.struct("split", "line_no")
+    rows = rows.withColumn("at", at)
+    heads = rows.groupBy("file").agg(F.split(F.min_by("text", "at"), ",").alias("head"), F.min("at").alias("first"))
     cells = F.split("text", ",")
-    at = F.lit(column) if isinstance(column, int) else F.array_position(F.transform("head", lambda x: F.trim(x)), column).cast("int") - 1
-    rows = rows.join(heads, "file").where("line_no > first AND text <> ''").select("line_no", F.trim(cells[0]).alias(key), F.trim(F.get(cells, at)).alias("value"))
-    return ids.select(key).join(rows.groupBy(key).agg(F.max_by("value", "line_no").alias("value")), key)
+    cell = F.lit(column) if isinstance(column, int) else F.array_position(F.transform("head", lambda x: F.trim(x)), column).cast("int") - 1
+    rows = rows.join(heads, "file").where("at > first AND text <> ''").select("at", F.trim(cells[0]).alias(key), F.trim(F.get(cells, cell)).alias("value"))
+    return ids.select(key).join(rows.groupBy(key).agg(F.max_by("value", "at").alias("value")), key)
