@@ -349,9 +349,9 @@ def matrix_average(spark, d):
 
 
 @query(f"""WITH {MTX}, {DOMAIN}, p AS (SELECT a.name AS a, b.name AS b, avg(value) AS value FROM mtx JOIN res a ON a.residue = row JOIN res b ON b.residue = col GROUP BY 1, 2)
- SELECT x.name AS a, y.name AS b, round(p.value, 6) + 0.0 AS value FROM (SELECT DISTINCT name FROM dom) x CROSS JOIN (SELECT DISTINCT name FROM dom) y LEFT JOIN p ON p.a = x.name AND p.b = y.name""")
+ SELECT x.name AS a, y.name AS b, round(p.value, 10) + 0.0 AS value FROM (SELECT DISTINCT name FROM dom) x CROSS JOIN (SELECT DISTINCT name FROM dom) y LEFT JOIN p ON p.a = x.name AND p.b = y.name""")
 def domain_average(spark, d):
-    return rounded(M.domain_average(matrices(spark, d)[0], domain_table(spark)), "value")
+    return rounded(M.domain_average(matrices(spark, d)[0], domain_table(spark)), "value", digits=10)  # averages of 16 end in a half at 7
 
 
 @query(f"WITH {MTX}, j AS (SELECT a.value - b.value AS d FROM mtx a JOIN mty b USING (row, col)) SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) + 0.0 AS t, count(d) - 1 AS df FROM j")
