@@ -44,7 +44,7 @@ FORMS = 1 + SHORT + LONG + len(ODD)
 #: Words with own weights, and their classes.
 TOP, TOP_CLASSES = 1024, 24
 CLASSES = TOP_CLASSES + FORMS
-STATE = 32
+STATE = 16
 WINDOW, SCORED = 32, 128  # steps read at a time
 ROUNDS = 2
 #: Bytes of a shard; of less text than SHARDS of them a shard has less, but SMALL_BYTES.
