@@ -104,6 +104,7 @@ def wide_components(rows: DataFrame, row: str, feature: str, value: str, k: int,
     signs = [F.when(F.shiftright("_h", j).bitwiseAND(F.lit(1)) == 1, F.col("_v")).otherwise(-F.col("_v")) for j in range(width)]
     block = by_row(signed.groupBy(row).agg(*[F.sum(s).alias(c) for s, c in zip(signs, _names(width))]), width)
     q, width = _orthonormal(block, row, width, True)
+    rounds = 0 if n <= min(64, k + over) else rounds  # so few rows are spanned at once
     for last in [False] * rounds + [True]:
         if not width:
             break
