@@ -120,3 +120,57 @@ def test_articles_of_the_tables(spark):
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         parts = [" ".join(unescape(re.sub("</?b>", "", p).replace("<br>", " ")).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
+
+
+def brute_articles(articles):
+    """Of (host, text) distinct articles the texts without blocks that windows of half of the host's articles cover by half;
+    articles that these cover by half as a whole stay."""
+    out = {}
+    hosts = defaultdict(list)
+    for host, text in articles:
+        hosts[host].append([block.split(" ") for block in text.split("\n\n")])
+    for host, texts in hosts.items():
+        streams = [[x for block in text for x in ("|", *block)] + ["|"] for text in texts]
+        seen = Counter(w for s in streams for w in {tuple(s[i : i + LONG]) for i in range(len(s) - LONG + 1)})
+        for text, s in zip(texts, streams):
+            hit = {j for i in range(len(s) - LONG + 1) if (n := seen[tuple(s[i : i + LONG])]) >= PAGES and 2 * n >= len(texts) for j in range(i, i + LONG)}
+            at, kept, n_hit = 0, [], 0
+            for block in text:
+                own = sum(at + 1 + k in hit for k in range(len(block)))
+                n_hit += own
+                at += 1 + len(block)
+                if 2 * own < len(block):
+                    kept.append(" ".join(block))
+            whole = "\n\n".join(" ".join(block) for block in text)
+            out[host, whole] = whole if 2 * n_hit >= sum(map(len, text)) else "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 4000])
+def test_articles_go_through_the_hosts_suffix_array(spark, shard_bytes):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + rng.choice("xyz") * rng.randint(0, 3) for _ in range(n))
+    rows, notice, quote, rare = [], say(14), say(20), say(16)
+    for host, n in (("big.example", 60), ("mid.example", 9), ("few.example", 2)):
+        for k in range(n):
+            own = [say(rng.randint(20, 60)) for _ in range(2)] + [notice] * (k % 3 > 0) + [quote] * (k % 5 == 0) + [rare] * (k % 2)
+            rows.append((len(rows), f"https://{host}/{k}", "<nav>menu</nav><article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>"))
+    story = say(80)
+    rows += [(len(rows) + k, f"http://copies.example/{k}", f"<article><p>{story}<p>{say(10)}</article>") for k in range(8)]  # near copies, whole
+    cut = {i: (host_of(url), cut_up(html)[0]) for i, url, html in rows}
+    want = brute_articles(set(cut.values()))
+    got = {r["page_id"]: r["text"] for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_bytes=shard_bytes).collect()}
+    assert got == {i: want[key] for i, key in cut.items()}
+    for i, (host, text) in cut.items():
+        if host in ("big.example", "mid.example"):
+            assert notice not in got[i] and (quote in got[i]) == (quote in text)
+        else:
+            assert got[i] == text
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 4000])
+def test_many_copies(spark, shard_bytes):
+    page = lambda x: f"<article><p>{x}</p></article>"
+    rows = [(k, f"http://a.example/{k}", page("same words again")) for k in range(900)] + [(1000 + k, f"http://a.example/{k}", page(f"own words {k}")) for k in range(50)] + [(2000, None, page("alone"))] * 600
+    got = Counter(tuple(r) for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_bytes=shard_bytes).collect())
+    assert got == Counter((i, url, cut_up(html)[0]) for i, url, html in rows)
