@@ -11,7 +11,8 @@ do blocks that are mostly links go. Of declared articles, blocks go that runs in
 LEAST_PAGES, cover by half, such as a notice under each story; an article that such runs cover by half as a whole is a copy
 and stays as it stands, and what fewer articles share are quotes and stays too.
 Pages of one content count once. Texts move once: hosts are dealt out whole, large hosts by page contents over many shards, which
-exchange the counts of windows that may be repeated in all of them together.
+exchange the counts of windows that may be repeated in all of them together. All but small hosts are laid end to end by size and cut
+into shards there, as places of one host that a hash puts into one shard would be one text again.
 
 Rows: null and empty html give an empty text; a null url, or one without a host, leaves markup and links alone to judge by;
 repeated rows give a row each; a null page_id is kept; extra columns are ignored; an empty table gives no rows. Pages are taken
@@ -24,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from html import unescape
 
 import numpy as np
@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running_sums
 from .common import cut_lineage, pack, shuffle_partitions, table, unpack
 from .enhanced import prefixes, suffix_array
 
@@ -45,6 +46,8 @@ MOST = 0.5
 SHARD_BYTES = 8 << 20
 #: Shards of under so many bytes aren't made for the sake of more tasks.
 SMALL_BYTES = 64 << 10
+#: Hosts of under this share of a shard are dealt by a hash.
+SMALL_HOST = 0.125
 #: Bytes of text that are dealt at a time.
 DEALT_BYTES = 16 << 20
 #: Pages of one text in a row; texts of more pages are dealt out again.
@@ -203,18 +206,26 @@ def _blob(entries: list) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(json.dumps(entries, ensure_ascii=False).encode())
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+
+
 def dealt(pages: DataFrame, declared: bool, shard_bytes: int) -> DataFrame:
     """Rows (shard, parts, pages): what a stretch of input has for a shard, as entries (host, settled, text, ids and urls of its
     pages). Pages of one host and text meet in one shard. parts: over how many places their host is dealt; 0 for pages that
-    have no host or no text."""
+    have no host or no text. Hosts take a stretch of a line each, as long as their html, large ones first, and the line is cut into n
+    shards of one length, so that a shard gets twice that at most; small hosts are hashed to what is left of the line."""
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", F.coalesce(host, F.lit("")))
     sizes = cut_lineage(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")))
-    size = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    own = F.col("host") != ""
+    size, line = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", F.when(own, F.col("size")))]).first()
     n = max(1, -(-size // shard_bytes), min(shuffle_partitions(spark), -(-size // SMALL_BYTES)))
     part = max(1, -(-size // n))
-    large = sizes.where(F.col("size") > part).select("host", F.ceil(F.col("size") / part).cast("long").alias("parts"))
+    laid = running_sums(sizes.where(own & (F.col("size") > part * SMALL_HOST)), [F.col("size").desc(), F.col("host")], {"to": "size"})
+    laid = cut_lineage(laid.select("host", "size", (F.col("to") - F.col("size")).alias("at"), F.ceil(F.col("size") / part).cast("long").alias("parts")))
+    rest = min(n - 1, laid.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * n // max(1, line))  # the first shard for small hosts
 
     def run(batches):
         task, seen, held, found = TaskContext.get().partitionId(), 0, 0, {}
@@ -232,8 +243,11 @@ def dealt(pages: DataFrame, declared: bool, shard_bytes: int) -> DataFrame:
                     text, settled = cut_up(row["html"], declared)
                     if row["host"] and text:
                         parts = row["parts"] or 1
-                        place = zlib.crc32(text.encode()) % parts
-                        key = (zlib.crc32(f"{place} {row['host']}".encode()) % n, parts, row["host"], settled, text)
+                        if row["parts"]:
+                            shard = (row["at"] + _digest(text) % parts * row["size"] // parts) * n // line
+                        else:
+                            shard = rest + _digest(row["host"]) % (n - rest)
+                        key = (shard, parts, row["host"], settled, text)
                     else:
                         key = ((task * 7919 + seen) % n, 0, "", settled, text)
                     own = found.setdefault(key, [])
@@ -246,7 +260,7 @@ def dealt(pages: DataFrame, declared: bool, shard_bytes: int) -> DataFrame:
         if found:
             yield flush()
 
-    return rows.join(F.broadcast(large), "host", "left").select("page_id", "url", "html", "host", "parts").mapInArrow(run, "shard int, parts int, pages binary")
+    return rows.join(F.broadcast(laid), "host", "left").select("page_id", "url", "html", "host", "size", "at", "parts").mapInArrow(run, "shard int, parts int, pages binary")
 
 
 def opened(rows: pa.Table, least: int, most: int = 1 << 31) -> dict[tuple[str, bool, int], dict[str, list]]:
@@ -289,17 +303,22 @@ def window_groups(x: np.ndarray, page: np.ndarray, long: int = LONG) -> tuple[np
     place, group = order[own], group[own]
     if not len(place):
         return place, group, np.zeros(0, np.int64)
-    group = np.cumsum(np.append(False, group[1:] != group[:-1]))
-    pairs = np.unique(group * (int(page[-1]) + 1) + page[place])
-    return place, group, np.bincount(pairs // (int(page[-1]) + 1))
+    new = np.append(True, group[1:] != group[:-1])
+    group = np.cumsum(new) - 1
+    own = page[place]
+    new[1:] |= own[1:] != own[:-1]  # equal windows stand in the order of their places, so a page's are neighbours
+    return place, group, np.bincount(group[new])
 
 
-def _window_names(x: np.ndarray, place: np.ndarray, group: np.ndarray, words: list[str], long: int) -> np.ndarray:
-    """A name of each group's window, the same in all shards: a digest of its words' digests."""
-    return _names(x, place[np.append(True, group[1:] != group[:-1])] if len(place) else place, words, long)
+def _first(place: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The first place of each group."""
+    return place[np.append(True, group[1:] != group[:-1])] if len(place) else place
 
 
 def _names(x: np.ndarray, first: np.ndarray, words: list[str], long: int) -> np.ndarray:
+    """A name of the window at each place, the same in all shards: a digest of its words' digests."""
+    if not len(first):
+        return np.zeros(0, np.int64)
     digests = np.array([0] + [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
     names = np.zeros(len(first), np.uint64)
     for k in range(long):
@@ -316,13 +335,15 @@ def needed(n_pages: int, settled: bool, least_pages: int) -> int:
 def unique_text(texts: list[str], settled: bool, known: np.ndarray | None, long: int, least_pages: int) -> list[str]:
     """The texts of a collection without the blocks that repeated runs cover by half; an article that they cover by half as a
     whole is a copy and stays. known: names of the windows that all shards together repeat, None if this shard has all pages."""
+    if known is not None and not len(known):
+        return texts
     number: dict[str, int] = {}
     x, page, n_blocks = stream(texts, number)
     place, group, pages = window_groups(x, page, long)
     if known is None:
         repeated = pages >= needed(len(texts), settled, least_pages)
     else:
-        repeated = np.isin(_window_names(x, place, group, list(number), long), known)
+        repeated = np.isin(_names(x, _first(place, group), list(number), long), known)
     at = place[repeated[group]]
     if not len(at):
         return texts
@@ -354,9 +375,10 @@ def _windows(long: int):
             number: dict[str, int] = {}
             x, page, _ = stream(list(own), number)
             place, group, pages = window_groups(x, page, long)
-            names = _window_names(x, place, group, list(number), long)
+            at = np.flatnonzero(pages >= needed(len(own), True, 1)) if settled else np.arange(len(pages))
+            names, pages = _names(x, _first(place, group)[at], list(number), long), pages[at]
             if settled:
-                told = [(0, np.flatnonzero(pages >= needed(len(own), True, 1)))]
+                told = [(0, np.arange(len(at)))]
             else:
                 bucket = names.view(np.uint64) % np.uint64(parts)
                 order = np.argsort(bucket, kind="stable")

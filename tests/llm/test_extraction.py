@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from html import escape, unescape
 
+import pyarrow as pa
 import pytest
 
 from moltrail.llm import extraction
@@ -174,3 +175,25 @@ def test_many_copies(spark, shard_bytes):
     rows = [(k, f"http://a.example/{k}", page("same words again")) for k in range(900)] + [(1000 + k, f"http://a.example/{k}", page(f"own words {k}")) for k in range(50)] + [(2000, None, page("alone"))] * 600
     got = Counter(tuple(r) for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_bytes=shard_bytes).collect())
     assert got == Counter((i, url, cut_up(html)[0]) for i, url, html in rows)
+
+
+def test_shards_of_large_hosts_are_of_one_size(spark):
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    # names of 9, 12 and 20 letters: by CRC-32 of place and name their first ten places met in a few shards
+    hosts = [("a.example", 200), ("four.example", 300), ("collides.example.com", 900), ("mid.example", 40)] + [(f"{k}.small.example", 1) for k in range(60)]
+    rows = [(k, f"https://{host}/{k}", f"<article><p>{say(1000)}</article>") for k, host in enumerate(h for h, n in hosts for _ in range(n))]
+    rows += [(None, None, f"<p>{say(1000)}") for _ in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    loads, places, n_rows = Counter(), defaultdict(set), 0
+    for r in extraction.dealt(pages, True, 50_000).collect():
+        one = pa.table({"parts": pa.array([r["parts"]], pa.int32()), "pages": pa.array([bytes(r["pages"])], pa.binary())})
+        for (host, _, parts), texts in extraction.opened(one, 0).items():
+            loads[r["shard"]] += sum(map(len, texts))
+            places[host, parts].add(r["shard"])
+            n_rows += sum(map(len, texts.values()))
+    assert n_rows == len(rows)
+    large = {key: len(x) for key, x in places.items() if key[1] > 1}
+    assert set(large) == {("a.example", 5), ("four.example", 7), ("collides.example.com", 19)}
+    assert all(n >= parts - 1 for (_, parts), n in large.items())  # places are shorter than shards, so that two may begin in one
+    assert max(loads.values()) < 2 * sum(loads.values()) / len(loads)
