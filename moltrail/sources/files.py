@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .numbers import from_hybrid
+
 FILE = "_metadata.file_path"
 
 
@@ -95,15 +97,15 @@ ATOM_FIELDS = {"record": (1, 6), "serial": (7, 11), "atom_name": (13, 16), "res_
 
 
 def _atoms(rows: DataFrame, keys: list[str], charges: bool) -> DataFrame:
-    """Fixed columns, as fields may be fused. PDBQT files have charge and type as their last two fields."""
+    """Fixed columns, as fields may be fused; serials and residues may be hybrid-36. PDBQT files have charge and type as their last two
+    fields."""
     rows = counted(rows.where(F.col("text").rlike("^(ATOM|HETATM)")), "atom_idx", F.lit(1), keys)
     got = [_cut(*at).alias(name) for name, at in ATOM_FIELDS.items()]
     if charges:
         f = fields("text")
         got += [F.element_at(f, -2).try_cast("double").alias("charge"), F.element_at(f, -1).alias("atom_type")]
     rows = rows.select("file", *keys, "line_no", *got, "atom_idx")
-    casts = {"serial": "int", "res_seq": "int", "x": "double", "y": "double", "z": "double"}
-    rows = rows.withColumns({k: F.col(k).try_cast(t) for k, t in casts.items()})
+    rows = rows.withColumns({"serial": from_hybrid(F.col("serial"), 5), "res_seq": from_hybrid(F.col("res_seq"), 4), **{c: F.col(c).try_cast("double") for c in "xyz"}})
     guess = F.regexp_extract("atom_name", "[A-Za-z]", 0)
     rows = rows.withColumn("element", F.when(F.col("element") == "", guess).otherwise(F.col("element")))
     return rows.select(F.col("file").alias("struct_id"), *keys, "line_no", *[c for c in rows.columns if c not in ("file", *keys, "line_no")])

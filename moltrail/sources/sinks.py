@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .numbers import hybrid
+
 
 def write_series(df: DataFrame, path: str, time: str, digits: int = 3) -> None:
     """K1: CSV with the time first, numbers with so many digits."""
@@ -37,9 +39,9 @@ def restraint_lines(groups: DataFrame, force: float = 1000.0) -> DataFrame:
 
 
 def pdb_lines(atoms: DataFrame) -> DataFrame:
-    """K5: atoms with a column text in fixed columns."""
+    """K5: atoms with a column text in fixed columns; serials over 99999 and residues over 9999 in hybrid-36."""
     name = F.when(F.length("atom_name") >= 4, F.col("atom_name")).otherwise(F.concat(F.lit(" "), F.rpad("atom_name", 3, " ")))
-    text = F.format_string("%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.coalesce("record", F.lit("ATOM")), (F.col("serial") % 100000).cast("int"), name, "res_name", F.coalesce("chain", F.lit(" ")), (F.col("res_seq") % 10000).cast("int"), "x", "y", "z", F.lit(1.0), F.lit(0.0), F.coalesce("element", F.lit("")))
+    text = F.format_string("%-6s%5s %-4s %3s %1s%4s    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.coalesce("record", F.lit("ATOM")), hybrid(F.col("serial"), 5), name, "res_name", F.coalesce("chain", F.lit(" ")), hybrid(F.col("res_seq"), 4), "x", "y", "z", F.lit(1.0), F.lit(0.0), F.coalesce("element", F.lit("")))
     return atoms.withColumn("text", text)
 
 
