@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -21,16 +21,22 @@ def wide_contacts(contacts: DataFrame, frames: DataFrame, frame: str, pair: str,
     return frames.select(frame).distinct().join(rows, frame, "left").na.fill(0)
 
 
+def _six(text: Column) -> Column:
+    """Six columns wide, or as wide as it is."""
+    return F.lpad(text, F.greatest(F.length(text), F.lit(6)), " ")
+
+
 def index_lines(groups: DataFrame, per_line: int = 15) -> DataFrame:
-    """K3: group, line, text of an index file: a header line, then numbers 15 to a line."""
+    """K3: group, line, text of an index file: a header line, then numbers 15 to a line, of six columns or more."""
     rows = groups.withColumn("line", F.floor(F.col("pos") / per_line) + 1)
-    rows = rows.groupBy("group", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "atom_no"))), lambda s: F.lpad(s["atom_no"].cast("string"), 6, " ")), " ").alias("text"))
+    rows = rows.groupBy("group", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "atom_no"))), lambda s: _six(s["atom_no"].cast("string"))), " ").alias("text"))
     heads = groups.select("group").distinct().select("group", F.lit(0).cast("long").alias("line"), F.concat(F.lit("[ "), "group", F.lit(" ]")).alias("text"))
     return heads.unionByName(rows)
 
 
 def write_index(groups: DataFrame, path: str) -> None:
-    index_lines(groups).orderBy("group", "line").select("text").write.text(path)
+    """K3: groups in order, each whole in one file, as a line belongs to the header before it. Lines are sorted, and spill, as rows."""
+    index_lines(groups).repartitionByRange("group").sortWithinPartitions("group", "line").select("text").write.text(path)
 
 
 def restraint_lines(groups: DataFrame, force: float = 1000.0) -> DataFrame:
